@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import chat_perspectives
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
+from .pii import find_pii
 from .piece_bpe import piece_digests
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_perspectives(read_table(spark, sf_dir, "conversations"))
 
 
 def piece_model() -> str:
@@ -31,15 +39,29 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +71,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op1_chat_format": """
+        with t as (
+            select distinct conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as text
+            from conversations),
+        c as (select *, coalesce(cast(floor(turn / 256) as bigint), -1) as chunk from t),
+        p as (select distinct conv_id, role as perspective from t where role <> 'system'),
+        r as (
+            select c.*, p.perspective, role = perspective as own,
+                '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) as head,
+                c.text || '<|im_end|>' as body
+            from c join p on c.conv_id is not distinct from p.conv_id),
+        o as (
+            select *, cast(coalesce(sum(length(head) + length(body) + 1) over (
+                partition by conv_id, perspective, chunk order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as bigint) as at
+            from r)
+        select conv_id, perspective, chunk, count(*) as n_turns, count(*) filter (where own) as n_target_turns,
+            string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as text,
+            coalesce(string_agg((at + length(head)) || ':' || (at + length(head) + length(body)), ',' order by turn nulls first, role, text) filter (where own), '') as mask
+        from o group by conv_id, perspective, chunk""",
     "op3_exact_dedup": """
         with g as (select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size from documents group by 1)
         select d.doc_id, g.keep_id, g.group_size, coalesce(d.doc_id = g.keep_id, false) as kept, sha256(g.t) as text_sha256
@@ -65,4 +106,18 @@ SQL = {
         from marked group by doc_id""",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op5_language_id, op3_exact_dedup, op7_line_dedup, op9_mixing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_sentencepiece,
+        op3_exact_dedup,
+        op4_substring_dedup,
+        op5_language_id,
+        op6_near_dedup,
+        op7_line_dedup,
+        op8_pii,
+        op9_mixing,
+        op10_quality_rules,
+    )
+}
