@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BLANK_CHARS, durable, small_batches, text_or_empty
 
@@ -103,6 +104,7 @@ def repeated_lines(lines: DataFrame, min_docs: int = MIN_DOCS, batches: int = BA
 
 
 def _drop(batches, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, hashes to drop, carried columns -> doc_id, text, n_lines, n_dropped, carried columns."""
     for b in batches:
         texts, n_lines, n_dropped = [], [], []
         for text, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -114,21 +116,27 @@ def _drop(batches, min_chars: int) -> Iterator[pa.RecordBatch]:
             texts.append("\n".join(kept))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+        carried = [b.column(k) for k in range(3, b.num_columns)]
+        names = ["doc_id", "text", "n_lines", "n_dropped", *b.schema.names[3:]]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *carried], names)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, carry: tuple = ()) -> DataFrame:
     """doc_id, text without the dropped lines, n_lines (before dropping), n_dropped, for every row of docs.
 
     Null or empty text is one empty line. Rows without doc_id keep all lines and don't count as documents.
     Repeated rows of one doc_id count as one document and lose the same lines. An empty table gives an empty
-    result. A document all of whose lines go keeps an empty text.
+    result. A document all of whose lines go keeps an empty text. `carry` names further columns of docs to keep,
+    as "in_<name>".
     """
     # A repeated row would count its document twice, so pairs are made distinct (with a combine in each task).
     lines = durable(document_lines(docs, min_chars).distinct(), "lines")
     drop = repeated_lines(lines, min_docs, batches)
     # Adaptive execution splits a line that very many documents share; pairs are 24 bytes.
     gone = lines.join(drop, "h").where(F.col("doc_id") < F.col("holder")).groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(gone, "doc_id", "left")
+    carried = [F.col(c).alias(f"in_{c}") for c in carry]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *carried)
+    rows = rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *[f"in_{c}" for c in carry])
     small_batches(docs.sparkSession)
-    return rows.select("doc_id", "text", "gone").mapInArrow(functools.partial(_drop, min_chars=min_chars), "doc_id long, text string, n_lines long, n_dropped long")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *rows.schema.fields[3:]])
+    return rows.mapInArrow(functools.partial(_drop, min_chars=min_chars), schema)

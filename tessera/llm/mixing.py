@@ -28,8 +28,9 @@ BLOCKS = 256
 STEEPEST = 60.0
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, carry: tuple = ()) -> DataFrame:
+    kept = [F.col(c).alias(f"in_{c}") for c in carry]
+    return docs.select("doc_id", "source", *kept, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def source_targets(by_source: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS) -> DataFrame:
@@ -95,14 +96,16 @@ def _join_source(left: DataFrame, right: DataFrame) -> DataFrame:
     return _join_keys(left, right, ["source"])
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, carry: tuple = ()) -> DataFrame:
     """doc_id, size, source_size, target (its source's), taken, copies, rate for every row of docs.
 
     Null text has size 0; a null source is a source of its own, the last. Rows of size 0 take no words (copies 0
     or more). Repeated rows and null ids are rows like any other, rounded in a fixed order of (size class, hash
-    of the id, size, id), so reruns agree. An empty table gives an empty result.
+    of the id, size, id), so reruns agree. An empty table gives an empty result. `carry` names further columns
+    of docs to keep, as "in_<name>".
     """
-    rows = sizes(docs).withColumn("bin", F.floor(CLASSES * F.log2(F.col("size") + 1)).cast("int"))
+    kept = [f"in_{c}" for c in carry]
+    rows = sizes(docs, carry).withColumn("bin", F.floor(CLASSES * F.log2(F.col("size") + 1)).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
     rows = durable(rows, "sizes")
     fine = rows.groupBy("source", "bin", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
@@ -126,12 +129,15 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS) -> Data
         upto = lambda k: F.floor(F.col("start") + k * F.col("rate") + F.lit(phase))
         return F.least(upto(F.col("k")) - upto(F.col("k") - 1), F.lit(MOST_COPIES)).cast("long")
 
-    placed = durable(placed.select("doc_id", "source", "size", "rate", F.array(*[copies((p + 0.5) / PHASES) for p in range(PHASES)]).alias("rounded")), "rounded")
+    placed = durable(placed.select("doc_id", *kept, "source", "bin", "block", "size", "rate", F.array(*[copies((p + 0.5) / PHASES) for p in range(PHASES)]).alias("rounded")), "rounded")
     sums = placed.groupBy("source").agg(*[F.sum(F.col("rounded")[p] * F.col("size")).alias(f"t{p}") for p in range(PHASES)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{p}") - F.col("target")), F.lit(p).alias("p")) for p in range(PHASES)]))["p"]
     chosen = _join_source(lam, sums).select("source", "source_size", "target", best.alias("phase"))
+    # Joined block by block: by source alone, all rows of a source would meet in one task.
+    blocks = _join_source(fine.select("source", "bin", "block"), chosen)
     taken = F.get("rounded", F.col("phase"))
-    return _join_source(placed, chosen).select("doc_id", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"), "rate")
+    out = _join_keys(placed, blocks, ["source", "bin", "block"])
+    return out.select("doc_id", *kept, "size", "source_size", "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"), "rate")
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

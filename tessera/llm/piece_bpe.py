@@ -276,19 +276,23 @@ def _decode(batches, path: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
 
-def _digest(batches, path: str) -> Iterator[pa.RecordBatch]:
+def _digest(batches, path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     enc = _encoder(path)
     end = enc.model.end_id
     shown = [str(i) for i in range(enc.model.n)]
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     for b in batches:
         n, of_ids, of_text = [], [], []
-        for ids in enc.encode_batch(b.column(1).to_pylist()):
+        coded = enc.encode_batch(b.column(1).to_pylist())
+        for ids in coded:
             ids.append(end)
             n.append(len(ids))
             of_ids.append(sha(" ".join(map(shown.__getitem__, ids))))
             of_text.append(sha(enc.decode(ids)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        cols, names = [b.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            cols, names = [*cols, pa.array(coded, pa.list_(pa.int32()))], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -312,9 +316,10 @@ def piece_decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return rows.mapInArrow(functools.partial(_decode, path=model_path), "doc_id long, text string")
 
 
-def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode with an end id, then decode, in one pass.
+def piece_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and perhaps ids: encode with an end id, then decode, in one pass.
 
     Same cases as piece_encode.
     """
-    return _rows(docs).mapInArrow(functools.partial(_digest, path=model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _rows(docs).mapInArrow(functools.partial(_digest, path=model_path, with_ids=with_ids), schema)

@@ -10,6 +10,7 @@ is decoded by itself, and every character takes its tag from the window in which
 from __future__ import annotations
 
 import functools
+import pickle
 import random
 import re
 from collections.abc import Iterator
@@ -325,10 +326,19 @@ def fit_tagger(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger:
     got = sorted(tuple(r) for r in rows.mapInArrow(_window_rows, "window string, spans string").collect())
     # Variants alone when there is nothing to sample.
     got = got or [(w, listed(s)) for k in range(50) for w, s in training_windows("", k)]
-    spans = [[(k, int(s), int(e)) for k, s, e in (x.split(":") for x in labels.split(",") if x)] for _, labels in got]
+    sample = docs.sparkSession.createDataFrame(got, "window string, spans string").coalesce(1)
+    return pickle.loads(sample.mapInArrow(_train, "tagger binary").first()[0])
+
+
+def _train(batches) -> Iterator[pa.RecordBatch]:
+    """All labelled windows -> the tagger, trained in one task: the sample is bounded."""
+    texts, spans = [], []
+    for b in batches:
+        texts += b.column(0).to_pylist()
+        spans += [[(k, int(s), int(e)) for k, s, e in (x.split(":") for x in labels.split(",") if x)] for labels in b.column(1).to_pylist()]
     tagger = Tagger()
-    tagger.fit([w for w, _ in got], spans)
-    return tagger
+    tagger.fit(texts, spans)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger)], pa.binary())], ["tagger"])
 
 
 # --- windows of a document, and their tags put together

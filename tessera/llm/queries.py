@@ -84,11 +84,11 @@ SQL = {
             from c join p on c.conv_id is not distinct from p.conv_id),
         o as (
             select *, cast(coalesce(sum(length(head) + length(body) + 1) over (
-                partition by conv_id, perspective, chunk order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as bigint) as at
+                partition by conv_id, perspective, chunk order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as bigint) as pos
             from r)
         select conv_id, perspective, chunk, count(*) as n_turns, count(*) filter (where own) as n_target_turns,
             string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as text,
-            coalesce(string_agg((at + length(head)) || ':' || (at + length(head) + length(body)), ',' order by turn nulls first, role, text) filter (where own), '') as mask
+            coalesce(string_agg(concat(pos + length(head), ':', pos + length(head) + length(body)), ',' order by turn nulls first, role, text) filter (where own), '') as mask
         from o group by conv_id, perspective, chunk""",
     "op3_exact_dedup": """
         with g as (select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size from documents group by 1)
