@@ -1,7 +1,8 @@
 """MinHash near-duplicate detection with an LSH forest.
 
-Documents with one shingle set are one node. Every set has 64 minima, packed four to a number; tree t of the
-forest sorts all sets by the packed numbers from the t-th on, wrapping round. Sets that share a tree's first
+Documents with one shingle set are one node. Every set has 256 minima, packed four to a number; tree t of the
+forest sorts all sets by the first 16 packed numbers from the t-th on, wrapping round; all of them tell how near
+two sets are. Sets that share a tree's first
 number form a region: candidates are taken from its longest-common-prefix order. A region with many members is
 cut by the next number, to the depth at which its parts are small, and only the leaders of the parts meet above.
 Within a region a leader stands for the members that the minima show to be near it, so that a group of copies
@@ -28,16 +29,19 @@ from .words import chunks, mix, window_hashes, word_hashes
 SHINGLE = 5
 PERCENT = 85
 TREES = 16
-PER_TREE = 4
+PACKED = 4
+#: Packed numbers of a signature; the first TREES of them order the trees.
+NUMBERS = 64
+MINIMA = NUMBERS * PACKED
 SEED = 11
-#: Share of equal minima that makes a pair a candidate; 64 minima of a pair at the limit fall below it once in 10^5.
-NEAR = 0.66
+#: Share of equal minima that makes a pair a candidate; 256 minima of a pair at the limit fall below it once in 10^5.
+NEAR = 0.755
 #: Members from which a region is cut one number deeper.
 DEEP = 2_000
 
 _r = np.random.default_rng(SEED)
-_FACTORS = (_r.integers(1, 1 << 62, TREES * PER_TREE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADDENDS = _r.integers(1, 1 << 62, TREES * PER_TREE, dtype=np.uint64)
+_FACTORS = (_r.integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADDENDS = _r.integers(1, 1 << 62, MINIMA, dtype=np.uint64)
 
 
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
@@ -58,14 +62,14 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signature(sets: list[np.ndarray]) -> np.ndarray:
-    """TREES packed numbers for each non-empty set: PER_TREE minima of 16 bits each."""
+    """NUMBERS packed numbers for each non-empty set: PACKED minima of 16 bits each."""
     flat = np.concatenate(sets)
     start = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.zeros((len(sets), TREES), dtype=np.uint64)
+    out = np.zeros((len(sets), NUMBERS), dtype=np.uint64)
     flat = mix(flat)
-    for i in range(TREES * PER_TREE):
+    for i in range(MINIMA):
         least = np.minimum.reduceat((flat * _FACTORS[i] + _ADDENDS[i]) >> np.uint64(24), start)
-        out[:, i // PER_TREE] |= (mix(least) & np.uint64(0xFFFF)) << np.uint64(16 * (i % PER_TREE))
+        out[:, i // PACKED] |= (mix(least) & np.uint64(0xFFFF)) << np.uint64(16 * (i % PACKED))
     return out
 
 
@@ -111,16 +115,16 @@ def _groups(batches, width: int) -> Iterator[tuple[tuple, list]]:
 
 
 def _minima(sigs: list[list[int]]) -> np.ndarray:
-    return np.array(sigs, dtype=np.int64).view(np.uint16).reshape(len(sigs), TREES * PER_TREE)
+    return np.array(sigs, dtype=np.int64).view(np.uint16).reshape(len(sigs), MINIMA)
 
 
 def _lead(batches, near: float) -> Iterator[pa.RecordBatch]:
     """Sorted (tree, part, k, sig) -> (tree, region, leader, member): each member's nearest leader; itself if it leads."""
-    need = int(np.ceil(near * TREES * PER_TREE))
-    group, leaders, table = None, [], np.zeros((0, TREES * PER_TREE), np.uint16)
+    need = int(np.ceil(near * MINIMA))
+    group, leaders, table = None, [], np.zeros((0, MINIMA), np.uint16)
     for key, rows in _groups(batches, 2):
         if key != group:
-            group, leaders, table = key, [], np.zeros((16, TREES * PER_TREE), np.uint16)
+            group, leaders, table = key, [], np.zeros((16, MINIMA), np.uint16)
         got = []
         for row, minima in zip(rows, _minima([r[3] for r in rows]), strict=True):
             if leaders:
@@ -139,11 +143,11 @@ def _lead(batches, near: float) -> Iterator[pa.RecordBatch]:
 
 def _across(batches, near: float) -> Iterator[pa.RecordBatch]:
     """Sorted (tree, region, k, sig, label) -> near pairs of different labels."""
-    need = int(np.ceil(near * TREES * PER_TREE))
+    need = int(np.ceil(near * MINIMA))
     group, keys, labels, table = None, [], [], []
     for key, rows in _groups(batches, 2):
         if key != group:
-            group, keys, labels, table = key, [], np.zeros(0, np.int64), np.zeros((0, TREES * PER_TREE), np.uint16)
+            group, keys, labels, table = key, [], np.zeros(0, np.int64), np.zeros((0, MINIMA), np.uint16)
         a, b = [], []
         minima, new = _minima([r[3] for r in rows]), np.array([r[4] for r in rows], dtype=np.int64)
         table, labels = np.concatenate([table, minima]), np.concatenate([labels, new])
@@ -181,7 +185,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def regions(sets: DataFrame) -> DataFrame:
     """tree, region, size, k: members of the regions that have two or more sets."""
-    rows = sets.select("k", F.posexplode("sig").alias("tree", "region"))
+    rows = sets.select("k", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "region"))
     size = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     return rows.join(size, ["tree", "region"]).select("tree", "region", "size", "k")
 
@@ -189,7 +193,7 @@ def regions(sets: DataFrame) -> DataFrame:
 def leader_pairs(members: DataFrame, sets: DataFrame, near: float = NEAR, deep: int = DEEP) -> DataFrame:
     """Candidate pairs a, b (names of sets)."""
     sig, tree = F.col("sig"), F.col("tree")
-    turned = F.concat(F.slice(sig, tree + 1, F.lit(TREES)), F.slice(sig, F.lit(1), tree))
+    turned = F.concat(F.slice(sig, tree + 1, TREES - tree), F.slice(sig, F.lit(1), tree))
     rows = members.join(sets.select("k", "sig"), "k").withColumn("turned", turned)
     # The part of a region in which a set looks for a leader: one number deeper for every `deep` times more members.
     depth = F.least(F.floor(F.log(F.greatest(F.col("size") / deep, F.lit(1))) / F.log(F.lit(float(deep)))) + F.when(F.col("size") > deep, 1).otherwise(0), F.lit(TREES - 1))
