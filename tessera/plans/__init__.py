@@ -1,6 +1,6 @@
 """The analytical queries over the corpus relations, and the SQL that each is compared with."""
 
-from . import corpus_views, outcomes
+from . import corpus_views, outcomes, standardise
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus_views", "outcomes"]
+__all__ = ["QUERIES", "SQL", "corpus_views", "outcomes", "standardise"]
