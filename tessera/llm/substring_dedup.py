@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, release, small_batches, text_or_empty
@@ -155,44 +155,43 @@ def _piece_rows(batches) -> Iterator[pa.RecordBatch]:
 PIECE = "anchor long, doc_id long, th long, start int, windows int, ph binary, passage binary"
 
 
-def _match_shards(batches) -> Iterator[pa.RecordBatch]:
-    """Sorted (anchor, first_doc, ph, passage) -> ph, mask: bit w if window w is in an earlier document."""
+def _match_shards(batches, shard_pieces: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (anchor, first_doc, ph, passage, n) -> ph, mask: bit w if window w is in an earlier document.
+
+    Pieces of an anchor that has more than shard_pieces give their windows instead, one by one, as they pass.
+    """
     anchor, shard = None, []
 
     def matched() -> Iterator[tuple]:
-        if len(shard) < 2:
-            yield from ((ph, 0) for _, ph, _ in shard)
-            return
         automaton, cut = SuffixAutomaton(), [(doc, ph, passage.split(b" ")) for doc, ph, passage in shard]
         for doc, _, words in cut:
             automaton.add(words, doc)
         for doc, ph, words in cut:
-            yield ph, sum(1 << w for w, owner in enumerate(automaton.owners(words, WINDOW)) if owner is not None and owner < doc)
+            mask = sum(1 << w for w, owner in enumerate(automaton.owners(words, WINDOW)) if owner is not None and owner < doc)
+            if mask:
+                yield ph, mask, None, None, None
 
     for b in batches:
         out: list[tuple] = []
-        for key, doc, ph, passage in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+        for key, doc, ph, passage, n in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
             if key != anchor:
                 out.extend(matched())
                 anchor, shard = key, []
-            shard.append((doc, ph, passage))
-        yield _masks(out)
-    yield _masks(list(matched()))
+            if n <= shard_pieces:
+                shard.append((doc, ph, passage))
+            else:
+                words = passage.split(b" ")
+                out += [(ph, None, doc, w, xxhash.xxh3_128_digest(b" ".join(words[w : w + WINDOW]))) for w in range(len(words) - WINDOW + 1)]
+        yield _matches(out)
+    yield _matches(list(matched()))
 
 
-def _masks(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], ["ph", "mask"])
+MATCH = "ph binary, mask int, first_doc long, w int, wh binary"
 
 
-def _whole_windows(batches) -> Iterator[pa.RecordBatch]:
-    """(ph, first_doc, passage) -> ph, first_doc, window number, hash of the window's words."""
-    for b in batches:
-        out: list[tuple] = []
-        for ph, doc, passage in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            words = passage.split(b" ")
-            out += [(ph, doc, w, xxhash.xxh3_128_digest(b" ".join(words[w : w + WINDOW]))) for w in range(len(words) - WINDOW + 1)]
-        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["ph", "first_doc", "w", "wh"])
+def _matches(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in MATCH.split(", ")])
 
 
 def _apply(batches) -> Iterator[pa.RecordBatch]:
@@ -236,17 +235,19 @@ def pieces(docs: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def earlier_windows(found: DataFrame, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """ph, first_doc, mask for every distinct piece: its first document, and which windows an earlier one has."""
-    small_batches(found.sparkSession)
+    spark = found.sparkSession
+    small_batches(spark)
     distinct = durable(found.groupBy("anchor", "ph").agg(F.min("doc_id").alias("first_doc"), F.first("passage").alias("passage")), "reference")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    shards = distinct.join(sizes.where((F.col("n") > 1) & (F.col("n") <= shard_pieces)), "anchor")
-    shards = shards.repartition("anchor").sortWithinPartitions("anchor", "first_doc", "ph").select("anchor", "first_doc", "ph", "passage")
-    by_automaton = shards.mapInArrow(_match_shards, "ph binary, mask int")
-    large = distinct.join(sizes.where(F.col("n") > shard_pieces), "anchor").select("ph", "first_doc", "passage")
-    one_by_one = durable(large.mapInArrow(_whole_windows, "ph binary, first_doc long, w int, wh binary"), "windows")
-    least = one_by_one.groupBy("wh").agg(F.min("first_doc").alias("least"))
-    earlier = one_by_one.join(least, "wh").where(F.col("least") < F.col("first_doc")).groupBy("ph").agg(F.sum(F.expr("shiftleft(1, w)")).cast("int").alias("mask"))
-    masks = by_automaton.where(F.col("mask") != 0).unionAll(earlier)
+    release(spark)
+    # The count brings an anchor's pieces to one task, which streams them; only a shard of bounded size is held.
+    shards = distinct.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where(F.col("n") > 1)
+    shards = shards.sortWithinPartitions("anchor", "first_doc", "ph").select("anchor", "first_doc", "ph", "passage", "n")
+    matches = durable(shards.mapInArrow(functools.partial(_match_shards, shard_pieces=shard_pieces), MATCH), "matches")
+    release(spark)
+    whole = matches.where(F.col("wh").isNotNull())
+    least = whole.groupBy("wh").agg(F.min("first_doc").alias("least"))
+    earlier = whole.join(least, "wh").where(F.col("least") < F.col("first_doc")).groupBy("ph").agg(F.sum(F.expr("shiftleft(1, w)")).cast("int").alias("mask"))
+    masks = matches.where(F.col("mask").isNotNull()).select("ph", "mask").unionAll(earlier)
     return durable(distinct.select("ph", "first_doc").join(masks, "ph", "left").select("ph", "first_doc", F.coalesce("mask", F.lit(0)).alias("mask")), "masks")
 
 
