@@ -65,7 +65,8 @@ def r6(x: Column) -> Column:
 
 
 def pct(x: Column, p: float = 0.5) -> Column:
-    return r6(F.percentile(x, p))
+    """Interpolated percentile; quarters of six decimals need eight."""
+    return F.round(F.percentile(x, p), 8)
 
 
 def quartiles(x: Column) -> list[Column]:

@@ -19,7 +19,7 @@ EVENT = "(d.transfer_date is not null and d.transfer_date >= f.filed_at and (d.t
 
 
 def med(x: str, p: float = 0.5) -> str:
-    return f"round(percentile_cont({p}) within group (order by {x}), 6)"
+    return f"round(percentile_cont({p}) within group (order by {x}), 8)"
 
 
 def quart(x: str) -> str:
