@@ -85,7 +85,7 @@ class SuffixAutomaton:
                 matched = self.length[s]
             if c in self.next[s]:
                 s, matched = self.next[s][c], matched + 1
-            while self.length[self.link[s]] >= size:
+            while s and self.length[self.link[s]] >= size:
                 s = self.link[s]
                 matched = self.length[s]
             if k + 1 >= size:
