@@ -7,8 +7,9 @@ number form a region: candidates are taken from its longest-common-prefix order.
 cut by the next number, to the depth at which its parts are small, and only the leaders of the parts meet above.
 Within a region a leader stands for the members that the minima show to be near it, so that a group of copies
 gives one candidate pair for each member and not all pairs. Candidates are confirmed on full shingle sets. What
-confirmed links leave apart is then looked at again: regions that hold more than one component give all pairs
-across components that the minima show to be near, so that no link hangs on the choice of leaders.
+confirmed links leave apart is then looked at again: in regions that hold more than one component, cut into blocks,
+each task compares the sets of different components in full where the minima show them to be near, joins
+components as it goes and gives only the links that joined some, so that no link hangs on the choice of leaders.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SEED = 11
 NEAR = 0.755
 #: Members from which a region is cut one number deeper.
 DEEP = 2_000
+#: Members of a region that are held at once, twice over, when its components are compared.
+BLOCK = 1_000
 
 _r = np.random.default_rng(SEED)
 _FACTORS = (_r.integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -141,36 +144,54 @@ def _lead(batches, near: float) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(got), pa.int32()), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.binary())], ["tree", "a", "b"])
 
 
-def _across(batches, near: float) -> Iterator[pa.RecordBatch]:
-    """Sorted (tree, region, k, sig, label) -> near pairs of different labels."""
+def _near_enough(s: np.ndarray, u: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(s), len(u)) < percent * max(len(s), len(u)):
+        return False
+    both = len(np.intersect1d(s, u, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(u) - both)
+
+
+def _across(batches, near: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (tree, region, p, q, block, k, sig, label, set) -> links that join components, found cell by cell.
+
+    A cell holds two blocks of a region, or one (p = q). A pair is looked at if its ends are still in different
+    components and the minima show it to be near; a confirmed link joins the components at once, so that a cell
+    gives at most one link for each set.
+    """
     need = int(np.ceil(near * MINIMA))
-    group, keys, labels, table = None, [], [], []
-    for key, rows in _groups(batches, 2):
-        if key != group:
-            group, keys, labels, table = key, [], np.zeros(0, np.int64), np.zeros((0, MINIMA), np.uint16)
+
+    def linked(cell: tuple, rows: list) -> pa.RecordBatch:
         a, b = [], []
-        minima, new = _minima([r[3] for r in rows]), np.array([r[4] for r in rows], dtype=np.int64)
-        table, labels = np.concatenate([table, minima]), np.concatenate([labels, new])
-        keys = keys + [r[2] for r in rows]
-        first = len(keys) - len(rows)
-        for i in range(first, len(keys)):
-            other = np.flatnonzero(labels[:i] != labels[i])
-            if len(other):
-                for j in other[(table[other] == table[i]).sum(axis=1) >= need].tolist():
+        block, keys, table = np.array([r[4] for r in rows]), [r[5] for r in rows], _minima([r[6] for r in rows])
+        part, sets = np.array([r[7] for r in rows], dtype=np.int64), [np.frombuffer(r[8], np.uint64) for r in rows]
+        for i in range(1, len(rows)):
+            other = part[:i] != part[i]
+            if cell[2] != cell[3]:
+                other &= block[:i] != block[i]
+            other = np.flatnonzero(other)
+            for j in other[(table[other] == table[i]).sum(axis=1) >= need].tolist():
+                if part[j] != part[i] and _near_enough(sets[i], sets[j], percent):
                     a.append(min(keys[i], keys[j]))
                     b.append(max(keys[i], keys[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    part[part == part[j]] = part[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    cell, held = None, []
+    for key, rows in _groups(batches, 4):
+        if key != cell:
+            if held:
+                yield linked(cell, held)
+            cell, held = key, []
+        held += rows
+    if held:
+        yield linked(cell, held)
 
 
 def _confirm(batches, percent: int) -> Iterator[pa.RecordBatch]:
     for t in batches:
         a, b = [], []
         for x, y, s, u in zip(*(t.column(k).to_pylist() for k in range(4)), strict=True):
-            s, u = np.frombuffer(s, np.uint64), np.frombuffer(u, np.uint64)
-            if 100 * min(len(s), len(u)) < percent * max(len(s), len(u)):
-                continue
-            both = len(np.intersect1d(s, u, assume_unique=True))
-            if 100 * both >= percent * (len(s) + len(u) - both):
+            if _near_enough(np.frombuffer(s, np.uint64), np.frombuffer(u, np.uint64), percent):
                 a.append(x)
                 b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -209,19 +230,37 @@ def leader_pairs(members: DataFrame, sets: DataFrame, near: float = NEAR, deep:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs a, b whose full shingle sets are near enough."""
-    ends = pairs.select(F.col("a").alias("k")).unionAll(pairs.select(F.col("b").alias("k"))).distinct()
-    holder = sets.join(ends, "k").select(F.col("rep").alias("__rep")).distinct()
+def full_sets(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """k, set: the full shingle sets of the named ones."""
+    holder = sets.join(keys.distinct(), "k").select(F.col("rep").alias("__rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(holder, F.col("doc_id") == F.col("__rep"), "left_semi")
     small_batches(docs.sparkSession)
     full = texts.select("text").mapInArrow(_sets, "k binary, set binary")
-    full = durable(full.groupBy("k").agg(F.first("set").alias("set")), "sets")
+    return durable(full.groupBy("k").agg(F.first("set").alias("set")), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs a, b whose full shingle sets are near enough."""
+    full = full_sets(pairs.select(F.col("a").alias("k")).unionAll(pairs.select(F.col("b").alias("k"))), docs, sets)
     a, b = full.select(F.col("k").alias("a"), F.col("set").alias("set_a")), full.select(F.col("k").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
     return durable(both.mapInArrow(functools.partial(_confirm, percent=percent), "a binary, b binary"), "links")
 
 
+def across_links(members: DataFrame, marked: DataFrame, docs: DataFrame, sets: DataFrame, near: float = NEAR, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links a, b between components that meet in a region; marked: k, sig, label (the component)."""
+    left = members.join(marked.select("k", "label"), "k")
+    size = left.groupBy("tree", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = size.where(F.col("lo") != F.col("hi")).select("tree", "region", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = durable(left.join(mixed, ["tree", "region"]).select("tree", "region", "blocks", "k", "label"), "mixed")
+    rows = rows.withColumn("block", F.pmod(F.hash("k"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tree", "region", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "k", "label")
+    rows = rows.join(marked.select("k", "sig"), "k").join(full_sets(rows.select("k"), docs, sets), "k")
+    rows = rows.repartition("tree", "region", "p", "q").sortWithinPartitions("tree", "region", "p", "q", "k")
+    found = rows.select("tree", "region", "p", "q", "block", "k", "sig", "label", "set").mapInArrow(functools.partial(_across, near=near, percent=percent), "a binary, b binary")
+    return durable(found.distinct(), "across")
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT, near: float = NEAR, deep: int = DEEP) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -248,14 +287,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, near: float = NEAR, deep
 
     # Regions that still hold several components.
     marked = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k", "sig", F.coalesce("label", "rep").alias("label"))
-    left = members.join(marked.select("k", "label"), "k")
-    mixed = left.groupBy("tree", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("tree", "region")
-    rows = left.join(mixed, ["tree", "region"]).join(marked.select("k", "sig"), "k")
-    rows = rows.repartition("tree", "region").sortWithinPartitions("tree", "region", "k").select("tree", "region", "k", "sig", "label")
-    across = rows.mapInArrow(functools.partial(_across, near=near), "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
-    across = durable(across, "across")
+    across = across_links(members, marked, docs, sets, near, percent)
     if across.limit(1).count():
-        labels = components(links.unionAll(edges(confirmed(across, docs, sets, percent))))
+        labels = components(links.unionAll(edges(across)))
 
     final = sets.select("k", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k", F.coalesce("label", "rep").alias("label"))
     # Adaptive execution splits a set that very many documents share.
