@@ -43,14 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df once in the shared folder and read it back: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing reads any more: what was made from them must be durable itself."""
+    for df in tables:
+        if files := df.inputFiles():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of phases whose results are durable: it does so when their plans are collected."""
     gc.collect()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, release, small_batches, text_or_empty
+from .common import discard, durable, release, small_batches, text_or_empty
 from .words import chunks, window_hashes, word_hashes
 
 WINDOW = 13
@@ -93,20 +93,25 @@ class SuffixAutomaton:
         return out
 
 
+def _words(text: str) -> list[bytes]:
+    """bytes.split() parts at the six ASCII blanks and nothing else."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
 def _anchors_of(texts: list[str]) -> Iterator[tuple]:
-    """(range of texts, text of each window, its anchor, its first word, word bounds, bytes) chunk by chunk."""
+    """(range of texts, text of each window, its anchor, its first word, text of each word) chunk by chunk."""
     for lo, hi in chunks(texts):
-        h, text, start, end, raw = word_hashes(texts[lo:hi], lower=False)
+        h, text, *_ = word_hashes(texts[lo:hi], lower=False)
         n = len(h) - WINDOW + 1
         if n <= 0:
-            yield lo, hi, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), text, start, end, raw
+            yield lo, hi, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), text
             continue
         grams = window_hashes(h, GRAM)
         least = grams[:n].copy()
         for j in range(1, SPAN):
             np.minimum(least, grams[j : n + j], out=least)
         ok = np.flatnonzero(text[:n] == text[WINDOW - 1 :])
-        yield lo, hi, text[ok], least[ok], ok, text, start, end, raw
+        yield lo, hi, text[ok], least[ok], ok, text
 
 
 def _anchor_rows(batches) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def _piece_rows(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
         shared = [np.sort(np.array(x, dtype=np.int64)) for x in b.column(3).to_pylist()]
-        for lo, hi, text, least, first, all_text, start, end, raw in _anchors_of(texts):
+        for lo, hi, text, least, first, all_text in _anchors_of(texts):
             least = least.view(np.int64)
             inside = np.searchsorted(text, np.arange(hi - lo + 1))
             begin = np.searchsorted(all_text, np.arange(hi - lo))
@@ -140,14 +145,14 @@ def _piece_rows(batches) -> Iterator[pa.RecordBatch]:
                 at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
                 hit = mine[at] == keys
                 cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                words, place = _words(texts[lo + k]), (first[a:z] - begin[k]).tolist()
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
                     if not hit[s]:
                         continue
                     for p in range(s, e, SPAN):
                         q = min(e, p + SPAN)
-                        w0, w1 = first[a + p], first[a + q - 1] + WINDOW
-                        passage = b" ".join(raw[start[i] : end[i]].tobytes() for i in range(w0, w1))
-                        rows.append((int(keys[s]), docs[lo + k], hashes[lo + k], int(w0 - begin[k]), q - p, xxhash.xxh3_128_digest(passage), passage))
+                        passage = b" ".join(words[place[p] : place[q - 1] + WINDOW])
+                        rows.append((int(keys[s]), docs[lo + k], hashes[lo + k], place[p], q - p, xxhash.xxh3_128_digest(passage), passage))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in PIECE.split(", ")])
 
@@ -197,22 +202,20 @@ def _matches(rows: list[tuple]) -> pa.RecordBatch:
 def _apply(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n_words, n_removed, kept = [], [], []
-        texts, marks = b.column(1).to_pylist(), b.column(2).to_pylist()
-        for lo, hi in chunks(texts):
-            _, text, start, end, raw = word_hashes(texts[lo:hi], lower=False)
-            inside = np.searchsorted(text, np.arange(hi - lo + 1)).tolist()
-            for k in range(hi - lo):
-                a, z = inside[k], inside[k + 1]
-                edge = np.zeros(z - a + 1, dtype=np.int64)
-                for m in marks[lo + k] or ():
+        for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            words = _words(text)
+            n, stay = len(words), words
+            if marks:
+                edge = np.zeros(n + 1, dtype=np.int64)
+                for m in marks:
                     for w in range(SPAN):
                         if m["bits"] >> w & 1:
                             edge[m["start"] + w] += 1
-                            edge[min(m["start"] + w + WINDOW, z - a)] -= 1
-                stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0) + a
-                n_words.append(z - a)
-                n_removed.append(z - a - len(stay))
-                kept.append(b" ".join(raw[s:e].tobytes() for s, e in zip(start[stay].tolist(), end[stay].tolist(), strict=True)).decode("utf-8", "surrogatepass"))
+                            edge[min(m["start"] + w + WINDOW, n)] -= 1
+                stay = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+            n_words.append(n)
+            n_removed.append(n - len(stay))
+            kept.append(b" ".join(stay).decode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
 
@@ -230,14 +233,14 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
 def pieces(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     joined = _rows(docs).join(anchors, ["doc_id", "th"]).select("doc_id", "th", "text", "anchors")
-    return durable(joined.mapInArrow(_piece_rows, PIECE), "pieces")
+    return durable(joined.mapInArrow(_piece_rows, PIECE), "pieces", "zstd")
 
 
 def earlier_windows(found: DataFrame, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """ph, first_doc, mask for every distinct piece: its first document, and which windows an earlier one has."""
     spark = found.sparkSession
     small_batches(spark)
-    distinct = durable(found.groupBy("anchor", "ph").agg(F.min("doc_id").alias("first_doc"), F.first("passage").alias("passage")), "reference")
+    distinct = durable(found.groupBy("anchor", "ph").agg(F.min("doc_id").alias("first_doc"), F.first("passage").alias("passage")), "reference", "zstd")
     release(spark)
     # The count brings an anchor's pieces to one task, which streams them; only a shard of bounded size is held.
     shards = distinct.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where(F.col("n") > 1)
@@ -248,7 +251,9 @@ def earlier_windows(found: DataFrame, shard_pieces: int = SHARD_PIECES) -> DataF
     least = whole.groupBy("wh").agg(F.min("first_doc").alias("least"))
     earlier = whole.join(least, "wh").where(F.col("least") < F.col("first_doc")).groupBy("ph").agg(F.sum(F.expr("shiftleft(1, w)")).cast("int").alias("mask"))
     masks = matches.where(F.col("mask").isNotNull()).select("ph", "mask").unionAll(earlier)
-    return durable(distinct.select("ph", "first_doc").join(masks, "ph", "left").select("ph", "first_doc", F.coalesce("mask", F.lit(0)).alias("mask")), "masks")
+    out = durable(distinct.select("ph", "first_doc").join(masks, "ph", "left").select("ph", "first_doc", F.coalesce("mask", F.lit(0)).alias("mask")), "masks")
+    discard(distinct, matches)
+    return out
 
 
 def marks(found: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -267,9 +272,13 @@ def substring_dedup(docs: DataFrame, shard_pieces: int = SHARD_PIECES) -> DataFr
     an empty result.
     """
     spark = docs.sparkSession
-    found = pieces(docs, shared_anchors(docs))
+    anchors = shared_anchors(docs)
+    found = pieces(docs, anchors)
+    discard(anchors)
     release(spark)
-    gone = marks(found, earlier_windows(found, shard_pieces))
+    earlier = earlier_windows(found, shard_pieces)
+    gone = marks(found, earlier)
+    discard(found, earlier)
     release(spark)
     out = _rows(docs).join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "marks")
     return out.mapInArrow(_apply, "doc_id long, text string, n_words long, n_removed long")
