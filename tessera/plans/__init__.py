@@ -1,6 +1,6 @@
 """The analytical queries over the corpus relations, and the SQL that each is compared with."""
 
-from . import benchmark, corpus_views, outcomes, promotion, quality, standardise
+from . import benchmark, corpus_views, extraction, outcomes, promotion, quality, standardise
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "benchmark", "corpus_views", "outcomes", "promotion", "quality", "standardise"]
+__all__ = ["QUERIES", "SQL", "benchmark", "corpus_views", "extraction", "outcomes", "promotion", "quality", "standardise"]
