@@ -32,10 +32,10 @@ def printed_cells(c: Corpus) -> DataFrame:
 
 
 @query("""with p as (select m.loan_id, a.accession, m.amount, m.term, floor(ltv * 10000 + 0.5) as n_ltv, floor(m.rate * 10000 + 0.5) as n_rate from metrics m join amounts a on a.loan_id = m.loan_id)
-    select accession as doc_id, loan_id + 2 as row_idx, 'loan_amount' as metric_key, amount as value, 0.95e0 as confidence, 'Cut-off Date Balance ($)' as source_header from p
+    select * from (select accession as doc_id, loan_id + 2 as row_idx, 'loan_amount' as metric_key, amount as value, 0.95e0 as confidence, 'Cut-off Date Balance ($)' as source_header from p
     union all select accession, loan_id + 2, 'ltv', n_ltv / 10000.0e0, 0.95e0, 'Cut-off Date LTV (%)' from p
     union all select accession, loan_id + 2, 'interest_rate', n_rate / 10000.0e0, 0.95e0, 'Mortgage Rate (%)' from p
-    union all select accession, loan_id + 2, 'term_original', term, 0.95e0, 'Original Term (mos)' from p""")
+    union all select accession, loan_id + 2, 'term_original', term, 0.95e0, 'Original Term (mos)' from p) where value is not null""")
 def extract_observations(c: Corpus) -> DataFrame:
     cells = printed_cells(c)
     found = op.observations(cells, op.map_columns(cells, op.header_rows(cells)))
