@@ -22,7 +22,7 @@ def printed_cells(c: Corpus) -> DataFrame:
     """One table for each issuance: a title, a blank row, headers, a row for each loan and a row of totals."""
     deal = c.amounts.select("loan_id", "accession")
     rows = c.metrics.join(deal, "loan_id").select("accession", "loan_id", "amount", "term", F.expr("floor(ltv * 10000 + 0.5)").alias("n_ltv"), F.expr("floor(rate * 10000 + 0.5)").alias("n_rate"))
-    body = rows.select(F.col("accession").alias("doc_id"), (F.col("loan_id") + HEADER_ROW).cast("int").alias("row_idx"), F.posexplode(F.array(*[F.expr(x) for x in PRINTED.values()])).alias("col_idx", "text"))
+    body = rows.select(F.col("accession").alias("doc_id"), (F.col("loan_id") + HEADER_ROW + 1).cast("int").alias("row_idx"), F.posexplode(F.array(*[F.expr(x) for x in PRINTED.values()])).alias("col_idx", "text"))
     deals = rows.select(F.col("accession").alias("doc_id")).distinct()
     head = deals.select("doc_id", F.lit(HEADER_ROW).alias("row_idx"), F.posexplode(F.array(*[F.lit(x) for x in PRINTED])).alias("col_idx", "text"))
     title = deals.select("doc_id", F.lit(0), F.lit(0), F.lit("Annex of loans"))
@@ -32,10 +32,10 @@ def printed_cells(c: Corpus) -> DataFrame:
 
 
 @query("""with p as (select m.loan_id, a.accession, m.amount, m.term, floor(ltv * 10000 + 0.5) as n_ltv, floor(m.rate * 10000 + 0.5) as n_rate from metrics m join amounts a on a.loan_id = m.loan_id)
-    select * from (select accession as doc_id, loan_id + 2 as row_idx, 'loan_amount' as metric_key, amount as value, 0.95e0 as confidence, 'Cut-off Date Balance ($)' as source_header from p
-    union all select accession, loan_id + 2, 'ltv', n_ltv / 10000.0e0, 0.95e0, 'Cut-off Date LTV (%)' from p
-    union all select accession, loan_id + 2, 'interest_rate', n_rate / 10000.0e0, 0.95e0, 'Mortgage Rate (%)' from p
-    union all select accession, loan_id + 2, 'term_original', term, 0.95e0, 'Original Term (mos)' from p) where value is not null""")
+    select * from (select accession as doc_id, loan_id + 3 as row_idx, 'loan_amount' as metric_key, amount as value, 0.95e0 as confidence, 'Cut-off Date Balance ($)' as source_header from p
+    union all select accession, loan_id + 3, 'ltv', n_ltv / 10000.0e0, 0.95e0, 'Cut-off Date LTV (%)' from p
+    union all select accession, loan_id + 3, 'interest_rate', n_rate / 10000.0e0, 0.95e0, 'Mortgage Rate (%)' from p
+    union all select accession, loan_id + 3, 'term_original', term, 0.95e0, 'Original Term (mos)' from p) where value is not null""")
 def extract_observations(c: Corpus) -> DataFrame:
     cells = printed_cells(c)
     found = op.observations(cells, op.map_columns(cells, op.header_rows(cells)))
