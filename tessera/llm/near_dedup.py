@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with an LSH forest.
 
 Documents with one shingle set are one node. Every set has 256 minima, packed four to a number; tree t of the
-forest sorts all sets by the first 16 packed numbers from the t-th on, wrapping round; all of them tell how near
+forest sorts all sets by the packed numbers of all trees from the t-th on, wrapping round; all of them tell how near
 two sets are. Sets that share a tree's first
 number form a region: candidates are taken from its longest-common-prefix order. A region with many members is
 cut by the next number, to the depth at which its parts are small, and only the leaders of the parts meet above.
@@ -15,6 +15,7 @@ components as it goes and gives only the links that joined some, so that no link
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,13 @@ from .words import chunks, mix, window_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 85
-TREES = 16
 PACKED = 4
-#: Packed numbers of a signature; the first TREES of them order the trees.
+#: Packed numbers of a signature; the first of them order the trees.
 NUMBERS = 64
 MINIMA = NUMBERS * PACKED
 SEED = 11
-#: Share of equal minima that makes a pair a candidate; 256 minima of a pair at the limit fall below it once in 10^5.
-NEAR = 0.755
+#: Chance at most, for a pair at the limit, to have too few equal minima, and to share no tree.
+MISSED = 1e-5
 #: Members from which a region is cut one number deeper.
 DEEP = 2_000
 #: Members of a region that are held at once, twice over, when its components are compared.
@@ -47,6 +47,21 @@ _FACTORS = (_r.integers(1, 1 << 62, MINIMA, dtype=np.uint64) << np.uint64(1)) |
 _ADDENDS = _r.integers(1, 1 << 62, MINIMA, dtype=np.uint64)
 
 
+@functools.cache
+def near_share(percent: int) -> float:
+    """Share of equal minima that makes a pair a candidate: a pair at the limit falls below it by MISSED at most."""
+    p, below, need = percent / 100, 0.0, 0
+    while need < MINIMA and (below := below + math.comb(MINIMA, need) * p**need * (1 - p) ** (MINIMA - need)) <= MISSED:
+        need += 1
+    return need / MINIMA
+
+
+def tree_count(percent: int) -> int:
+    """Trees of which a pair at the limit shares the first number of one, but for MISSED; as many as there are numbers at most."""
+    shared = (percent / 100) ** PACKED
+    return NUMBERS if shared <= 0 else 1 if shared >= 1 else min(NUMBERS, math.ceil(math.log(MISSED) / math.log(1 - shared)))
+
+
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text; fewer words are one shingle; no words, none."""
     out: list[np.ndarray] = []
@@ -204,20 +219,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sign, "doc_id long, n_shingles long, k binary, sig array<long>")
 
 
-def regions(sets: DataFrame) -> DataFrame:
+def regions(sets: DataFrame, trees: int) -> DataFrame:
     """tree, region, size, k: members of the regions that have two or more sets."""
-    rows = sets.select("k", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "region"))
+    rows = sets.select("k", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "region"))
     size = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     return rows.join(size, ["tree", "region"]).select("tree", "region", "size", "k")
 
 
-def leader_pairs(members: DataFrame, sets: DataFrame, near: float = NEAR, deep: int = DEEP) -> DataFrame:
+def leader_pairs(members: DataFrame, sets: DataFrame, trees: int, near: float, deep: int = DEEP) -> DataFrame:
     """Candidate pairs a, b (names of sets)."""
     sig, tree = F.col("sig"), F.col("tree")
-    turned = F.concat(F.slice(sig, tree + 1, TREES - tree), F.slice(sig, F.lit(1), tree))
+    turned = F.concat(F.slice(sig, tree + 1, trees - tree), F.slice(sig, F.lit(1), tree))
     rows = members.join(sets.select("k", "sig"), "k").withColumn("turned", turned)
     # The part of a region in which a set looks for a leader: one number deeper for every `deep` times more members.
-    depth = F.least(F.floor(F.log(F.greatest(F.col("size") / deep, F.lit(1))) / F.log(F.lit(float(deep)))) + F.when(F.col("size") > deep, 1).otherwise(0), F.lit(TREES - 1))
+    depth = F.least(F.floor(F.log(F.greatest(F.col("size") / deep, F.lit(1))) / F.log(F.lit(float(deep)))) + F.when(F.col("size") > deep, 1).otherwise(0), F.lit(trees - 1))
     rows = durable(rows.withColumn("part", F.xxhash64(F.slice("turned", F.lit(1), (depth + 1).cast("int")))), "members")
     schema = "tree int, a binary, b binary"
     run = functools.partial(_lead, near=near)
@@ -247,7 +262,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int =
     return durable(both.mapInArrow(functools.partial(_confirm, percent=percent), "a binary, b binary"), "links")
 
 
-def across_links(members: DataFrame, marked: DataFrame, docs: DataFrame, sets: DataFrame, near: float = NEAR, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def across_links(members: DataFrame, marked: DataFrame, docs: DataFrame, sets: DataFrame, near: float, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Links a, b between components that meet in a region; marked: k, sig, label (the component)."""
     left = members.join(marked.select("k", "label"), "k")
     size = left.groupBy("tree", "region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -261,17 +276,18 @@ def across_links(members: DataFrame, marked: DataFrame, docs: DataFrame, sets: D
     return durable(found.distinct(), "across")
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, near: float = NEAR, deep: int = DEEP) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, deep: int = DEEP) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Null text, or text without words, has no shingle and is linked with nothing. A row with a null doc_id is
     linked with nothing: component_id null, kept. Repeated rows of one doc_id are one document: links of any of
     its texts are its links, and all its rows are kept or dropped together. An empty table gives an empty result.
     """
+    near, trees = near_share(percent), tree_count(percent)
     signed = durable(signatures(docs), "signed")
     named = signed.where(F.col("k").isNotNull() & F.col("doc_id").isNotNull())
     sets = durable(named.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
-    members = durable(regions(sets), "regions")
+    members = durable(regions(sets, trees), "regions")
     rep = sets.select("k", "rep")
 
     def edges(links: DataFrame) -> DataFrame:
@@ -281,7 +297,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, near: float = NEAR, deep
     # A doc_id with several texts joins their sets.
     several = named.join(rep, "k").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(F.col("lo") != F.col("hi"))
     more = several.select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).unionAll(several.select(F.col("doc_id").alias("a"), F.col("hi").alias("b")))
-    pairs = durable(leader_pairs(members, sets, near, deep), "pairs")
+    pairs = durable(leader_pairs(members, sets, trees, near, deep), "pairs")
     links = edges(confirmed(pairs, docs, sets, percent)).unionAll(more)
     labels = components(links)
 
