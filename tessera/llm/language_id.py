@@ -46,11 +46,16 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Texts are lower-cased; what is no letter becomes a blank; n-grams of blanks alone or over a text's end are
     left out.
     """
-    flat = np.frombuffer("\x00".join(x.lower() for x in texts).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0" * GRAM, dtype=np.uint32)
-    end = flat == 0
-    text = np.cumsum(end) - end
+    # Each text has a zero behind it, and GRAM - 1 more stand at the end; texts may hold zeros of their own.
+    lower = [x.lower() for x in texts]
+    flat = np.frombuffer(("\x00".join([*lower, ""]) + "\x00" * (GRAM - 1)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = np.array([len(x) + 1 for x in lower], dtype=np.int64)
+    text = np.append(np.repeat(np.arange(len(texts)), size), np.full(GRAM - 1, len(texts)))
+    end = np.zeros(len(flat), dtype=bool)
+    end[np.cumsum(size) - 1] = True
+    end[len(flat) - GRAM + 1 :] = True
     letter = _letter_table()[flat]
-    has = np.zeros(len(texts) + GRAM, dtype=bool)
+    has = np.zeros(len(texts), dtype=bool)
     has[text[letter]] = True
     code = np.where(letter, flat, 32).astype(np.uint64)
     n = len(flat) - GRAM + 1
@@ -63,7 +68,7 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         some |= letter[k : n + k]
         over |= end[k : n + k]
     ok = some & ~over
-    return h[ok], text[:n][ok], has[: len(texts)]
+    return h[ok], text[:n][ok], has
 
 
 def _cells(h: np.ndarray, k: int) -> np.ndarray:
