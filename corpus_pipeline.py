@@ -12,7 +12,7 @@ from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.near_dedup import near_dedup
 from tessera.llm.piece_bpe import piece_digests
-from tessera.llm.quality_rules import quality_rules
+from tessera.llm.quality_rules import WORDS_AND_PAIRS, quality_rules
 from tessera.llm.queries import piece_model
 
 #: The columns of documents, which all stages but the last return.
@@ -27,7 +27,7 @@ def _with_hash(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     rows = _with_hash(docs)
-    verdict = quality_rules(rows, read_table(spark, sf_dir, "labels"), carry=("th",))
+    verdict = quality_rules(rows, read_table(spark, sf_dir, "labels"), orders=WORDS_AND_PAIRS, carry=("th",))
     bad = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("in_th").alias("bad_th")).distinct()
     kept = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("th") == F.col("bad_th")), "left_anti")
     return kept.select(*COLUMNS)

@@ -1,7 +1,8 @@
 """Quality rules with a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
-Two multinomials over hashed word n-grams are counted: one over all of the corpus, one over a bounded sample of
-trusted documents. A document's score is the mean over its n-grams of log p(trusted) - log p(corpus). Every
+Two multinomials over hashed word n-grams are counted for each length: one over all of the corpus, one over a
+bounded sample of trusted documents. A document's score is the mean over its n-grams of log p(trusted) - log p(corpus),
+that of the length for which it is lowest, so that pairs can only add to what single words reject. Every
 document whose score is below a fixed threshold is rejected, besides those that fail the base rules.
 """
 
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, WORD, text_or_empty
 
-#: Hash buckets of the multinomials; the weight table has one row for each, so it may be broadcast.
+#: Hash buckets of single words; the weight table has one row for each bucket, so it may be broadcast.
 BUCKETS = 1 << 14
-#: Lengths of the n-grams in words. On labelled rows single words part good from bad better than pairs do
-#: (pairs are too rare in a trusted sample), at half the cost.
+#: So many times more buckets for each longer n-gram, which has buckets of its own.
+LONGER = 16
+#: Lengths of the n-grams in words, if none are asked for.
 ORDERS = (1,)
+#: Those of the query and of the pipeline: pairs tell text from the same words in another order.
+WORDS_AND_PAIRS = (1, 2)
 #: Mean log-likelihood ratio that a document must reach.
 THRESHOLD = -0.35
 #: The trusted multinomial is fitted on at most so many labelled documents, those with the smallest hashes.
@@ -28,14 +32,20 @@ REPEAT_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 
 
+def bucket_counts(orders: tuple, n: int) -> list[int]:
+    """Buckets of each order; they follow each other."""
+    return [n if k == 1 else n * LONGER for k in orders]
+
+
 def buckets(words: Column, orders: tuple = ORDERS, n: int = BUCKETS) -> Column:
     """Array of the hashed n-grams of an array of words."""
+    counts = bucket_counts(orders, n)
 
-    def of(k: int) -> Column:
+    def of(o: int, k: int) -> Column:
         starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0)))
-        return F.transform(starts, lambda w, i: F.pmod(F.xxhash64(F.lit(k), w, *[F.get(words, i + j) for j in range(1, k)]), F.lit(n)).cast("int"))
+        return F.transform(starts, lambda w, i: (F.pmod(F.xxhash64(F.lit(k), w, *[F.get(words, i + j) for j in range(1, k)]), F.lit(counts[o])) + sum(counts[:o])).cast("int"))
 
-    return F.concat(*[of(k) for k in orders])
+    return F.concat(*[of(o, k) for o, k in enumerate(orders)])
 
 
 def with_repeated_words(rows: DataFrame) -> DataFrame:
@@ -76,7 +86,7 @@ def base_columns(rows: DataFrame) -> DataFrame:
 def ngram_weights(docs: DataFrame, labels: DataFrame, orders: tuple = ORDERS, n: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """bucket, weight: log-likelihood ratio of each bucket that the corpus has.
 
-    The corpus counts get one added each; the trusted counts are smoothed towards the corpus, by a prior worth
+    Each order is a multinomial of its own. The corpus counts get one added each; the trusted counts are smoothed towards the corpus, by a prior worth
     one n-gram a bucket, so that words that a small trusted sample happens to lack don't count against a text.
 
     Weights are null if no trusted document is found: then there is no verdict to give.
@@ -87,10 +97,15 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, orders: tuple = ORDERS, n:
     rows = rows.join(F.broadcast(good), rows["doc_id"] == good["good_id"], "left")
     grams = rows.select(F.col("good_id").isNotNull().cast("long").alias("good"), F.explode(buckets(F.col("words"), orders, n)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
-    totals = counts.agg(F.sum("raw").alias("raw_total"), F.sum("good").alias("good_total"))
-    both = counts.join(F.broadcast(totals), F.lit(True))
-    p_raw = (F.col("raw") + 1) / (F.col("raw_total") + n)
-    weight = F.log((F.col("good") + n * p_raw) / (F.col("good_total") + n)) - F.log(p_raw)
+    order, size, start = F.lit(0), F.lit(n), 0
+    for o, m in enumerate(bucket_counts(orders, n)):
+        mine = F.col("bucket") >= start
+        order, size, start = F.when(mine, o).otherwise(order), F.when(mine, m).otherwise(size), start + m
+    counts = counts.withColumns({"order": order, "n": size})
+    totals = counts.groupBy("order").agg(F.sum("raw").alias("raw_total"), F.sum("good").alias("good_total"))
+    both = counts.join(F.broadcast(totals), "order")
+    p_raw = (F.col("raw") + 1) / (F.col("raw_total") + F.col("n"))
+    weight = F.log((F.col("good") + F.col("n") * p_raw) / (F.col("good_total") + F.col("n"))) - F.log(p_raw)
     return both.select("bucket", F.when(F.col("good_total") > 0, weight).alias("weight"))
 
 
@@ -108,5 +123,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     rows = base_columns(docs.select("doc_id", text_or_empty().alias("text"), *kept_in)).withColumn("row", F.monotonically_increasing_id())
     base = ["doc_id", *[f"in_{c}" for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     flat = rows.select("row", *base, F.explode_outer(buckets(F.col("words"), orders, n)).alias("bucket"))
-    scored = flat.join(F.broadcast(weights), "bucket", "left").groupBy("row", *base).agg(F.avg("weight").alias("llr"))
+    scored = flat.join(F.broadcast(weights), "bucket", "left")
+    means, start = [], 0
+    for m in bucket_counts(orders, n):
+        means.append(F.avg(F.when((F.col("bucket") >= start) & (F.col("bucket") < start + m), F.col("weight"))))
+        start += m
+    scored = scored.groupBy("row", *base).agg((F.least(*means) if len(means) > 1 else means[0]).alias("llr"))
     return scored.select(*base, (~F.col("base_failed") & (F.coalesce(F.round("llr", 9), F.lit(math.inf)) >= threshold)).alias("kept"), "llr")

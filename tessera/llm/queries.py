@@ -16,7 +16,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .pii import find_pii
 from .piece_bpe import piece_digests
-from .quality_rules import quality_rules
+from .quality_rules import WORDS_AND_PAIRS, quality_rules
 from .substring_dedup import substring_dedup
 
 
@@ -67,7 +67,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), orders=WORDS_AND_PAIRS)
 
 
 SQL = {
