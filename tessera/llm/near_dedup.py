@@ -3,7 +3,7 @@
 Documents with one shingle set are one node. Every set has 256 minima, packed four to a number; tree t of the
 forest sorts all sets by the packed numbers of all trees from the t-th on, wrapping round; all of them tell how near
 two sets are. Sets that share a tree's first
-number form a region: candidates are taken from its longest-common-prefix order. A region with many members is
+number form a region: candidates are pairs of a set and a leader met before it. A region with many members is
 cut by the next number, to the depth at which its parts are small, and only the leaders of the parts meet above.
 Within a region a leader stands for the members that the minima show to be near it, so that a group of copies
 gives one candidate pair for each member and not all pairs. Candidates are confirmed on full shingle sets. What
