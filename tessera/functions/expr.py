@@ -33,7 +33,7 @@ def metrics_wide(facts: DataFrame, keys: tuple | list, gate: Callable = num) ->
 
 
 def loans_wide(c, keys: tuple | list, gate: Callable = num) -> DataFrame:
-    return c.loans.join(metrics_wide(c.facts, keys, gate), "loan_id", "left")
+    return c.loans.join(metrics_wide(c.facts_of(*keys), keys, gate), "loan_id", "left")
 
 
 def with_filing(c, df: DataFrame) -> DataFrame:

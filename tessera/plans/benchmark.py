@@ -16,10 +16,10 @@ from .outcomes import after_closing
 from .registry import query
 from .shared_sql import GATE_NONNEG, canon_sql, fact, med, quart
 
-MIN_PAIRS, CONCENTRATION, MIN_PER_METRIC = 5, 0.8, 10
+MIN_PAIRS, CONCENTRATION, MIN_PER_METRIC = 15, 0.8, 10
 #: Bounds of the cohort metrics and the end that counts as aggressive: fixed values.
 COHORT = {
-    "ltv": (0.01, 2.0, "high"), "dscr": (0.1, 20.0, "low"), "debt_yield": (0.01, 1.0, "low"), "interest_rate": (0.001, 0.2, ""), "loan_amount": (1e5, 1e10, ""), "occupancy": (0.1, 1.01, "low"),
+    "ltv": (0.01, 2.0, "high"), "dscr": (0.1, 20.0, "low"), "debt_yield": (0.01, 1.0, "low"), "interest_rate": (0.001, 0.2, "high"), "loan_amount": (1e5, 1e10, "high"), "occupancy": (0.1, 1.01, "low"),
 }
 SIMULATIONS, SEED = 4000, 0xC0FFEE
 
@@ -41,7 +41,7 @@ _MEDIANS = "medians as (" + " union all ".join(f"select '{k}' as metric, l.acces
 
 def medians(c: Corpus) -> DataFrame:
     inside = functools.reduce(lambda a, b: a | b, [(F.col("metric") == k) & F.col("v").between(lo, hi) for k, (lo, hi, _) in COHORT.items()])
-    rows = c.facts.where(F.col("metric_key").isin(*COHORT)).select("loan_id", F.col("metric_key").alias("metric"), num("value").alias("v")).where(inside)
+    rows = c.facts_of(*COHORT).select("loan_id", F.col("metric_key").alias("metric"), num("value").alias("v")).where(inside)
     rows = with_filing(c, rows.join(c.loans.select("loan_id", "accession"), "loan_id"))
     out = rows.groupBy("metric", "accession", "vintage").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", 0.5).alias("median"))
     return out.where(F.col("n") >= MIN_PER_METRIC).drop("n")
@@ -52,21 +52,31 @@ def cohort_medians(c: Corpus) -> DataFrame:
     return medians(c).withColumn("median", F.round("median", 8))
 
 
+_HIGH, _LOW = ([k for k, (*_, end) in COHORT.items() if end == side] for side in ("high", "low"))
+
+
 @query(f"""with {_MEDIANS}, r as (select a.metric, a.accession, a.median as value, count(b.median) as others, count(*) filter (where b.median < a.median) + 1 as rank, list_sort(list(b.median)) as sorted from medians a join medians b on a.metric = b.metric and a.vintage = b.vintage and a.accession <> b.accession group by 1, 2, 3)
-    select metric, accession, round(value, 6) as value, others, rank, rank <= 3 or rank >= others - 1 as extreme, round(sorted[least(others, cast(floor(0.25 * others) as int) + 1)], 6) as p25, round(sorted[least(others, cast(floor(0.5 * others) as int) + 1)], 6) as p50, round(sorted[least(others, cast(floor(0.75 * others) as int) + 1)], 6) as p75 from r where others >= {MIN_PAIRS}""")
+    select metric, accession, round(value, 8) as value, others, rank, rank <= 3 or rank >= others - 1 as extreme, (metric in ({", ".join(f"'{k}'" for k in _HIGH)}) and rank >= others - 1) or (metric in ({", ".join(f"'{k}'" for k in _LOW)}) and rank <= 3) as aggressive,
+    round(sorted[least(others, cast(floor(0.25 * others) as int) + 1)], 8) as p25, round(sorted[least(others, cast(floor(0.5 * others) as int) + 1)], 8) as p50, round(sorted[least(others, cast(floor(0.75 * others) as int) + 1)], 8) as p75 from r where others >= {MIN_PAIRS}""")
 def benchmark_ranks(c: Corpus) -> DataFrame:
     """Each issuance among the others of its vintage; quartiles by nearest rank.
 
-    A vintage's medians are few (its issuances), so they travel as one array and each issuance takes itself out.
+    All issuances of a vintage have equally many others, so a quartile stands at the same place for each; without
+    itself an issuance finds there the cohort's value at that place, or the next one if it stands before.
     """
-    m = medians(c)
-    cohort = m.groupBy("metric", "vintage").agg(F.sort_array(F.collect_list(F.struct("median", "accession"))).alias("all"))
-    rows = m.join(cohort, ["metric", "vintage"])
-    rows = rows.withColumn("o", F.transform(F.filter("all", lambda x: x["accession"] != F.col("accession")), lambda x: x["median"])).withColumn("others", F.size("o").cast("long")).where(F.col("others") >= MIN_PAIRS)
-    rank = F.size(F.filter("o", lambda x: x < F.col("median"))) + 1
-    at = lambda p: r6(F.element_at("o", F.least(F.col("others"), F.floor(p * F.col("others")) + 1).cast("int")))
-    rows = rows.withColumn("rank", rank.cast("long"))
-    return rows.select("metric", "accession", r6(F.col("median")).alias("value"), "others", "rank", ((F.col("rank") <= 3) | (F.col("rank") >= F.col("others") - 1)).alias("extreme"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
+    cohort = Window.partitionBy("metric", "vintage")
+    rows = medians(c).withColumn("at", F.row_number().over(cohort.orderBy("median", "accession"))).withColumn("rank", F.rank().over(cohort.orderBy("median")).cast("long"))
+    rows = rows.withColumn("others", F.count(F.lit(1)).over(cohort) - 1)
+
+    def quartile(p: float) -> Column:
+        place = F.least(F.col("others"), F.floor(p * F.col("others")) + 1)
+        here, after = (F.max(F.when(F.col("at") == place + k, F.col("median"))).over(cohort) for k in (0, 1))
+        return F.round(F.when(F.col("at") > place, here).otherwise(after), 8)
+
+    rows = rows.withColumns({name: quartile(p) for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))}).where(F.col("others") >= MIN_PAIRS)
+    low, high = F.col("rank") <= 3, F.col("rank") >= F.col("others") - 1
+    aggressive = (F.col("metric").isin(_HIGH) & high) | (F.col("metric").isin(_LOW) & low)
+    return rows.select("metric", "accession", F.round("median", 8).alias("value"), "others", "rank", (low | high).alias("extreme"), aggressive.alias("aggressive"), "p25", "p50", "p75")
 
 
 _KINDS = f"kinds as (select l.accession, year(f.filed_at) as vintage, {canon_sql('l.property_type', 'Unclassified')} as kind, count(*) as n from loans l join filings f on f.accession = l.accession where l.property_type is not null group by 1, 2, 3)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import byar, canon_type, count_if, loans_wide, observed, pct, r6, ratio, share_if, shelf, wilson, with_filing
+from ..operators.tiles import with_tile
 from ..sources.bridge import Corpus
 from .registry import query
 from .shared_sql import OBSERVED, canon_sql, fact, med, shelf_sql, wilson_sql
@@ -39,10 +40,10 @@ def predictor_totals(c: Corpus) -> DataFrame:
 
 @query(f"with {BASE}, q as (" + " union all ".join(f"select '{k}' as metric, event, {k} as x, ntile(5) over (order by {k}, loan_id) as q from pop where {k} is not null" for k in ("ltv", "dscr", "dy", "rate")) + f") select metric, q, {N_EV}, round(min(x), 6) as lo, round(max(x), 6) as hi from q group by metric, q")
 def predictor_quintiles(c: Corpus) -> DataFrame:
-    """Quintiles are cut from ranks within each metric."""
+    """Quintiles within each metric."""
     by = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(k).alias("x")) for n, k in (("ltv", "ltv"), ("dscr", "dscr"), ("dy", "debt_yield"), ("rate", "interest_rate"))])
     rows = base(c).select("loan_id", "event", F.explode(by).alias("m")).select("loan_id", "event", "m.*").where(F.col("x").isNotNull())
-    rows = rows.withColumn("q", F.ntile(5).over(Window.partitionBy("metric").orderBy("x", "loan_id")))
+    rows = with_tile(rows, "x", "loan_id", 5, "q", key="metric")
     return rows.groupBy("metric", "q").agg(*n_ev(), r6(F.min("x")).alias("lo"), r6(F.max("x")).alias("hi"))
 
 
@@ -60,32 +61,16 @@ def predictor_thin_expensive(c: Corpus) -> DataFrame:
 
 @query(f"with {BASE}, q as (select *, ntile(3) over (partition by vintage order by dscr, loan_id) as tercile from pop where dscr is not null) select vintage, tercile, {N_EV} from q group by 1, 2")
 def predictor_terciles_by_vintage(c: Corpus) -> DataFrame:
-    rows = base(c).where(F.col("dscr").isNotNull()).withColumn("tercile", F.ntile(3).over(Window.partitionBy("vintage").orderBy("dscr", "loan_id")))
+    rows = with_tile(base(c).where(F.col("dscr").isNotNull()), "dscr", "loan_id", 3, "tercile", key="vintage")
     return rows.groupBy("vintage", "tercile").agg(*n_ev())
 
 
 _GRID = f"{BASE}, grid as (select *, ntile(3) over (order by dscr, loan_id) as td, ntile(3) over (order by ltv, loan_id) as tl from pop where dscr is not null and ltv is not null)"
 
 
-def _terciles(rows: DataFrame, x: str, out: str) -> DataFrame:
-    """Terciles over all rows, from a bounded number of blocks: exact cut points come from ranks within sorted ranges.
-
-    ntile gives the first (n mod 3) tiles one row more; the cut rows are found by their rank.
-    """
-    n = rows.agg(F.count(F.lit(1)).alias("n")).select(F.floor(F.col("n") / 3).alias("size"), (F.col("n") % 3).alias("extra"))
-    place = F.struct(F.col(x).alias("x"), F.col("loan_id"))
-    block = rows.repartitionByRange(x, "loan_id").withColumn("block", F.spark_partition_id())
-    sizes = block.groupBy("block").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = block.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(place))).join(F.broadcast(sizes.select("block", "before")), "block").crossJoin(F.broadcast(n))
-    r = F.col("r") + F.col("before")
-    first = F.col("size") + (F.col("extra") > 0).cast("int")
-    second = first + F.col("size") + (F.col("extra") > 1).cast("int")
-    return ranked.withColumn(out, F.when(r <= first, 1).when(r <= second, 2).otherwise(3)).drop("block", "before", "r", "size", "extra")
-
-
 def _grid(c: Corpus) -> DataFrame:
     rows = base(c).where(F.col("dscr").isNotNull() & F.col("ltv").isNotNull())
-    return _terciles(_terciles(rows, "dscr", "td"), "ltv", "tl")
+    return with_tile(with_tile(rows, "dscr", "loan_id", 3, "td"), "ltv", "loan_id", 3, "tl")
 
 
 @query(f"with {_GRID} select td, tl, {N_EV} from grid group by 1, 2")
@@ -112,7 +97,8 @@ def _sir_sql(source: str, unit: str, strata: str, least: int) -> str:
 
 @query(f"with {_GRID}, {_sir_sql('grid', 'shelf', 'vintage, td', 200)}")
 def predictor_shelf_sir(c: Corpus) -> DataFrame:
-    return sir(_terciles(base(c).where(F.col("dscr").isNotNull() & F.col("ltv").isNotNull()), "dscr", "td"), "shelf", ["vintage", "td"], 200)
+    rows = base(c).where(F.col("dscr").isNotNull() & F.col("ltv").isNotNull())
+    return sir(with_tile(rows, "dscr", "loan_id", 3, "td"), "shelf", ["vintage", "td"], 200)
 
 
 @query(f"with {BASE} select upper(split_part(company_name, ' ', 1)) as shelf, vintage, count(*) as n from pop group by 1, 2")
@@ -225,7 +211,7 @@ def seller_spread(c: Corpus) -> DataFrame:
 
 @query(f"with {_GRID}, sold as (select * from grid where loan_seller is not null and property_type is not null), {_sir_sql('sold', 'loan_seller', 'kind, vintage, td', 1)}")
 def seller_sir(c: Corpus) -> DataFrame:
-    rows = _terciles(base(c).where(F.col("dscr").isNotNull() & F.col("ltv").isNotNull()), "dscr", "td")
+    rows = with_tile(base(c).where(F.col("dscr").isNotNull() & F.col("ltv").isNotNull()), "dscr", "loan_id", 3, "td")
     return sir(rows.where(F.col("loan_seller").isNotNull() & F.col("property_type").isNotNull()), "loan_seller", ["kind", "vintage", "td"], 1)
 
 

@@ -21,8 +21,8 @@ def _case(key: str, values: tuple, default: str = "null") -> str:
     return "case " + key + " " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + f" else {default} end"
 
 
-def relations(spark: bool) -> dict[str, str]:
-    """Name -> SELECT text, each over the ones before it and over orders, customer, lineitem."""
+def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
+    """Name -> SELECT text, each over the ones before it and over orders, customer, lineitem; facts of some metrics only, if keys are given."""
     days = (lambda d, n: f"date_add({d}, cast({n} as int))") if spark else (lambda d, n: f"({d} + cast({n} as integer))")
     listed = (lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")") if spark else (lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]")
     empty = "cast(array() as array<string>)" if spark else "cast([] as varchar[])"
@@ -63,12 +63,20 @@ def relations(spark: bool) -> dict[str, str]:
         amount * (rate + 0.015e0) as service, noi / (senior * (rate + 0.015e0)) as dscr, noi * 0.95e0 / (senior * (rate + 0.015e0)) as dscr_ncf, qty / 50.0e0 / n as occupancy,
         case when loan_id % 3 = 0 then 60.0e0 else 120.0e0 end as term, cast(n as double) as props, cast(amount as double) / sum(cast(amount as double)) over (partition by accession) as share
         from amounts""".replace("sum(cast(amount as double)) over", "sum(amount) over")
-    union = " union all ".join(f"select loan_id, '{k}' as metric_key, {v} as value, 0.95e0 as confidence, concat('Header ', '{k}') as source_header, 1 as source_column from metrics where {metrics[k]} is not null" for k, v in printed.items())
-    out["first_read"] = union
-    out["observations"] = """select * from first_read
-        union all select loan_id, metric_key, concat('9', value), 0.8e0, 'Worse header', 2 from first_read where loan_id % 3 = 0
-        union all select loan_id, metric_key, concat('8', value), 0.95e0, 'Tied header', 3 from first_read where loan_id % 10 = 0
-        union all select loan_id, metric_key, concat('7', value), 0.7e0, 'Cut-off Date Balance', 4 from first_read where metric_key = 'loan_amount' and loan_id % 4 = 0"""
+    if spark:
+        # One pass: a loan's metrics, then an observation's other readings, are exploded from arrays.
+        each = ", ".join(f"named_struct('metric_key', '{k}', 'value', {v})" for k, v in printed.items() if keys is None or k in keys)
+        out["first_read"] = f"""select loan_id, metric_key, value, 0.95e0 as confidence, concat('Header ', metric_key) as source_header, 1 as source_column
+            from (select loan_id, inline(array({each})) from metrics) where value is not null"""
+        read = lambda digit, confidence, header, column, when: f"case when {when} then named_struct('value', concat('{digit}', value), 'confidence', {confidence}e0, 'source_header', {header}, 'source_column', {column}) end"
+        out["observations"] = f"""select loan_id, metric_key, inline(filter(array({read("", "0.95", "source_header", 1, "true")}, {read("9", "0.8", "'Worse header'", 2, "loan_id % 3 = 0")},
+            {read("8", "0.95", "'Tied header'", 3, "loan_id % 10 = 0")}, {read("7", "0.7", "'Cut-off Date Balance'", 4, "metric_key = 'loan_amount' and loan_id % 4 = 0")}), x -> x is not null)) from first_read"""
+    else:
+        out["first_read"] = " union all ".join(f"select loan_id, '{k}' as metric_key, {v} as value, 0.95e0 as confidence, concat('Header ', '{k}') as source_header, 1 as source_column from metrics where {metrics[k]} is not null" for k, v in printed.items())
+        out["observations"] = """select * from first_read
+            union all select loan_id, metric_key, concat('9', value), 0.8e0, 'Worse header', 2 from first_read where loan_id % 3 = 0
+            union all select loan_id, metric_key, concat('8', value), 0.95e0, 'Tied header', 3 from first_read where loan_id % 10 = 0
+            union all select loan_id, metric_key, concat('7', value), 0.7e0, 'Cut-off Date Balance', 4 from first_read where metric_key = 'loan_amount' and loan_id % 4 = 0"""
     out["facts"] = "select loan_id, metric_key, value, confidence, source_header from first_read"
     out["servicer_reports"] = f"""select concat('R-', accession) as accession, accession as deal_accession, {_case("nat % 9", SHELVES)} as shelf_prefix,
         concat({_case("nat % 9", SHELVES)}, ' ', vintage, '-C', nat) as company_name, case when nat % 7 = 0 then null else concat('Master ', nat % 4) end as master_servicer,
@@ -113,14 +121,21 @@ class Corpus:
         if name.startswith("_") or name not in self.texts:
             raise AttributeError(name)
         if name not in self.made:
-            parts = closure({name}, self.texts)
-            ctes = ", ".join(f"{p} as ({self.texts[p]})" for p in parts[:-1])
-            body = (f"with {ctes} " if ctes else "") + self.texts[name]
-            for t in TABLES:
-                body = body.replace(f" from {t}", f" from {{{t}}}").replace(f"join {t} ", f"join {{{t}}} ").replace(f"\n        from {t} ", f"\n        from {{{t}}} ")
-            self.made[name] = self.spark.sql(body, **{t: d for t, d in self.tables.items() if f"{{{t}}}" in body})
+            self.made[name] = self._build(name, self.texts)
         return self.made[name]
 
+    def facts_of(self, *keys: str) -> DataFrame:
+        """The facts of some metrics: no other is printed."""
+        return self._build("facts", relations(spark=True, keys=keys))
+
+    def _build(self, name: str, texts: dict[str, str]) -> DataFrame:
+        parts = closure({name}, texts)
+        ctes = ", ".join(f"{p} as ({texts[p]})" for p in parts[:-1])
+        body = (f"with {ctes} " if ctes else "") + texts[name]
+        for t in TABLES:
+            body = body.replace(f" from {t}", f" from {{{t}}}").replace(f"join {t} ", f"join {{{t}}} ").replace(f"\n        from {t} ", f"\n        from {{{t}}} ")
+        return self.spark.sql(body, **{t: d for t, d in self.tables.items() if f"{{{t}}}" in body})
+
 
 def oracle(body: str) -> str:
     """DuckDB text: the relations that body names as CTEs, then body."""
@@ -128,7 +143,7 @@ def oracle(body: str) -> str:
 
     texts = relations(spark=False)
     parts = closure({x for x in texts if re.search(rf"\b{x}\b", body)}, texts)
-    ctes = ", ".join(f"{p} as ({texts[p]})" for p in parts)
+    ctes = ", ".join(f"{p} as materialized ({texts[p]})" for p in parts)
     body = body.strip()
     if body.lower().startswith("with "):
         return f"with {ctes}, {body[5:]}"
