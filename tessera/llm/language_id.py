@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import small_batches, text_or_empty
+from .common import durable, small_batches, text_or_empty
 
 GRAM = 4
 #: A filter is fitted on at most so many documents of its language, those with the smallest hashes of the id.
@@ -155,7 +155,8 @@ def fit(train: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: in
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
     wanted = functools.reduce(lambda c, x: c.when(F.col("lang") == x, F.lit(docs_per_lang / sizes[x])), langs, F.when(F.lit(False), F.lit(0.0)))
     sample = train.where(F.col("text").isNotNull() & (share < wanted)).select("lang", "text")
-    counts = sample.mapInArrow(_train_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Written once: totals, frequencies and the other languages' shares are all read from it.
+    counts = durable(sample.mapInArrow(_train_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     freq = counts.join(F.broadcast(totals), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("f"))
     others = freq.groupBy("gram").agg(F.sum("f").alias("all"), F.count(F.lit(1)).alias("in_langs"))
