@@ -3,8 +3,8 @@
 Each source has a token target. Document rates r = 2 / (1 + exp(-lambda * x)) are the solution of the
 bounded-entropy balancing problem with one token constraint per source: an exponential tilt of the uniform
 rate 1 along x, held below 2 copies; x is the mean size of the document's size class over the source's mean.
-Newton iterations on the convex dual find lambda for every source, each from the documents and tokens of its
-size classes, of which there are at most a few hundred whatever the source's size. Systematic rounding along
+Newton iterations on the convex dual, each a pass of Spark over all sources' size classes, find lambda for every
+source; a source has at most a few hundred classes whatever its size. Systematic rounding along
 size classes turns rates into 0, 1 or 2 copies; of several phases of the rounding each source takes the one
 that comes nearest its target.
 """
@@ -19,7 +19,9 @@ from .common import WORD, durable, text_or_empty
 SHARE = 1.5
 MOST_COPIES = 2
 WEIGHTS = (3, 1, 2)
+#: Iterations at most, and the step at which they end.
 NEWTON_STEPS = 40
+CLOSE = 1e-7
 #: Size classes for each doubling of the size.
 CLASSES = 8
 PHASES = 16
@@ -30,7 +32,7 @@ STEEPEST = 60.0
 
 def sizes(docs: DataFrame, carry: tuple = ()) -> DataFrame:
     kept = [F.col(c).alias(f"in_{c}") for c in carry]
-    return docs.select("doc_id", "source", *kept, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", *kept, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_or_empty()).alias("__th"))
 
 
 def source_targets(by_source: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS) -> DataFrame:
@@ -38,7 +40,7 @@ def source_targets(by_source: DataFrame, share: float = SHARE, weights: tuple =
 
     Sources fill up in the order of (cap / weight): with the sources before k full, the level of the others is
     (total - caps before) / (weights from k on); the first source whose cap is not below its level's share ends
-    the full ones. This is where resharing the excess ends.
+    the full ones. This is where resharing the excess ends. Sources are ordered in one task, a row each.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
@@ -61,35 +63,32 @@ def _rate(lam: Column, x: Column) -> Column:
 def tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
     """hist: source, bin, n, tokens; targets: source, source_size, target -> targets with mean, lam.
 
-    The dual's gradient is tokens(lam) - target, rising in lam. Steps stay inside a bracket that shrinks with
-    every evaluation, so that Newton can't run away where the curve is flat.
+    Every Newton iteration is one pass of Spark over the size classes: it joins each source's lambda to its classes,
+    sums gradient and curvature by source and writes the next lambdas. The dual's gradient is tokens(lam) - target,
+    rising in lam. Steps stay inside a bracket that shrinks with every evaluation, so that Newton can't run away where
+    the curve is flat. One number comes to the driver each time: the largest step. A source whose target is its limit
+    needs no tilt and stays at 0.
     """
-    bins = F.sort_array(F.collect_list(F.struct(F.col("bin"), (F.col("tokens") / F.col("n")).alias("size"), F.col("tokens").cast("double").alias("tokens"))))
-    own = hist.where(F.col("tokens") > 0).groupBy("source").agg((F.sum("tokens") / F.sum("n")).alias("mean"), bins.alias("bins"))
+    own = hist.where(F.col("tokens") > 0).groupBy("source").agg((F.sum("tokens") / F.sum("n")).alias("mean"))
     state = _join_source(targets, own)
-    pair = lambda g, h: F.struct(g.alias("g"), h.alias("h"))
-
-    def evaluate(lam: Column) -> Column:
-        def add(acc, b):
-            x = b["size"] / F.col("mean")
-            r = _rate(lam, x)
-            return pair(acc["g"] + b["tokens"] * r, acc["h"] + b["tokens"] * x * r * (1 - r / MOST_COPIES))
-
-        return F.aggregate("bins", pair(F.lit(0.0), F.lit(0.0)), add)
-
-    def step(s: Column, _: Column) -> Column:
-        # The next point comes from the sums at this one; the struct carries both, so they are worked out once.
-        over = s["at"]["g"] - F.col("target")
-        lo = F.when(over < 0, s["lam"]).otherwise(s["lo"])
-        hi = F.when(over < 0, s["hi"]).otherwise(s["lam"])
-        newton = s["lam"] - over / F.greatest(s["at"]["h"], F.lit(1e-12))
-        lam = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-        return F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"), evaluate(lam).alias("at"))
-
-    zero = F.lit(0.0)
-    first = F.struct(zero.alias("lam"), F.lit(-STEEPEST).alias("lo"), F.lit(STEEPEST).alias("hi"), evaluate(zero).alias("at"))
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), first, step)
-    return state.select("source", "source_size", "target", "mean", last["lam"].alias("lam"))
+    free = F.col("mean").isNotNull() & (F.col("target") < MOST_COPIES * F.col("source_size"))
+    classes = _join_source(hist.where(F.col("tokens") > 0), state.where(free).select("source", "mean"))
+    classes = durable(classes.where(F.col("mean").isNotNull()).select("source", (F.col("tokens") / F.col("n") / F.col("mean")).alias("x"), F.col("tokens").cast("double").alias("tokens")), "classes")
+    state = durable(state.select("*", F.lit(0.0).alias("lam"), F.lit(-STEEPEST).alias("lo"), F.lit(STEEPEST).alias("hi"), F.lit(0.0).alias("moved")), "tilts")
+    for _ in range(NEWTON_STEPS):
+        at = _join_source(classes, state.select("source", "lam"))
+        at = at.withColumn("r", _rate(F.col("lam"), F.col("x")))
+        slope = F.col("tokens") * F.col("x") * F.col("r") * (1 - F.col("r") / MOST_COPIES)
+        sums = at.groupBy("source").agg(F.sum(F.col("tokens") * F.col("r")).alias("g"), F.sum(slope).alias("h"))
+        step = _join_source(state, sums).withColumn("over", F.col("g") - F.col("target"))
+        step = step.withColumns({"lo": F.when(F.col("over") < 0, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("over") < 0, F.col("hi")).otherwise(F.col("lam"))})
+        newton = F.col("lam") - F.col("over") / F.greatest(F.col("h"), F.lit(1e-12))
+        step = step.withColumn("next", F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+        done = F.col("g").isNull()
+        state = durable(step.select("source", "source_size", "target", "mean", F.when(done, 0.0).otherwise(F.col("next")).alias("lam"), "lo", "hi", F.when(done, 0.0).otherwise(F.abs(F.col("next") - F.col("lam"))).alias("moved")), "tilts")
+        if (state.agg(F.max("moved")).first()[0] or 0.0) < CLOSE:
+            break
+    return state.select("source", "source_size", "target", "mean", "lam")
 
 
 def _join_source(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -101,12 +100,12 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, carry:
 
     Null text has size 0; a null source is a source of its own, the last. Rows of size 0 take no words (copies 0
     or more). Repeated rows and null ids are rows like any other, rounded in a fixed order of (size class, hash
-    of the id, size, id), so reruns agree. An empty table gives an empty result. `carry` names further columns
+    of id and text, size, id, hash of the text), so reruns agree, also where ids repeat. An empty table gives an empty result. `carry` names further columns
     of docs to keep, as "in_<name>".
     """
     kept = [f"in_{c}" for c in carry]
     rows = sizes(docs, carry).withColumn("bin", F.floor(CLASSES * F.log2(F.col("size") + 1)).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "__th"), F.lit(BLOCKS)).cast("int"))
     rows = durable(rows, "sizes")
     fine = rows.groupBy("source", "bin", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
     hist = fine.groupBy("source", "bin").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
@@ -122,7 +121,7 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, carry:
     per = _join_keys(fine, at.select("source", "bin", "rate", "start"), ["source", "bin"])
     within = Window.partitionBy("source", "bin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("start", F.col("start") + F.col("rate") * F.coalesce(F.sum("n").over(within), F.lit(0)))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "bin", "block").orderBy("size", "doc_id")))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "bin", "block").orderBy("size", "doc_id", "__th")))
     placed = _join_keys(ranked, per.select("source", "bin", "block", "rate", "start"), ["source", "bin", "block"])
 
     def copies(phase: float) -> Column:
