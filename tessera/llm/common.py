@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII blanks (space, tab, LF, VT, FF, CR).
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows in one Arrow batch: keeps a Python worker's batch small although texts may be long.
 ARROW_ROWS = 500
+ARROW_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +24,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python workers get ARROW_ROWS rows at a time, whatever the session's default."""
+    """Python workers get ARROW_ROWS rows and ARROW_BYTES at a time at most (a longer row comes alone), whatever the session's default."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; one of our own only in local mode, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
     if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

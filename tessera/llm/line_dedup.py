@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-The store keeps runs of (line hash, documents, largest doc_id), each sorted by hash and written in the shared
-folder. Documents come in batches of descending doc_id, so that the batch that first brings a line also brings
+The store keeps runs of (line hash, documents, largest doc_id), each dealt into buckets and sorted by hash, in the
+shared folder. Documents come in batches of descending doc_id, so that the batch that first brings a line also brings
 its largest doc_id. A new batch is merge-joined with the runs: lines that the runs lack (the anti-join) are
 added with their holder, lines that they have add their count only. When a level holds FANIN runs they are
 compacted into one run of the next level. At the end all runs are merged and lines found in enough documents
@@ -11,21 +11,23 @@ are dropped everywhere but in the holder.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK_CHARS, durable, small_batches, text_or_empty
+from .common import BLANK_CHARS, discard, durable, shared_dir, small_batches, text_or_empty
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANIN = 3
-RUN = "h binary, n_docs long, holder long"
+#: Documents from which a line may count as hot.
+HOT_LEAST = 1_000
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -57,50 +59,82 @@ def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class SortedRuns:
-    """Levels of runs, each sorted by hash; a run at level k holds up to FANIN**k batches."""
+    """Levels of runs; a run at level k holds up to FANIN**k batches.
 
-    def __init__(self, fanin: int = FANIN):
-        self.fanin = fanin
-        self.levels: list[list[DataFrame]] = [[]]
+    A run is a table dealt into buckets by hash, each bucket a file sorted by hash. All runs have the same buckets,
+    so joining a batch to the runs deals the batch only, and runs are compacted bucket by bucket without a shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, fanin: int = FANIN):
+        self.spark, self.fanin = spark, fanin
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
 
-    def all_runs(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return functools.reduce(DataFrame.unionAll, runs) if runs else None
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     @staticmethod
-    def merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+    def merged(runs: list[DataFrame]) -> DataFrame:
+        """Runs merged by hash: counts add up, the first holder (of the largest documents) stays."""
+        out = runs[0]
+        for run in runs[1:]:
+            more = run.select("h", F.col("n_docs").alias("__n"), F.col("holder").alias("__holder"))
+            out = out.join(more, "h", "full").select("h", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("n_docs"), F.greatest("holder", "__holder").alias("holder"))
+        return out
 
     def add(self, lines: DataFrame) -> None:
         """lines: (doc_id, h) of one batch, each pair once, all ids below those of earlier batches."""
         new = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
-        seen = self.all_runs()
-        if seen is not None:
-            known = seen.where(F.col("holder").isNotNull()).select("h", F.lit(True).alias("known"))
+        for run in self.runs():
+            # The anti-join: a line that an earlier run holds adds its count only.
+            known = run.where(F.col("holder").isNotNull()).select("h", F.lit(True).alias("known"))
             new = new.join(known, "h", "left").select("h", "n_docs", F.when(F.col("known").isNull(), F.col("holder")).alias("holder"))
         self._put(0, new)
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(durable(run.sortWithinPartitions("h"), f"run{level}"))
+        name = f"tessera_run_{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{shared_dir(self.spark)}/tessera/{name}").saveAsTable(name)
+        self.levels[level].append(name)
         if len(self.levels[level]) == self.fanin:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self.merged(functools.reduce(DataFrame.unionAll, full)))
+            self._put(level + 1, self.merged([self.spark.table(x) for x in full]))
+            self._forget(full)
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            discard(self.spark.table(name))
+            self.spark.sql(f"drop table {name}")
+
+    def close(self) -> None:
+        self._forget([name for level in self.levels for name in level])
 
 
 def repeated_lines(lines: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """h, n_docs, holder of every line found in at least min_docs documents."""
-    span = lines.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    store = SortedRuns()
-    if span["lo"] is None:
-        bounds = [(None, None)]
-    else:
-        step = (span["hi"] - span["lo"]) // batches + 1
-        bounds = [(span["lo"] + k * step, span["lo"] + (k + 1) * step) for k in reversed(range(batches))]
-    for lo, hi in bounds:
-        store.add(lines if lo is None else lines.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)))
-    return store.merged(store.all_runs()).where(F.col("n_docs") >= min_docs)
+    """h, n_docs, holder of every line found in at least min_docs documents, written once."""
+    spark = lines.sparkSession
+    cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
+    store = SortedRuns(spark)
+    ends = [None, *sorted(set(cuts)), None]
+    for lo, hi in reversed(list(zip(ends[:-1], ends[1:], strict=True))):
+        part = lines if lo is None else lines.where(F.col("doc_id") > lo)
+        store.add(part if hi is None else part.where(F.col("doc_id") <= hi))
+    out = durable(store.merged(store.runs()).where(F.col("n_docs") >= min_docs), "repeated")
+    store.close()
+    return out
+
+
+def lost_lines(lines: DataFrame, drop: DataFrame) -> DataFrame:
+    """doc_id, h: the pairs to drop. A line that very many documents share is dealt into parts.
+
+    A line is such if it is in more documents than a ten-thousandth of all pairs, so there are at most 10,000.
+    """
+    most = max(HOT_LEAST, lines.count() // 10_000)
+    hot = drop.where(F.col("n_docs") > most).select("h", F.ceil(F.col("n_docs") / most).cast("int").alias("parts"))
+    dealt = drop.join(F.broadcast(hot), "h", "left").select("h", "holder", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    salted = lines.join(F.broadcast(hot), "h", "left").select("doc_id", "h", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    return salted.join(dealt, ["h", "part"]).where(F.col("doc_id") < F.col("holder")).select("doc_id", "h")
 
 
 def _drop(batches, min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -132,8 +166,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     # A repeated row would count its document twice, so pairs are made distinct (with a combine in each task).
     lines = durable(document_lines(docs, min_chars).distinct(), "lines")
     drop = repeated_lines(lines, min_docs, batches)
-    # Adaptive execution splits a line that very many documents share; pairs are 24 bytes.
-    gone = lines.join(drop, "h").where(F.col("doc_id") < F.col("holder")).groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
+    gone = lost_lines(lines, drop).groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
     carried = [F.col(c).alias(f"in_{c}") for c in carry]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *carried)
     rows = rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *[f"in_{c}" for c in carry])

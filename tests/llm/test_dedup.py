@@ -72,15 +72,33 @@ def test_lines(spark):
 
 
 def test_runs_compact(spark):
-    store = SortedRuns(fanin=2)
+    store = SortedRuns(spark, fanin=2)
     for k in (3, 2, 1, 0):
         store.add(spark.createDataFrame([(k * 10 + i, bytes([i])) for i in range(3)], "doc_id long, h binary"))
     assert [len(x) for x in store.levels] == [0, 0, 1]
-    got = {bytes(r["h"]): (r["n_docs"], r["holder"]) for r in store.merged(store.all_runs()).collect()}
+    got = {bytes(r["h"]): (r["n_docs"], r["holder"]) for r in store.merged(store.runs()).collect()}
     assert got == {bytes([i]): (4, 30 + i) for i in range(3)}
+    # Runs meet bucket by bucket: merging two of them deals nothing.
+    for k in (5, 4):
+        store.add(spark.createDataFrame([(k - 10, bytes([k]))], "doc_id long, h binary"))
+    plan = store.merged(store.runs())._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_run")]
 
 
-def want_near(rows):
+def test_hot_lines_are_dealt(spark, monkeypatch):
+    from tessera.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "HOT_LEAST", 5)
+    rows = [(d, h) for d in range(40) for h in ((b"hot", b"own%d" % d) if d % 2 else (b"hot", b"few"))]
+    lines = spark.createDataFrame(rows, "doc_id long, h binary")
+    drop = module.repeated_lines(lines, 3)
+    got = {(r["doc_id"], bytes(r["h"])) for r in module.lost_lines(lines, drop).collect()}
+    assert got == {(d, b"hot") for d in range(39)} | {(d, b"few") for d in range(0, 38, 2)}
+
+
+def want_near(rows, percent=85):
     sets, parent = {}, {}
     for d, t, *_ in rows:
         w = words((t or "").translate(LOWER))
@@ -92,7 +110,7 @@ def want_near(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {d: (len(sets[d]), find(d)) for d in sets}
