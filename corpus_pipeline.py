@@ -17,6 +17,8 @@ from tessera.llm.queries import piece_model
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents whose 5-word shingles agree by this share or more are near copies.
+NEAR_PERCENT = 80
 
 
 def _with_hash(docs: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def _with_hash(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts are rejected, and equal rows share their verdict. An empty table stays empty."""
     rows = _with_hash(docs)
     verdict = quality_rules(rows, read_table(spark, sf_dir, "labels"), orders=WORDS_AND_PAIRS, carry=("th",))
     bad = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("in_th").alias("bad_th")).distinct()
@@ -40,13 +42,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    copies = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("copy_id")).distinct()
+    """One document of each group of near copies stays, the one with the least id; rows with a null id stay."""
+    copies = near_dedup(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("copy_id")).distinct()
     return docs.select(*COLUMNS).join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights: a document stays once, twice or not at all."""
+    """Sources come to their target weights: a document stays once, twice or not at all. A null source is one of its own; of equal rows one stands for all."""
     rows = _with_hash(docs)
     keys = ("doc_id", "source", "in_th")
     taken = mix(rows.select("doc_id", "text", "source", "th"), carry=("th", "source"))
