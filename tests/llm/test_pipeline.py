@@ -29,7 +29,7 @@ def test_stages(spark, folder):
         assert tuple(out.columns) == p.COLUMNS
         after = out.collect()
         if name == "near-duplicates":
-            want = want_near([tuple(r) for r in before])
+            want = want_near([tuple(r) for r in before], p.NEAR_PERCENT)
             assert Counter(r["doc_id"] for r in after) == Counter(r["doc_id"] for r in before if r["doc_id"] is None or want[r["doc_id"]][1] == r["doc_id"])
         if name == "mixing":
             assert max(Counter(repr(r) for r in after).values()) <= 2 * max(Counter(repr(r) for r in before).values())
