@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, text_or_empty
+from .common import WORD, durable, text_or_empty
 
 #: Hash buckets of single words; the weight table has one row for each bucket, so it may be broadcast.
 BUCKETS = 1 << 14
@@ -37,13 +37,21 @@ def bucket_counts(orders: tuple, n: int) -> list[int]:
     return [n if k == 1 else n * LONGER for k in orders]
 
 
-def buckets(words: Column, orders: tuple = ORDERS, n: int = BUCKETS) -> Column:
-    """Array of the hashed n-grams of an array of words."""
+def word_hashes(words: Column) -> Column:
+    """Array of one hash for each word; n-grams and windows are hashed from these, so that each word is read once."""
+    return F.transform(words, lambda w: F.xxhash64(F.lit(1), w))
+
+
+def buckets(hashes: Column, orders: tuple = ORDERS, n: int = BUCKETS) -> Column:
+    """Array of the hashed n-grams of an array of words' hashes."""
     counts = bucket_counts(orders, n)
 
     def of(o: int, k: int) -> Column:
-        starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0)))
-        return F.transform(starts, lambda w, i: (F.pmod(F.xxhash64(F.lit(k), w, *[F.get(words, i + j) for j in range(1, k)]), F.lit(counts[o])) + sum(counts[:o])).cast("int"))
+        place = lambda h: (F.pmod(h, F.lit(counts[o])) + sum(counts[:o])).cast("int")
+        if k == 1:
+            return F.transform(hashes, place)
+        starts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (k - 1), F.lit(0)))
+        return F.transform(starts, lambda h, i: place(F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, k)])))
 
     return F.concat(*[of(o, k) for o, k in enumerate(orders)])
 
@@ -58,27 +66,27 @@ def with_repeated_words(rows: DataFrame) -> DataFrame:
     windows, by_hash, at = F.col("windows"), F.col("by_hash"), F.col("at")
     pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     same_as = lambda x, i: F.coalesce(F.get(by_hash, i)["h"] == x["h"], F.lit(False))
-    out = rows.withColumn("by_hash", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.array_sort(pairs)).otherwise(F.slice(pairs, F.lit(1), F.lit(0))))
+    out = rows.withColumn("by_hash", F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.array_sort(pairs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     out = out.withColumn("at", F.array_sort(F.transform(F.filter(by_hash, lambda x, i: same_as(x, i - 1) | same_as(x, i + 1)), lambda x: x["i"])))
     steps = F.transform(at, lambda p, i: F.least(F.coalesce(F.get(at, i + 1) - p, F.lit(3)), F.lit(3)))
     return out.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda a, b: a + b).cast("long")).drop("windows", "by_hash", "at")
 
 
 def base_columns(rows: DataFrame) -> DataFrame:
-    """Adds words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed to rows with a non-null text."""
-    t, words = F.col("text"), F.col("words")
+    """Adds hashes (of the words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed to rows with a non-null text."""
+    t, words, hashes = F.col("text"), F.col("words"), F.col("hashes")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    out = rows.withColumn("words", F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)))
+    out = rows.withColumn("words", F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1))).withColumn("hashes", word_hashes(words))
     out = out.select(
         "*",
         F.size(words).cast("long").alias("n_words"),
-        (F.length(t) - F.regexp_count(t, F.lit(BLANKS[:-1]))).cast("long").alias("word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))).alias("windows"),
+        F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2))).alias("windows"),
     )
     out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    out = with_repeated_words(out.drop("lines"))
+    out = with_repeated_words(out.drop("lines", "words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -95,8 +103,10 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, orders: tuple = ORDERS, n:
     good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(trusted_docs)
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
     rows = rows.join(F.broadcast(good), rows["doc_id"] == good["good_id"], "left")
-    grams = rows.select(F.col("good_id").isNotNull().cast("long").alias("good"), F.explode(buckets(F.col("words"), orders, n)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
+    rows = rows.select(F.col("good_id").isNotNull().cast("long").alias("good"), word_hashes(F.col("words")).alias("hashes"))
+    grams = rows.select("good", F.explode(buckets(F.col("hashes"), orders, n)).alias("bucket"))
+    # Written once, one row a bucket: totals and weights are both read from it.
+    counts = durable(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")), "ngrams")
     order, size, start = F.lit(0), F.lit(n), 0
     for o, m in enumerate(bucket_counts(orders, n)):
         mine = F.col("bucket") >= start
@@ -122,7 +132,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     # The n-grams of a row are summed in the task that explodes them; a row number tells repeated rows apart.
     rows = base_columns(docs.select("doc_id", text_or_empty().alias("text"), *kept_in)).withColumn("row", F.monotonically_increasing_id())
     base = ["doc_id", *[f"in_{c}" for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    flat = rows.select("row", *base, F.explode_outer(buckets(F.col("words"), orders, n)).alias("bucket"))
+    flat = rows.select("row", *base, F.explode_outer(buckets(F.col("hashes"), orders, n)).alias("bucket"))
     scored = flat.join(F.broadcast(weights), "bucket", "left")
     means, start = [], 0
     for m in bucket_counts(orders, n):
