@@ -92,18 +92,34 @@ CLASSES = (
     ("mixed", "Mixed Use"),
     ("manufactured", "Manufactured"),
 )
+#: The classes of the standardised analyses: other patterns in another order, and other names; fixed values.
+STANDARD_CLASSES = (
+    ("multifamily|cooperative|garden|low rise|mid rise|high rise|student|military", "Multifamily"),
+    ("manufactured", "Manufactured Housing"),
+    ("retail|anchored|single tenant|shadow", "Retail"),
+    ("office|cbd|suburban|medical", "Office"),
+    ("industrial|warehouse|flex|distribution", "Industrial"),
+    ("self storage|storage", "Self Storage"),
+    ("hospitality|hotel|full service|limited service|extended stay", "Hospitality"),
+    ("mixed", "Mixed Use"),
+)
 #: Issuer families by the start of a name: fixed values.
 SHELF_PATTERNS = (("BANK5%", "BANK5"), ("BANK %", "BANK"), ("BENCHMARK%", "Benchmark"), ("BBCMS%", "BBCMS"), ("BMO%", "BMO"), ("WELLS%", "Wells"), ("MORGAN%", "MS"), ("MSWF%", "MS"), ("GS %", "GS"))
 
 
-def canon_type(column: str = "property_type", otherwise: str = "Other") -> Column:
+def canon_type(column: str = "property_type", otherwise: str = "Other", classes: tuple = CLASSES) -> Column:
     out = None
-    for pattern, name in CLASSES:
+    for pattern, name in classes:
         cond = F.col(column).rlike(f"(?i){pattern}")
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return out.otherwise(otherwise)
 
 
+def standard_type(column: str = "property_type") -> Column:
+    """Class of the standardised analyses; no type stays without a class."""
+    return F.when(F.col(column).isNotNull(), canon_type(column, "Otro", STANDARD_CLASSES))
+
+
 def shelf(column: str = "company_name", otherwise: str = "other") -> Column:
     out = None
     for pattern, name in SHELF_PATTERNS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.expr import CLASSES, SHELF_PATTERNS
+from ..functions.expr import CLASSES, SHELF_PATTERNS, STANDARD_CLASSES
 
 GATE = "'^-?[0-9.]+$'"
 GATE_NONNEG = "'^[0-9.]+$'"
@@ -35,8 +35,12 @@ OUTCOMES = f"""outcomes as (
 POST = "days_after_origination >= 0 and is_full_year and gap_vs_actual is not null"
 
 
-def canon_sql(column: str, otherwise: str = "Other") -> str:
-    return "case " + " ".join(f"when regexp_matches({column}, '(?i){p}') then '{n}'" for p, n in CLASSES) + f" else '{otherwise}' end"
+def canon_sql(column: str, otherwise: str = "Other", classes: tuple = CLASSES) -> str:
+    return "case " + " ".join(f"when regexp_matches({column}, '(?i){p}') then '{n}'" for p, n in classes) + f" else '{otherwise}' end"
+
+
+def standard_sql(column: str) -> str:
+    return f"case when {column} is not null then {canon_sql(column, 'Otro', STANDARD_CLASSES)} end"
 
 
 def shelf_sql(column: str, otherwise: str = "other") -> str:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import byar, canon_type, count_if, loans_wide, observed, pct, r6, ratio, share_if, shelf, wilson, with_filing
+from ..functions.expr import byar, count_if, loans_wide, observed, pct, r6, ratio, share_if, shelf, standard_type, wilson, with_filing
 from ..operators.tiles import with_tile
 from ..sources.bridge import Corpus
 from .registry import query
-from .shared_sql import OBSERVED, canon_sql, fact, med, shelf_sql, wilson_sql
+from .shared_sql import OBSERVED, fact, med, shelf_sql, standard_sql, wilson_sql
 
 MIN_POOL = 150
 DSCR_CUT, RATE_CUT = 1.5, 0.065
@@ -19,11 +21,11 @@ def base(c: Corpus) -> DataFrame:
     """Loans of observed deals with their metrics and whether they had an event."""
     rows = observed(c, with_filing(c, loans_wide(c, ("ltv", "dscr", "debt_yield", "interest_rate"))))
     rows = rows.join(c.delinquency.select("loan_id", "transfer_date"), "loan_id", "left")
-    return rows.withColumns({"event": F.col("transfer_date").isNotNull().cast("long"), "shelf": shelf(), "kind": canon_type("property_type")})
+    return rows.withColumns({"event": F.col("transfer_date").isNotNull().cast("long"), "shelf": shelf(), "kind": standard_type()})
 
 
 BASE = f"""pop as (select l.loan_id, l.accession, year(f.filed_at) as vintage, t.v as ltv, s.v as dscr, y.v as dy, r.v as rate, l.property_type, l.loan_seller, f.company_name,
-    {shelf_sql("f.company_name")} as shelf, {canon_sql("l.property_type")} as kind, cast(d.transfer_date is not null as bigint) as event
+    {shelf_sql("f.company_name")} as shelf, {standard_sql("l.property_type")} as kind, cast(d.transfer_date is not null as bigint) as event
     from loans l join filings f on f.accession = l.accession left join delinquency d on d.loan_id = l.loan_id {fact("t", "ltv")} {fact("s", "dscr")} {fact("y", "debt_yield")} {fact("r", "interest_rate")} where {OBSERVED})"""
 
 N_EV = "count(*) as n, cast(sum(event) as bigint) as events"
@@ -222,6 +224,97 @@ def seller_by_vintage(c: Corpus) -> DataFrame:
     return out.withColumns({"share_events": r6(F.col("events") / F.sum("events").over(w)), "share_pool": r6(F.col("n") / F.sum("n").over(w))})
 
 
+# --- coverage and details of composition, servicers and sellers
+
+MIN_COVERAGE = 0.9
+
+
+@query(f"with {BASE} select count(*) as n, count(property_type) as with_type, (select count(*) from (select shelf from pop group by 1 having count(property_type) * 1.0e0 / count(*) < {MIN_COVERAGE})) as weak_shelves from pop")
+def composition_coverage(c: Corpus) -> DataFrame:
+    by_shelf = base(c).groupBy("shelf").agg(F.count(F.lit(1)).alias("n"), F.count("property_type").alias("with_type"))
+    return by_shelf.agg(F.sum("n").alias("n"), F.sum("with_type").alias("with_type"), count_if(F.col("with_type") / F.col("n") < MIN_COVERAGE).alias("weak_shelves"))
+
+
+@query(f"with {_MASTER} select {N_EV}, count(distinct master) as masters from served")
+def servicer_totals(c: Corpus) -> DataFrame:
+    return served(c).agg(*n_ev(), F.count_distinct("master").alias("masters"))
+
+
+@query(f"with {BASE} select count(*) as n, count(nullif(trim(loan_seller), '')) as with_seller, (select count(*) from filings) as issuances, (select count(distinct accession) from loans where nullif(trim(loan_seller), '') is not null) as with_col from pop")
+def seller_coverage(c: Corpus) -> DataFrame:
+    named = F.nullif(F.trim("loan_seller"), F.lit(""))
+    rows = base(c).agg(F.count(F.lit(1)).alias("n"), F.count(named).alias("with_seller"))
+    return rows.crossJoin(F.broadcast(c.filings.agg(F.count(F.lit(1)).alias("issuances")))).crossJoin(F.broadcast(c.loans.where(named.isNotNull()).agg(F.count_distinct("accession").alias("with_col"))))
+
+
+#: The seller that the detail queries look at, and the detailed types of its multifamily loans.
+SELLER, DETAILS = "BUILDING", ("Garden", "Mid Rise")
+_DETAIL = f"{BASE}, det as (select p.*, nullif(trim(x.v), '') as detail from pop p left join (select loan_id, value as v from facts where metric_key = 'property_type_detailed') x on x.loan_id = p.loan_id)"
+
+
+def detailed(c: Corpus) -> DataFrame:
+    facts = c.facts_of("property_type_detailed").select("loan_id", F.nullif(F.trim("value"), F.lit("")).alias("detail"))
+    return base(c).join(facts, "loan_id", "left")
+
+
+@query(f"with {_DETAIL} select count(*) as n, count(detail) as with_detail, count(*) filter (where loan_seller = '{SELLER}') as own_n, count(detail) filter (where loan_seller = '{SELLER}') as own_with from det")
+def seller_detail_coverage(c: Corpus) -> DataFrame:
+    own = F.col("loan_seller") == SELLER
+    return detailed(c).agg(F.count(F.lit(1)).alias("n"), F.count("detail").alias("with_detail"), count_if(own).alias("own_n"), F.count(F.when(own, F.col("detail"))).alias("own_with"))
+
+
+@query(f"with {_DETAIL}, rate as (select detail, sum(event) * 1.0e0 / count(*) as rate from det where detail is not null group by 1) select d.loan_seller as seller, d.detail, {N_EV}, round(max(t.rate) * 100, 1) as corpus_rate from det d join rate t on t.detail = d.detail where d.loan_seller in ('{SELLER}', 'MACHINERY') group by 1, 2 having count(*) >= 10")
+def seller_detail_mix(c: Corpus) -> DataFrame:
+    rows = detailed(c).where(F.col("detail").isNotNull())
+    rate = rows.groupBy("detail").agg(F.avg("event").alias("rate"))
+    out = rows.where(F.col("loan_seller").isin(SELLER, "MACHINERY")).join(F.broadcast(rate), "detail").groupBy(F.col("loan_seller").alias("seller"), "detail").agg(*n_ev(), F.round(F.max("rate") * 100, 1).alias("corpus_rate"))
+    return out.where(F.col("n") >= 10)
+
+
+@query(f"with {_DETAIL} select vintage, count(*) filter (where loan_seller = '{SELLER}') as n, cast(sum(event) filter (where loan_seller = '{SELLER}') as bigint) as events, count(*) filter (where loan_seller is distinct from '{SELLER}') as corpus_n, cast(sum(event) filter (where loan_seller is distinct from '{SELLER}') as bigint) as corpus_events from det where detail in {DETAILS} group by 1")
+def seller_mf_vintage(c: Corpus) -> DataFrame:
+    own = F.col("loan_seller").eqNullSafe(SELLER)
+    return detailed(c).where(F.col("detail").isin(*DETAILS)).groupBy("vintage").agg(count_if(own).alias("n"), F.sum(F.when(own, F.col("event"))).alias("events"), count_if(~own).alias("corpus_n"), F.sum(F.when(~own, F.col("event"))).alias("corpus_events"))
+
+
+def bonferroni_z(tests: int, alpha: float = 0.05) -> float:
+    """Two-sided critical value of the normal distribution at alpha over the number of tests."""
+    return statistics.NormalDist().inv_cdf(1 - alpha / max(1, tests) / 2)
+
+
+_BONF = f"with {_GRID}, sold as (select * from grid where loan_seller is not null and property_type is not null), s as (with {_sir_sql('sold', 'loan_seller', 'kind, vintage, td', 1)}), z as (select *, abs(ln(observed / expected)) * sqrt(observed) as z from s where observed >= 1 and expected > 0)"
+
+
+@query(f"{_BONF} select loan_seller, round(z, 4) as z, z > 1.96 as departs, z > " + "case (select count(*) from s) " + " ".join(f"when {m} then {statistics.NormalDist().inv_cdf(1 - 0.05 / m / 2)!r}" for m in range(1, 21)) + " end as departs_bonferroni from z")
+def seller_bonferroni(c: Corpus) -> DataFrame:
+    """Sellers whose observed events depart from the expected ones, with and without regard to how many sellers are tested."""
+    rows = seller_sir(c)
+    tests = rows.agg(F.count(F.lit(1)).alias("m")).select(F.array(*[F.lit(bonferroni_z(m)) for m in range(1, 201)])[F.least(F.col("m"), F.lit(200)).cast("int") - 1].alias("limit"))
+    z = F.abs(F.log(F.col("observed") / F.col("expected"))) * F.sqrt("observed")
+    out = rows.where((F.col("observed") >= 1) & (F.col("expected") > 0)).withColumn("z", z).crossJoin(F.broadcast(tests))
+    return out.select("loan_seller", F.round("z", 4).alias("z"), (F.col("z") > 1.96).alias("departs"), (F.col("z") > F.col("limit")).alias("departs_bonferroni"))
+
+
+@query(f"""with {BASE}, r as (select rank() over (order by dscr) + (count(*) over (partition by dscr) - 1) / 2.0e0 as a, rank() over (order by rate) + (count(*) over (partition by rate) - 1) / 2.0e0 as b from (select accession, vintage, percentile_cont(0.5) within group (order by dscr) as dscr, percentile_cont(0.5) within group (order by rate) as rate from pop where dscr is not null and rate is not null group by 1, 2)),
+    k as (select count(*) as n, corr(a, b) as rho from r) select n, round(rho, 6) as rho, round(rho * sqrt((n - 2) / greatest(1e-9, 1 - rho * rho)), 6) as t from k""")
+def predictor_spearman(c: Corpus) -> DataFrame:
+    """Rank correlation of the issuances' median coverage and rate, with Student's t; ties take their average rank."""
+    rows = base(c).where(F.col("dscr").isNotNull() & F.col("interest_rate").isNotNull()).groupBy("accession").agg(F.percentile("dscr", 0.5).alias("dscr"), F.percentile("interest_rate", 0.5).alias("rate"))
+    # Issuances are few against loans: their ranks may be counted in one task.
+    mean_rank = lambda x: F.rank().over(Window.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(x)) - 1) / 2.0
+    k = rows.select(mean_rank("dscr").alias("a"), mean_rank("rate").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("rho"))
+    rho = F.col("rho")
+    return k.select("n", r6(rho).alias("rho"), r6(rho * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-9), 1 - rho * rho))).alias("t"))
+
+
+@query(f"with {BASE}, k as (select count(*) filter (where dscr < {DSCR_CUT}) as k, count(*) as n from pop where event = 1 and dscr is not null) select k, n, round(k * 1.0e0 / n, 6) as share, round((k * 1.0e0 / n - 0.5) / sqrt(0.25e0 / n), 6) as z from k")
+def predictor_thin_share(c: Corpus) -> DataFrame:
+    """Share of thin loans among those with an event, against one half."""
+    k = base(c).where((F.col("event") == 1) & F.col("dscr").isNotNull()).agg(count_if(F.col("dscr") < DSCR_CUT).alias("k"), F.count(F.lit(1)).alias("n"))
+    share = F.col("k") / F.nullif(F.col("n"), F.lit(0))
+    return k.select("k", "n", r6(share).alias("share"), r6((share - 0.5) / F.sqrt(0.25 / F.col("n"))).alias("z"))
+
+
 # --- falsification cuts
 
 _GAPS = f"gaps as (select l.loan_id, l.accession, l.property_type, u.v / nullif(m.v, 0) - 1 as gap, o.v as occupancy, b.v as balance from loans l {fact('u', 'noi_underwritten', 'join')} {fact('m', 'noi_most_recent', 'join')} {fact('o', 'occupancy')} {fact('b', 'loan_amount')} where m.v > 0 and u.v is not null)"

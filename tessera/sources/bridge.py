@@ -32,8 +32,9 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
         "loan_amount": "amount", "balance_pari_passu_non_trust": "non_trust", "balance_senior_total": "senior_total", "noi_underwritten": "noi", "noi_most_recent": "recent",
         "net_cash_flow": "ncf", "appraised_value": "value", "ltv": "ltv", "debt_yield": "dy", "interest_rate": "rate", "debt_service_pi": "service", "dscr": "dscr", "dscr_ncf": "dscr_ncf",
         "occupancy": "occupancy", "term_original": "term", "property_count": "props", "pool_share": "share",
+        "io_period_original": "io", "reserve_replacement_monthly": "reserve", "property_type_detailed": "detail",
     }
-    printed = {k: text(v) for k, v in metrics.items()}
+    printed = {k: v if v == "detail" else text(v) for k, v in metrics.items()}
     # Some malformed and some negative texts, for both kinds of number gate.
     printed["debt_yield"] = f"case when loan_id % 97 = 0 and dy is not null then '1.2.3' else {printed['debt_yield']} end"
     printed["noi_most_recent"] = f"case when loan_id % 97 = 1 then concat('-', {printed['noi_most_recent']}) else {printed['noi_most_recent']} end"
@@ -61,7 +62,9 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
         noi * (1.0e0 + (loan_id % 41 - 20) / 100.0e0) as recent, noi * 0.95e0 as ncf, senior * (1.4e0 + (loan_id % 7) / 10.0e0) as value,
         case when loan_id % 20 = 3 then 1.1e0 else 1.0e0 end / (1.4e0 + (loan_id % 7) / 10.0e0) as ltv, noi / senior * case when loan_id % 20 = 0 then 1.1e0 else 1.0e0 end as dy, rate,
         amount * (rate + 0.015e0) as service, noi / (senior * (rate + 0.015e0)) as dscr, noi * 0.95e0 / (senior * (rate + 0.015e0)) as dscr_ncf, qty / 50.0e0 / n as occupancy,
-        case when loan_id % 3 = 0 then 60.0e0 else 120.0e0 end as term, cast(n as double) as props, cast(amount as double) / sum(cast(amount as double)) over (partition by accession) as share
+        case when loan_id % 3 = 0 then 60.0e0 else 120.0e0 end as term, cast(n as double) as props, cast(amount as double) / sum(cast(amount as double)) over (partition by accession) as share,
+        case when loan_id % 6 = 0 then null else (loan_id % 4) * 20.0e0 end as io, case when loan_id % 8 = 1 then null else amount / 1000000.0e0 * (1 + loan_id % 5) end as reserve,
+        case when part is null or loan_id % 9 = 0 then null when part % 3 = 0 then 'Garden' when part % 3 = 1 then 'Mid Rise' else 'Student Housing' end as detail
         from amounts""".replace("sum(cast(amount as double)) over", "sum(amount) over")
     if spark:
         # One pass: a loan's metrics, then an observation's other readings, are exploded from arrays.
@@ -81,7 +84,8 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
     out["servicer_reports"] = f"""select concat('R-', accession) as accession, accession as deal_accession, {_case("nat % 9", SHELVES)} as shelf_prefix,
         concat({_case("nat % 9", SHELVES)}, ' ', vintage, '-C', nat) as company_name, case when nat % 7 = 0 then null else concat('Master ', nat % 4) end as master_servicer,
         concat('Special ', nat % 3) as special_servicer, nat % 4 - 1 as delinquency_tables, case when nat % 4 = 1 then 0 else nat % 6 end as data_rows,
-        case when nat % 6 = 2 then 0 else nat % 6 end as parsed_rows, case when nat % 6 in (0, 2) then 0 else nat % 6 - nat % 2 end as matched_rows, 80 + nat as pool_loans
+        case when nat % 6 = 2 then 0 else nat % 6 end as parsed_rows, case when nat % 6 in (0, 2) then 0 else nat % 6 - nat % 2 end as matched_rows, 80 + nat as pool_loans,
+        concat(chr(123), '"delinquencyDropped":', nat % 6, ',"delinquencyDroppedSamples":["row of ', accession, '","other"]', chr(125)) as stats
         from deals where nat % 5 <> 0"""
     period = "make_date(vintage + 2, 6, 30)"
     out["delinquency"] = f"""select concat('R-', accession) as report_accession, loan_id, {period} as period, {days(period, "-(loan_id % 400)")} as paid_through,
