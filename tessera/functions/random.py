@@ -8,13 +8,24 @@ import numpy as np
 FACTOR, STEP = 1664525, 1013904223
 
 
-def lcg_stream(seed: int, n: int) -> np.ndarray:
-    """The first n values after seed, bit for bit, by doubling: k steps at once are again a linear step."""
+def lcg_state(seed: int, steps: int) -> int:
+    """The state after so many steps, by doubling: k steps at once are again a linear step."""
+    a, b, s = FACTOR, STEP, seed & 0xFFFFFFFF
+    while steps:
+        if steps & 1:
+            s = (s * a + b) & 0xFFFFFFFF
+        a, b = a * a & 0xFFFFFFFF, (a * b + b) & 0xFFFFFFFF
+        steps >>= 1
+    return s
+
+
+def lcg_stream(seed: int, n: int, skip: int = 0) -> np.ndarray:
+    """n values of the stream after the first `skip`, bit for bit."""
     out = np.empty(n, dtype=np.uint64)
     if not n:
         return out.astype(float)
     mask = np.uint64(0xFFFFFFFF)
-    out[0] = (seed * FACTOR + STEP) & 0xFFFFFFFF
+    out[0] = (lcg_state(seed, skip) * FACTOR + STEP) & 0xFFFFFFFF
     have, a, b = 1, FACTOR, STEP
     while have < n:
         more = min(have, n - have)

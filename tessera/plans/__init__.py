@@ -1,6 +1,6 @@
 """The analytical queries over the corpus relations, and the SQL that each is compared with."""
 
-from . import benchmark, corpus_views, extraction, gaps, outcomes, promotion, quality, standardise, totals
+from . import benchmark, corpus_views, exchange, extraction, gaps, outcomes, promotion, quality, standardise, totals
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "benchmark", "corpus_views", "extraction", "gaps", "outcomes", "promotion", "quality", "standardise", "totals"]
+__all__ = ["QUERIES", "SQL", "benchmark", "corpus_views", "exchange", "extraction", "gaps", "outcomes", "promotion", "quality", "standardise", "totals"]

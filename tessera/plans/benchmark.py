@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import functools
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import canon_type, count_if, loans_wide, num, num_nonneg, pct, quartiles, r6, with_filing
-from ..functions.random import lcg_stream
+from ..operators.resample import bootstrap, null_distances
 from ..sources.bridge import Corpus
 from .outcomes import after_closing
 from .registry import query
@@ -21,7 +20,6 @@ MIN_PAIRS, CONCENTRATION, MIN_PER_METRIC = 15, 0.8, 10
 COHORT = {
     "ltv": (0.01, 2.0, "high"), "dscr": (0.1, 20.0, "low"), "debt_yield": (0.01, 1.0, "low"), "interest_rate": (0.001, 0.2, "high"), "loan_amount": (1e5, 1e10, "high"), "occupancy": (0.1, 1.01, "low"),
 }
-SIMULATIONS, SEED = 4000, 0xC0FFEE
 
 
 @query("""with pools as (select accession, count(*) as pool, count(property_type) as typed_pool from loans group by 1),
@@ -117,53 +115,85 @@ def composition_distance_only(c: Corpus) -> DataFrame:
     return mix(c).groupBy("accession").agg(r6(0.5 * F.sum(F.abs(F.col("own") - F.col("cohort")))).alias("distance"))
 
 
-def null_distance(pool: int, cohort: np.ndarray, observed: float, simulations: int = SIMULATIONS) -> tuple[float, float]:
-    """Median distance of pools drawn from the cohort's mix, and the share of draws at least as far as observed."""
-    u = lcg_stream(SEED, simulations * pool).reshape(simulations, pool)
-    edges = np.cumsum(cohort)
-    drawn = np.minimum(np.searchsorted(edges, u, side="right"), len(cohort) - 1)
-    counts = np.stack([(drawn == k).sum(axis=1) for k in range(len(cohort))], axis=1) / pool
-    distance = 0.5 * np.abs(counts - cohort).sum(axis=1)
-    return float(np.sort(distance)[simulations // 2]), float((distance >= observed - 1e-12).mean())
-
-
-def _simulate(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["cohort", "kind"], ascending=[False, True])
-    observed = float(0.5 * (rows.own - rows.cohort).abs().sum())
-    null, p = null_distance(int(rows.pool.iloc[0]), rows.cohort.to_numpy(), observed)
-    return pd.DataFrame({"accession": [rows.accession.iloc[0]], "distance": [round(observed, 6)], "null_distance": [round(null, 6)], "p_value": [round(p, 6)]})
-
-
 @query(None)
 def composition_distance(c: Corpus) -> DataFrame:
     """Distance of each issuance's mix from its cohort's, against chance: a fixed random stream for every issuance."""
-    out = mix(c).groupBy("accession").applyInPandas(_simulate, "accession string, distance double, null_distance double, p_value double")
-    band = F.when(F.col("p_value") < 0.05, "different").when(F.col("p_value") < 0.2, "borderline").otherwise("market")
-    return out.withColumns({"excess": F.round(F.col("distance") - F.col("null_distance"), 6), "band": band})
+    m = mix(c).withColumn("kinds", F.struct((-F.col("cohort")).alias("o"), "kind", "own", "cohort"))
+    groups = m.groupBy("accession").agg(F.max("pool").alias("pool"), F.sort_array(F.collect_list("kinds")).alias("k"), (0.5 * F.sum(F.abs(F.col("own") - F.col("cohort")))).alias("observed"))
+    return banded(null_distances(groups.select("accession", "pool", F.col("k.cohort").alias("cohort"), "observed"), "accession"))
 
 
-RESAMPLES = 2000
+def banded(rows: DataFrame) -> DataFrame:
+    band = F.when(F.col("p_value") < 0.05, "different").when(F.col("p_value") < 0.2, "borderline").otherwise("market")
+    return rows.withColumns({"excess": F.round(F.col("distance") - F.col("null_distance"), 6), "band": band})
 
 
-def _bootstrap(rows: pd.DataFrame) -> pd.DataFrame:
-    resamples = RESAMPLES
-    x = np.sort(rows.x.to_numpy())
-    draws = (lcg_stream(20260815, resamples * len(x)) * len(x)).astype(int).reshape(resamples, len(x))
-    m = np.sort(np.median(x[draws], axis=1))
-    return pd.DataFrame({"vintage": [rows.vintage.iloc[0]], "n": [len(x)], "median": [round(float(np.median(x)), 6)], "lo": [round(float(m[int(0.025 * resamples)]), 6)], "hi": [round(float(m[int(0.975 * resamples)]), 6)], "se": [round(float(m.std(ddof=1)), 6)]})
+def growth(c: Corpus) -> DataFrame:
+    """vintage, x: growth delivered in the 10-30M band."""
+    rows = after_closing(c).where(F.col("growth_delivered").isNotNull() & F.col("loan_amount_senior").between(10_000_000, 30_000_000))
+    return rows.select("vintage", F.col("growth_delivered").alias("x"))
 
 
 @query(None)
 def power_bootstrap(c: Corpus) -> DataFrame:
     """Bootstrap interval of the median growth in a vintage's 10-30M band."""
-    rows = after_closing(c).where(F.col("growth_delivered").isNotNull() & F.col("loan_amount_senior").between(10_000_000, 30_000_000))
-    return rows.select("vintage", F.col("growth_delivered").alias("x")).groupBy("vintage").applyInPandas(_bootstrap, "vintage int, n long, median double, lo double, hi double, se double")
+    return bootstrap(growth(c), "vintage")
+
+
+TARGET_EFFECT = 0.05
+
+
+@query(None)
+def power_detectable(c: Corpus) -> DataFrame:
+    """The least difference between vintages that the sample could show, and how many times more loans TARGET_EFFECT would take."""
+    out = power_bootstrap(c).agg(F.percentile("se", 0.5).alias("typical_se"), F.percentile("n", 0.5).alias("typical_n"), F.sum("n").alias("measured"))
+    mde = 1.96 * math.sqrt(2) * F.col("typical_se")
+    return out.select(r6(F.col("typical_se")).alias("typical_se"), "typical_n", "measured", r6(mde).alias("detectable"), r6(F.pow(mde / TARGET_EFFECT, F.lit(2))).alias("sample_factor"))
+
+
+@query(f"""with {_KINDS}, v as (select * from kinds where vintage = (select max(vintage) from kinds)), s as (select accession, kind, n * 1.0e0 / sum(n) over (partition by accession) as own from v),
+    g as (select a.accession, k.kind, coalesce(max(case when b.accession = a.accession then b.own end), 0) as own, coalesce(sum(case when b.accession <> a.accession then b.own end), 0) / greatest(1, (select count(distinct accession) from v) - 1) as others
+    from (select distinct accession from v) a cross join (select distinct kind from v) k left join s b on b.kind = k.kind group by 1, 2) select accession, round(0.5 * sum(abs(own - others)), 6) as distance_by_issuance from g group by 1""")
+def composition_by_issuance(c: Corpus) -> DataFrame:
+    """The newest vintage's issuances against the others, each of which weighs alike."""
+    return signal_mix(c).groupBy("accession").agg(r6(0.5 * F.sum(F.abs(F.col("own") - F.col("cohort")))).alias("distance_by_issuance"))
+
+
+def signal_mix(c: Corpus) -> DataFrame:
+    """accession, kind, pool, own, cohort: shares of an issuance and the mean shares of the others, by totals less its own."""
+    k = kinds(c)
+    v = k.join(F.broadcast(k.agg(F.max("vintage").alias("vintage"))), "vintage")
+    share = v.withColumn("pool", F.sum("n").over(Window.partitionBy("accession"))).withColumn("own", F.col("n") / F.col("pool"))
+    pools = share.groupBy("accession").agg(F.max("pool").alias("pool"))
+    total = share.groupBy("kind").agg(F.sum("own").alias("all_own")).crossJoin(F.broadcast(pools.agg(F.count(F.lit(1)).alias("m"))))
+    every = pools.crossJoin(F.broadcast(total)).join(share.select("accession", "kind", "own"), ["accession", "kind"], "left").fillna(0.0, ["own"])
+    return every.select("accession", "kind", "pool", "own", ((F.col("all_own") - F.col("own")) / F.greatest(F.lit(1), F.col("m") - 1)).alias("cohort"))
+
+
+@query(None)
+def composition_signal(c: Corpus) -> DataFrame:
+    """Issuances of the newest vintage that chance doesn't explain, with the others weighing by loan and by issuance."""
+    m = signal_mix(c).withColumn("kinds", F.struct((-F.col("cohort")).alias("o"), "kind", "own", "cohort"))
+    groups = m.groupBy("accession").agg(F.max("pool").alias("pool"), F.sort_array(F.collect_list("kinds")).alias("k"), (0.5 * F.sum(F.abs(F.col("own") - F.col("cohort")))).alias("observed"))
+    alike = null_distances(groups.select("accession", "pool", F.col("k.cohort").alias("cohort"), "observed"), "accession").select("accession", F.col("p_value").alias("p_by_issuance"))
+    by_loan = composition_distance(c).select("accession", "distance", F.col("p_value").alias("p_by_loan"))
+    return by_loan.join(alike, "accession").withColumn("robust", (F.col("p_by_loan") < 0.05) & (F.col("p_by_issuance") < 0.05))
 
 
 # --- comparables
 
-#: Census divisions used by the ladder: fixed values.
-DIVISIONS = {"Mid-Atlantic": ("NJ", "NY", "PA"), "Pacific": ("CA", "OR", "WA"), "West South Central": ("TX", "LA", "OK", "AR"), "South Atlantic": ("FL", "GA", "MD", "NC", "SC", "VA", "WV", "DE", "DC")}
+#: Census divisions and their states: fixed values.
+DIVISIONS = {
+    "New England": ("CT", "ME", "MA", "NH", "RI", "VT"),
+    "Mid-Atlantic": ("NJ", "NY", "PA"),
+    "East North Central": ("IL", "IN", "MI", "OH", "WI"),
+    "West North Central": ("IA", "KS", "MN", "MO", "NE", "ND", "SD"),
+    "South Atlantic": ("DE", "DC", "FL", "GA", "MD", "NC", "SC", "VA", "WV"),
+    "East South Central": ("AL", "KY", "MS", "TN"),
+    "West South Central": ("AR", "LA", "OK", "TX"),
+    "Mountain": ("AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY"),
+    "Pacific": ("AK", "CA", "HI", "OR", "WA"),
+}
 BAND, MONTHS, MIN_COMPS = 0.5, 18, 10
 LIMITS = {"ltv": 2, "dscr": 20, "debt_yield": 2, "interest_rate": 1}
 #: The request that the queries answer.
