@@ -40,6 +40,8 @@ SPECS = (
     ("dscr", "ratio", (r"noi dscr", r"^dscr", r"debt service coverage"), r"ncf|whole|total"),
     ("debt_yield", "percent", (r"noi debt yield", r"^debt yield"), r"ncf|whole|total"),
     ("net_cash_flow", "currency", (r"(uw|underwritten) ncf( |$)", r"net cash flow"), r"dscr|debt yield"),
+    ("unit_of_measure", "text", (r"^(unit of measure|units? type|measure)",), None),
+    ("loan_property_flag", "text", (r"loan.*property flag", r"^flag"), None),
     ("loan_id", "text", (r"^loan (number|no\.?|id|#)", r"^control (number|no\.?)"), None),
     ("interest_rate", "percent", (r"(mortgage|interest) rate", r"^(coupon|rate)"), r"type|mezzanine|subordinate"),
     ("property_type", "text", (r"^(general )?property type", r"^type"), r"detailed"),
