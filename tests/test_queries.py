@@ -43,6 +43,6 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_query_reruns_alike(spark, name, monkeypatch):
     for draws in ("SIMULATIONS", "RESAMPLES", "REPLICAS", "PERMUTATIONS"):
-        monkeypatch.setattr(resample, draws, 300)
+        monkeypatch.setattr(resample, draws, 60)
     first, second = (sorted(map(repr, plans.QUERIES[name](spark, SF).collect())) for _ in range(2))
     assert first == second
