@@ -59,6 +59,27 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of one small row each that a broadcast may have: some ten MB.
+BROADCAST_ROWS = 100_000
+#: Parts that a group's rows are dealt into where its totals are not broadcast.
+SALTS = 64
+
+
+def with_group_totals(rows: DataFrame, key: str, totals: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (a durable table) with the columns of totals, which has one row for each value of key, null included.
+
+    Totals are written first and broadcast if they are at most so many rows; else every total is copied for each
+    salt and the rows join on key and salt, so that no group meets in one task.
+    """
+    totals = durable(totals.withColumnRenamed(key, hidden("key")), "totals")
+    same = F.col(key).eqNullSafe(F.col(hidden("key")))
+    if totals.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(totals), same, "left").drop(hidden("key"))
+    rows = rows.withColumn(hidden("salt"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+    totals = totals.withColumn(hidden("part"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(totals, same & (F.col(hidden("salt")) == F.col(hidden("part"))), "left").drop(hidden("key"), hidden("salt"), hidden("part"))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of phases whose results are durable: it does so when their plans are collected."""
     gc.collect()

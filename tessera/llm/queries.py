@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .pii import find_pii
 from .piece_bpe import piece_digests
+from .pivot_codes import pivot_codes
 from .quality_rules import WORDS_AND_PAIRS, quality_rules
 from .substring_dedup import substring_dedup
 
@@ -70,6 +71,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), orders=WORDS_AND_PAIRS)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql(rounds: int = 2) -> str:
+    """Every distance worked out; a round's pick and its next codebook are relations of their own."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+        pick{k} as materialized (
+            select vec_id, part, min(row(d, entry)) as best from (
+                select c.vec_id, c.part, b.entry, sum((c.q - b.q) * (c.q - b.q)) as d from comp c join book{k} b on c.part = b.part and c.pos = b.pos group by all)
+            group by all)""")
+        if k < rounds:
+            steps.append(f"""
+        book{k + 1} as materialized (
+            select b.part, b.entry, b.pos, coalesce(n.q, b.q) as q from book{k} b left join (
+                select c.part, p.best[2] as entry, c.pos, cast(floor(sum(c.q) / count(*)) as bigint) as q from comp c join pick{k} p on c.vec_id = p.vec_id and c.part = p.part group by all) n
+            on b.part = n.part and b.entry = n.entry and b.pos = n.pos)""")
+    return f"""
+        with flat as (
+            select vec_id, label, len(embedding) // 16 as width, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings),
+        comp as materialized (
+            select vec_id, label, i // width as part, i % width as pos, cast(floor(256 * cast(x as double)) as bigint) as q from flat
+            where vec_id in (select vec_id from flat group by vec_id having bool_and(x is not null and isfinite(x)))),
+        book0 as materialized (
+            select part, dense_rank() over (order by vec_id) - 1 as entry, pos, q from comp
+            where vec_id in (select distinct vec_id from comp order by vec_id limit 64)),{",".join(steps)},
+        coded as (
+            select vec_id, string_agg(printf('%02x', best[2]), '' order by part) as code, cast(sum(best[1]) as bigint) as error from pick{rounds} group by vec_id),
+        named as (select coded.*, e.label from coded join embeddings e on coded.vec_id = e.vec_id)
+        select vec_id, label, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+            (select sha256(string_agg(q, ',' order by part, entry, pos)) from book{rounds}) as codebooks_sha256
+        from named"""
+
+
 SQL = {
     "op1_chat_format": """
         with t as (
@@ -104,6 +141,7 @@ SQL = {
         select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
             sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
         from marked group by doc_id""",
+    "op11_vector_codes": _vector_codes_sql(),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -119,5 +157,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_mixing,
         op10_quality_rules,
+        op11_vector_codes,
     )
 }
