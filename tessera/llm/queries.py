@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .chat_format import chat_perspectives
 from .common import read_table
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .importance import importance_resample
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -75,6 +77,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_codes(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def _vector_codes_sql(rounds: int = 2) -> str:
     """Every distance worked out; a round's pick and its next codebook are relations of their own."""
     steps = []
@@ -142,6 +153,56 @@ SQL = {
             sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
         from marked group by doc_id""",
     "op11_vector_codes": _vector_codes_sql(),
+    # CRC-32 of every distinct word, a byte a step, with the table of its 256 remainders.
+    "op12_importance_resampling": r"""
+        with recursive remainders(i, k, c) as (
+            select cast(range as bigint), 0, cast(range as bigint) from range(256)
+            union all
+            select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from remainders where k < 8),
+        steps as materialized (select i, c from remainders where k = 8),
+        occ as materialized (
+            select doc_id, cast(null as bigint) as item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents
+            union all
+            select null, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
+        crc(w, hx, pos, c) as (
+            select w, hex(encode(w)), 0, 4294967295 from (select distinct w from occ)
+            union all
+            select w, hx, pos + 1, xor(crc.c >> 8, steps.c)
+            from crc join steps on steps.i = xor(crc.c, cast('0x' || substr(hx, 2 * pos + 1, 2) as bigint)) & 255 where 2 * pos < length(hx)),
+        bucketed as materialized (select w, xor(c, 4294967295) % 10000 as bucket from crc where 2 * pos = length(hx)),
+        counts as (
+            select bucket, count(doc_id) as s, count(item_id) as t from occ join bucketed on occ.w = bucketed.w group by bucket),
+        totals as (select count(doc_id) as s_all, count(item_id) as t_all from occ),
+        gains as materialized (
+            select bucket, cast(floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000)))) as bigint) as gain from counts, totals),
+        weighed as (
+            select occ.doc_id, count(*) as n_features, cast(floor(sum(gain) / count(*)) as bigint) as weight
+            from occ join bucketed on occ.w = bucketed.w join gains on bucketed.bucket = gains.bucket where occ.doc_id is not null group by occ.doc_id),
+        scored as (
+            select d.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+            from documents d left join weighed w on d.doc_id = w.doc_id),
+        ranked as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as r, (select count(*) from scored where n_features >= 20) as n from scored)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and r <= 10 * n // 100 then r end as rank from ranked""",
+    "op13_decontamination": r"""
+        with d as (
+            select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words from documents),
+        i as (
+            select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
+        iw as materialized (
+            select distinct item_id, k, array_to_string(words[s : s + k - 1], ' ') as w
+            from (select *, unnest(range(1, len(words) - k + 2)) as s from (select *, least(len(words), 10) as k from i where len(words) > 0))),
+        dw as (
+            select rid, k, s, array_to_string(words[s : s + k - 1], ' ') as w
+            from (select rid, words, k, unnest(range(1, len(words) - k + 2)) as s from d, (select distinct k from iw) where len(words) >= k)),
+        met as materialized (select dw.rid, dw.s, dw.k, iw.item_id from dw join iw on dw.w = iw.w and dw.k = iw.k),
+        hit as (
+            select rid, count(distinct p) as n from (select rid, unnest(range(s, s + k)) as p from (select distinct rid, s, k from met)) group by rid),
+        named as (
+            select rid, count(*) as n, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, cast(item_id as varchar) as item_id from met) group by rid)
+        select d.doc_id, cast(len(d.words) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items,
+            sha256(coalesce(named.ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+        from d left join hit on d.rid = hit.rid left join named on d.rid = named.rid""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -158,5 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mixing,
         op10_quality_rules,
         op11_vector_codes,
+        op12_importance_resampling,
+        op13_decontamination,
     )
 }
