@@ -253,3 +253,17 @@ def sanity_issues(observations: DataFrame) -> DataFrame:
     for x in found[1:]:
         out = out.unionByName(x)
     return out
+
+
+def header_ties(cells: DataFrame, headers: DataFrame, specs: tuple = SPECS) -> DataFrame:
+    """doc_id, metric_key, score, headers, winner: metrics for which the order of columns alone decided.
+
+    cells and headers are those of the joined table, where columns of all blocks compete. Headers that differ in
+    blanks or case only are the same column of two blocks, and no tie. headers stand from left to right.
+    """
+    named = cells.join(headers, TABLE).where("row_idx = header_row").where(_filled())
+    scored = named.select("doc_id", "col_idx", F.col("text").alias("header"), F.explode(header_matches(F.col("text"), specs)).alias("m")).select("doc_id", "col_idx", "header", "m.metric_key", "m.score")
+    best = scored.withColumn("best", F.max("score").over(Window.partitionBy("doc_id", "metric_key"))).where("score = best")
+    once = best.groupBy("doc_id", "metric_key", "score", F.lower(F.regexp_replace("header", r"\s+", "")).alias("k")).agg(F.min(F.struct("col_idx", "header")).alias("x"))
+    ties = once.groupBy("doc_id", "metric_key", "score").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["header"]).alias("headers"))
+    return ties.where(F.size("headers") > 1).withColumn("winner", F.get("headers", F.lit(0)))

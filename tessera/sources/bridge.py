@@ -26,6 +26,7 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
     days = (lambda d, n: f"date_add({d}, cast({n} as int))") if spark else (lambda d, n: f"({d} + cast({n} as integer))")
     listed = (lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")") if spark else (lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]")
     empty = "cast(array() as array<string>)" if spark else "cast([] as varchar[])"
+    upto = (lambda n: f"explode(sequence(0, {n - 1}))") if spark else (lambda n: f"unnest(range({n}))")
     text = lambda x: f"cast(cast(floor(({x}) * 1000000 + 0.5) / 1000000 as decimal(20, 6)) as varchar(40))" if not spark else f"cast(cast(floor(({x}) * 1000000 + 0.5) / 1000000 as decimal(20, 6)) as string)"
     unmapped = "case nat % 4 " + " ".join(f"when {i} then {listed(x) if x else empty}" for i, x in enumerate(UNMAPPED)) + " end"
     metrics = {
@@ -97,6 +98,39 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
     out["performance"] = f"""select concat('R-', accession) as report_accession, loan_id, rev / 1000.0e0 * (1.0e0 + (loan_id % 53 - 26) / 100.0e0) as annualized_noi, {start} as noi_start,
         {days(start, "case when loan_id % 3 = 0 then 89 else 364 end")} as noi_end, case when loan_id % 3 = 0 then 90 else 365 end as period_days, loan_id % 3 <> 0 as is_full_year
         from base where loan_id % 4 = 0 and nat % 5 <> 0 and rev is not null"""
+    # What the monthly reports print: documents of at most 200 loans, some loans in tranches, some of which disagree.
+    out["report_loans"] = """select l.loan_id, l.accession, b.nat, b.vintage, l.row_index as ref, b.rev,
+        concat('R-', l.accession, '/', cast(floor((l.row_index - 1) / 200.0e0) as int)) as doc_id from loans l join base b on b.loan_id = l.loan_id where b.nat % 5 <> 0"""
+    out["report_tranches"] = """select *, 0 as tranche from report_loans where rev is not null
+        union all select *, 1 from report_loans where rev is not null and loan_id % 9 = 0
+        union all select *, 2 from report_loans where rev is not null and loan_id % 18 = 0"""
+    length = "case loan_id % 12 when 6 then 181 when 7 then 90 when 8 then 60 when 11 then 300 when 0 then 365 else 364 end - case when tranche = 2 and loan_id % 12 in (0, 9) then 30 else 0 end"
+    begin = "make_date(vintage + 1, 1, cast(1 + loan_id % 28 as int))"
+    out["report_lines"] = f"""select doc_id, accession, nat, vintage, loan_id, ref, tranche, concat(ref, case when loan_id % 9 = 0 then concat('A-', tranche + 1) else '' end) as pros_id,
+        cast(floor(rev / 10.0e0) as bigint) + case when loan_id % 27 = 0 and tranche = 1 then 100000 else 0 end as cents, loan_id % 12 as way,
+        {begin} as period_start, {days(begin, f"{length} - 1")} as period_end from report_tranches"""
+    out["trials"] = """select accession, nat, 1 as place, concat('T1-', accession) as report, 10 + nat as rows_found, case when nat % 3 = 0 then 8 + nat else nat % 4 end as usable from deals
+        union all select accession, nat, 2, concat('T2-', accession), 12, case when nat % 4 = 1 then 7 else nat % 5 end from deals where nat % 7 <> 0
+        union all select accession, nat, 3, concat('T3-', accession), case when nat % 2 = 0 then 0 else 9 end, case when nat % 2 = 0 then 0 else 9 end from deals where nat % 11 <> 0"""
+    # What annexes print: documents of at most 200 loans, numbered from 1 in each.
+    out["annex_loans"] = """select l.loan_id, l.accession, b.nat, b.amount, b.rev, m.rate, m.ltv, m.occupancy, l.state, concat('A-', l.accession, '/', cast(floor((l.row_index - 1) / 200.0e0) as int)) as doc_id,
+        cast(l.row_index - 200 * floor((l.row_index - 1) / 200.0e0) as int) as pos, cast(m.props as int) as n from loans l join base b on b.loan_id = l.loan_id join metrics m on m.loan_id = l.loan_id"""
+    # Monthly reports of two years, some months missing; a case stands in the reports of its first months only.
+    out["monthly_reports"] = f"""select accession as cik, concat('M-', accession, '-', m) as accession, '10-D' as form, {days("make_date(vintage + 2, 6, 30)", "-30 * m")} as filed_at, {days("make_date(vintage + 2, 6, 30)", "-30 * m - 11")} as period
+        from (select *, {upto(24)} as m from deals) where nat % 5 <> 0 and (nat + m) % 5 <> 0"""
+    out["monthly_events"] = """select r.accession as report, r.cik, e.loan_id, case when e.loan_id % 10 = 0 then null else e.event end as transfer_date from monthly_reports r join base e on e.accession = r.cik
+        where e.event <= r.period and datediff_days(r.period, e.event) <= 200 + e.loan_id % 300"""
+    out["monthly_events"] = out["monthly_events"].replace("datediff_days(r.period, e.event)", "datediff(r.period, e.event)" if spark else "(r.period - e.event)")
+    # A trust's list of filings: one for each order, with the names, sizes and forms that lists have.
+    out["trust_filings"] = f"""select concat('00', nat) as cik, loan_id as seq, concat('F-', loan_id) as accession,
+        {_case("loan_id % 9", ("FWP", "FWP", "424B2", "10-D", "424H", "10-D", "10-D/A", "8-K", "FWP"))} as form,
+        case when nat % 6 = 1 then concat('n', loan_id, '_ts.htm') else {_case("loan_id % 8", ("m_x3-annexa.htm", "q-x4_anxb.htm", "r_x2-a1.htm", "s_x8-xalaunch.htm", "t_annex.htm", "u_terms.htm", "v-x6_anx1.htm", "w_pricing.htm"))} end as document_name,
+        {_case("loan_id % 7", ("ANNEX A-1", "FWP", "", "PRELIMINARY TERM SHEET", "Annex", "FREE WRITING PROSPECTUS"))} as description,
+        cast(case loan_id % 5 when 0 then 18000 when 1 then 3300000 when 2 then 250000 when 3 then 15000000 else 700000 end as bigint) as size_bytes,
+        {days("make_date(vintage, 1, 1)", "loan_id % 365")} as filed_at, case when loan_id % 10 = 0 then null else {days("make_date(vintage, 1, 1)", "loan_id % 365 - 12")} end as period from base"""
+    out["filing_files"] = f"""select concat('F-', loan_id) as accession, 1 as seq, {_case("loan_id % 6", ("a_ex991.htm", "b_10-d_x.htm", "c_ex99-2.htm", "d_exh_99.txt", "e_logo.jpg", "f_ex-99_1.html"))} as document_name,
+        cast(case loan_id % 4 when 0 then 7000 when 1 then 60000 when 2 then 500000 else 20000 end as bigint) as size_bytes from base
+        union all select concat('F-', loan_id), 2, 'z_ex991.htm', 41000 from base where loan_id % 4 <> 1"""
     out["properties"] = """select distinct accession, b.loan_id, l_linenumber as line_number from lineitem join base b on b.loan_id = l_orderkey"""
     return out
 
@@ -149,6 +183,8 @@ def oracle(body: str) -> str:
     parts = closure({x for x in texts if re.search(rf"\b{x}\b", body)}, texts)
     ctes = ", ".join(f"{p} as materialized ({texts[p]})" for p in parts)
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes}, {body[5:]}"
     return f"with {ctes} {body}"
