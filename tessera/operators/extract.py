@@ -111,8 +111,12 @@ def html_cells(pages: DataFrame, doc_id: str, html: str) -> DataFrame:
 
 
 def header_matches(text: Column, specs: tuple = SPECS) -> Column:
-    """Array of (spec, metric_key, unit, score) that a header may stand for."""
+    """Array of (spec, metric_key, unit, score) that a header may stand for; empty for null.
+
+    Most cells are no header: one pattern made of all shows that before the metrics are asked one by one.
+    """
     t = F.lower(F.trim(text))
+    any_header = "|".join(f"(?:{p})" for _, _, patterns, _ in specs for p in patterns)
     found = []
     for place, (key, unit, patterns, exclude) in enumerate(specs):
         score = None
@@ -120,7 +124,8 @@ def header_matches(text: Column, specs: tuple = SPECS) -> Column:
             score = F.when(t.rlike(p), 1 - DECAY * i) if score is None else score.when(t.rlike(p), 1 - DECAY * i)
         score = score if exclude is None else F.when(~t.rlike(exclude), score)
         found.append(F.struct(F.lit(place).alias("spec"), F.lit(key).alias("metric_key"), F.lit(unit).alias("unit"), score.alias("score")))
-    return F.filter(F.array(*found), lambda x: x["score"] > 0)
+    none = F.array().cast("array<struct<spec:int,metric_key:string,unit:string,score:double>>")
+    return F.when(t.rlike(any_header), F.filter(F.array(*found), lambda x: x["score"] > 0)).otherwise(none)
 
 
 def header_rows(cells: DataFrame, specs: tuple = SPECS) -> DataFrame:
@@ -131,21 +136,22 @@ def header_rows(cells: DataFrame, specs: tuple = SPECS) -> DataFrame:
     return rows.groupBy(*TABLE).agg(F.max_by("row_idx", F.struct("matches", -F.col("row_idx"))).alias("header_row"))
 
 
-def _assign(table: pd.DataFrame) -> pd.DataFrame:
-    columns, metrics, taken = set(), set(), []
-    for row in table.sort_values(["score", "col_idx", "spec"], ascending=[False, True, True]).itertuples(index=False):
-        if row.col_idx not in columns and row.metric_key not in metrics:
-            columns.add(row.col_idx)
-            metrics.add(row.metric_key)
-            taken.append(row)
-    return pd.DataFrame(taken, columns=table.columns)
-
-
 def map_columns(cells: DataFrame, headers: DataFrame, specs: tuple = SPECS) -> DataFrame:
-    """One metric for a column and one column for a metric, the best scores first."""
+    """One metric for a column and one column for a metric, the best scores first, then columns from the left, then the specs' order.
+
+    A table's candidates, a few dozen, are folded in that order; each is taken if neither its column nor its metric is.
+    """
     named = cells.join(headers, TABLE).where("row_idx = header_row").withColumn("m", F.explode(header_matches(F.col("text"), specs)))
-    named = named.select(*TABLE, "header_row", "col_idx", F.col("text").alias("header"), "m.spec", "m.metric_key", "m.unit", "m.score")
-    return named.groupBy(*TABLE).applyInPandas(_assign, named.schema)
+    named = named.select(*TABLE, "header_row", F.struct((-F.col("m.score")).alias("rank"), "col_idx", "m.spec", "m.metric_key", "m.unit", F.col("text").alias("header")).alias("x"))
+    lists = named.groupBy(*TABLE, "header_row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    nothing = F.array().cast(lists.schema["xs"].dataType)
+
+    def step(taken: Column, x: Column) -> Column:
+        used = F.exists(taken, lambda y: (y["col_idx"] == x["col_idx"]) | (y["metric_key"] == x["metric_key"]))
+        return F.when(used, taken).otherwise(F.concat(taken, F.array(x)))
+
+    out = lists.select(*TABLE, "header_row", F.inline(F.aggregate("xs", nothing, step)))
+    return out.select(*TABLE, "header_row", "col_idx", "header", "spec", "metric_key", "unit", (-F.col("rank")).alias("score"))
 
 
 def observations(cells: DataFrame, mapping: DataFrame) -> DataFrame:
