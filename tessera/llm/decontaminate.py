@@ -1,17 +1,17 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
 An item's windows are sets of word shingles. As a window occurs only where all its shingles do, a prefix of one shingle
-is necessary, and the rarest one in the documents is taken. Documents' shingles are joined with these prefixes only;
+is necessary, and the rarest one in the documents is taken. Documents that have a prefix are joined with these prefixes;
 a match tells where a window would have to start, which must lie within the document, and the words there are compared
 with the window's. Windows with a shingle that no document has are not searched for at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, with_group_totals
+from .common import discard, durable, text_or_empty, with_group_totals
 
 #: Words are runs of digits, letters a-z in any case, and whatever is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -24,6 +24,8 @@ BLOCK = 512
 #: What one broadcast may hold: rows, and bytes of windows. A larger benchmark is searched for in parts.
 PART_ROWS = 1_000_000
 PART_BYTES = 128 << 20
+#: Texts that are named in a broadcast because they have a prefix (8 bytes each); beyond it all texts are read again.
+LIKELY_ROWS = 4_000_000
 #: Shingle and offset of the row that stands for a document itself.
 SELF, NOWHERE = 0, -1
 
@@ -42,11 +44,31 @@ def word_hashes(words: Column) -> Column:
 
 
 def shingles(hashes: Column, size: int) -> Column:
-    """Array of the hashes of all runs of so many words."""
+    """Array of the hashes of all runs of so many words: for the few words of windows."""
     starts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (size - 1), F.lit(0)))
     return F.transform(starts, lambda h, i: F.xxhash64(F.lit(size), h, *[F.get(hashes, i + j) for j in range(1, size)]))
 
 
+def exploded(rows: DataFrame, sizes: list[int], own: Column | None = None) -> DataFrame:
+    """rows (with hashes) with pos and shingle for every shingle of each size, and one row with shingle SELF and pos NOWHERE for each row of rows where `own` is not false.
+
+    Positions are exploded and hashed row by row, which Spark compiles; lambdas over arrays it does not.
+    """
+    n = F.size("hashes")
+    flat = rows.select("*", F.posexplode(F.concat("hashes", F.array(F.lit(0).cast("long")))).alias("pos", "h"))
+    mine = F.col("pos") == n
+
+    def shingle(size: int) -> Column:
+        return F.when(F.col("pos") + size <= n, F.xxhash64(F.lit(size), F.col("h"), *[F.get("hashes", F.col("pos") + j) for j in range(1, size)]))
+
+    every = [shingle(size) for size in sizes]
+    if own is not None:
+        first = F.when(mine & own, F.lit(SELF).cast("long"))
+        every = [F.coalesce(first, every[0]), *every[1:]] if every else [first]
+    out = flat.withColumn("shingle", every[0] if len(every) == 1 else F.explode(F.array(*every)))
+    return out.where(F.col("shingle").isNotNull()).withColumn("pos", F.when(mine, NOWHERE).otherwise(F.col("pos"))).drop("h")
+
+
 def blocks(rows: DataFrame, window: int, block: int) -> DataFrame:
     """rows with words cut into blocks: base (first word's number), left (words before it), ws (with both neighbours' words).
 
@@ -89,15 +111,22 @@ def parts_of(n: int, size: int = 0) -> int:
     return max(1, -(-n // PART_ROWS), -(-size // PART_BYTES))
 
 
-def shingle_counts(texts: DataFrame, asked: DataFrame, sizes: list[int], parts: int) -> DataFrame:
-    """shingle, n: how often the texts (a words column) have each asked shingle, for those that they have."""
-    hashed = texts.select(word_hashes(F.col("words")).alias("hashes"))
-    flat = hashed.select(F.explode(F.concat(*[shingles(F.col("hashes"), s) for s in sizes])).alias("shingle"))
+def seen_shingles(texts: DataFrame, asked: DataFrame, sizes: list[int], parts: int) -> DataFrame:
+    """shingle, key, doc_id, n_words: an occurrence of an asked shingle in a text (shingle and key), or a text (the others and key).
+
+    texts: doc_id, key, words.
+    """
+    texts = texts.withColumns({"hashes": word_hashes(F.col("words")), "n_words": F.size("words").cast("long")}).drop("words")
     out = None
     for p in range(parts):
         mine = asked.where(F.pmod("shingle", F.lit(parts)) == p)
-        counted = flat.join(F.broadcast(mine), "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-        out = counted if out is None else out.unionByName(counted)
+        if p == 0:
+            mine = mine.unionByName(texts.sparkSession.range(1).select(F.lit(SELF).cast("long").alias("shingle"))).distinct()
+        # Texts that all have the same words are one kind of row: nothing but the key tells them apart.
+        met = exploded(texts, sizes, F.lit(p == 0)).join(F.broadcast(mine), "shingle")
+        whole = F.col("pos") == NOWHERE
+        met = met.select(F.when(~whole, F.col("shingle")).alias("shingle"), "key", F.when(whole, F.col("doc_id")).alias("doc_id"), F.when(whole, F.col("n_words")).alias("n_words"))
+        out = met if out is None else out.unionByName(met)
     return out
 
 
@@ -121,11 +150,9 @@ def occurrences(rows: DataFrame, prefixes: DataFrame, sizes: list[int], window:
         prefixes = prefixes.unionByName(myself)
     spots = prefixes.groupBy("shingle").agg(F.collect_set(F.struct("at", "k")).alias("spots"))
     cut = blocks(rows, window, block).withColumn("hashes", word_hashes(F.col("ws")))
-    place = lambda h, i: F.struct(i.alias("pos"), h.alias("shingle"))
-    own = [F.filter(F.transform(shingles(F.col("hashes"), s), place), lambda x: (x["pos"] >= F.col("left")) & (x["pos"] < F.col("left") + block)) for s in sizes]
-    head = F.when(F.col("base") == 0, F.array(F.struct(F.lit(NOWHERE).alias("pos"), F.lit(SELF).cast("long").alias("shingle")))).otherwise(F.array().cast("array<struct<pos:int,shingle:bigint>>"))
-    flat = cut.select("rid", "doc_id", "n_words", "base", "left", "ws", F.explode(F.concat(*([head] if with_self else []), *own)).alias("x"))
-    met = flat.select("rid", "doc_id", "n_words", "base", "left", "ws", "x.*").join(F.broadcast(spots), "shingle")
+    flat = exploded(cut, sizes, (F.col("base") == 0) if with_self else F.lit(False))
+    flat = flat.where((F.col("pos") == NOWHERE) | ((F.col("pos") >= F.col("left")) & (F.col("pos") < F.col("left") + block)))
+    met = flat.select("rid", "doc_id", "n_words", "base", "left", "ws", "pos", "shingle").join(F.broadcast(spots), "shingle")
     met = met.select("*", F.explode("spots").alias("spot")).select("*", F.col("spot.at").alias("at"), F.col("spot.k").alias("k"))
     start = F.col("pos") - F.col("at")
     whole = (F.col("pos") == NOWHERE) & (F.col("at") == NOWHERE)
@@ -136,10 +163,6 @@ def occurrences(rows: DataFrame, prefixes: DataFrame, sizes: list[int], window:
     return found.select("rid", F.when(whole, F.col("doc_id")).alias("doc_id"), F.when(whole, F.col("n_words")).alias("n_words"), at_word.cast("long").alias("start"), "k", "set_id")
 
 
-def _empty_counts(spark: SparkSession) -> DataFrame:
-    return spark.range(0).select(F.col("id").alias("shingle"), F.col("id").alias("n"))
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -155,19 +178,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     sets = durable(listed.groupBy("items").agg(F.min("wid").alias("set_id")), "item-sets")
     windows = listed.join(sets, "items").select("wid", "text", "k", "set_id")
     per_window = window_shingles(windows)
-    sizes = sizes_of(windows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = _empty_counts(docs.sparkSession)
-    if sizes:
-        asked = durable(per_window.select("shingle").distinct(), "shingles")
-        counts = durable(shingle_counts(rows.select(words_of(F.col("text")).alias("words")), asked, sizes, parts_of(asked.count())), "shingle-counts")
+    asked = durable(per_window.select("shingle").distinct(), "shingles")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64(text_or_empty()).alias("key"))
+    words = words_of(F.col("text")).alias("words")
+    seen = durable(seen_shingles(texts.select("doc_id", "key", words), asked, sizes_of(windows), parts_of(asked.count())), "seen-shingles")
+    counts = seen.where("n_words is null").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     prefixes = durable(rarest(windows, per_window, counts), "prefixes")
     size = prefixes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     parts = parts_of(size["n"], size["size"])
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    # Only texts with a prefix are read again; where they are too many to name, all are.
+    likely = seen.where("n_words is null").join(prefixes.select("shingle").distinct(), "shingle", "left_semi").select("key").distinct()
+    likely = durable(likely, "texts-with-prefix")
+    clean = seen.where("n_words is not null").select("doc_id", "n_words", "key")
+    if likely.limit(LIKELY_ROWS + 1).count() <= LIKELY_ROWS:
+        texts = texts.join(F.broadcast(likely), "key", "left_semi")
+        clean = clean.join(F.broadcast(likely), "key", "left_anti")
+    else:
+        clean = clean.limit(0)
+    rows = texts.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
     if parts > 1:  # The parts must agree on the rows' numbers.
         rows = durable(rows, "numbered")
-    rows = rows.select("rid", "doc_id", words_of(F.col("text")).alias("words"))
+    rows = rows.select("rid", "doc_id", words)
     found = None
     for p in range(parts):
         mine = occurrences(rows, prefixes.where(F.pmod("shingle", F.lit(parts)) == p), sizes_of(prefixes), window, block, p == 0)
@@ -182,6 +213,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     lists = lists.select("met", F.explode("met").alias("set_id")).join(sets, "set_id").select("met", F.explode_outer("items").alias("item")).groupBy("met").agg(F.array_sort(F.collect_set("item")).alias("ids"))
     lists = lists.select("met", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     out = with_group_totals(per, "met", lists)
-    discard(listed, sets, prefixes, found)
+    discard(listed, sets, asked, prefixes, found)
     none = F.sha2(F.lit(""), 256)
+    clean = clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items_sha256"))
+    out = out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256").unionByName(clean)
     return out.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

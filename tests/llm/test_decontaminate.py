@@ -71,6 +71,7 @@ def test_equals_brute_force(spark, window, block):
 
 def test_large_benchmarks_go_in_parts(spark, monkeypatch):
     monkeypatch.setattr(d, "PART_ROWS", 30)
+    monkeypatch.setattr(d, "LIKELY_ROWS", 3)
     docs, items = made(6)
     assert got(d.decontaminate(frame(spark, docs), frame(spark, items, ITEMS))) == brute(docs, items)
 
