@@ -267,3 +267,21 @@ def header_ties(cells: DataFrame, headers: DataFrame, specs: tuple = SPECS) -> D
     once = best.groupBy("doc_id", "metric_key", "score", F.lower(F.regexp_replace("header", r"\s+", "")).alias("k")).agg(F.min(F.struct("col_idx", "header")).alias("x"))
     ties = once.groupBy("doc_id", "metric_key", "score").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["header"]).alias("headers"))
     return ties.where(F.size("headers") > 1).withColumn("winner", F.get("headers", F.lit(0)))
+
+
+def explain_headers(cells: DataFrame, headers: DataFrame, mapping: DataFrame, metric: str, like: str, specs: tuple = SPECS) -> DataFrame:
+    """doc_id, table_idx, header, verdict, taken_by, score: for headers that `like` matches, why they stand for `metric` or don't.
+
+    Verdicts: mapped, excluded, no pattern, taken (its column stands for another metric), not assigned (it fits, but
+    another column was better).
+    """
+    place, (_, _, patterns, exclude) = next((i, s) for i, s in enumerate(specs) if s[0] == metric)
+    named = cells.join(headers, TABLE).where("row_idx = header_row").where(_filled() & F.col("text").rlike(like))
+    t = F.lower(F.trim("text"))
+    own = mapping.select(*TABLE, "col_idx", F.col("metric_key").alias("taken_by"))
+    found = named.join(own, [*TABLE, "col_idx"], "left")
+    score = F.get(F.filter(header_matches(F.col("text"), specs), lambda m: m["spec"] == place), F.lit(0))["score"]
+    fits = t.rlike("|".join(f"(?:{p})" for p in patterns))
+    killed = t.rlike(exclude) if exclude else F.lit(False)
+    verdict = F.when(F.col("taken_by") == metric, "mapped").when(killed, "excluded").when(~fits, "no pattern").when(F.col("taken_by").isNotNull(), "taken").otherwise("not assigned")
+    return found.select(*TABLE, F.col("text").alias("header"), verdict.alias("verdict"), "taken_by", F.coalesce(score, F.lit(0.0)).alias("score"))

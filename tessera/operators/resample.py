@@ -12,29 +12,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import lcg_stream
+from ..sources.stage import staged
+from .tiles import _Range, values_at
 
 SIMULATIONS, SEED = 4000, 0xC0FFEE
 RESAMPLES, BOOTSTRAP_SEED = 2000, 20260815
 REPLICAS, PERMUTATIONS, STRATA = 600, 4000, 6
-#: Draws of one block, and numbers of the stream that are held at once.
-BLOCK, CHUNK = 250, 1 << 20
+#: Draws of one block, numbers of the stream that are held at once, and bins in which longer draws are counted.
+BLOCK, CHUNK, BINS = 250, 1 << 20, 1 << 16
+#: Rows on a side below which there is no permutation test.
+LEAST_SIDE = 3
 
 
-def _draws(seed: int, n: int, first: int, draws: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(draws at once, their numbers): whole draws as rows while a draw is short, else parts of one draw."""
+def _draws(seed: int, n: int, first: int, draws: int, skip: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(draws at once, their numbers): whole draws as rows while a draw is short, else parts of one draw. The stream's first `skip` numbers are others'."""
     if n <= CHUNK:
         many = max(1, CHUNK // max(1, n))
         for d in range(first, first + draws, many):
             k = min(many, first + draws - d)
-            yield k, lcg_stream(seed, k * n, d * n).reshape(k, n)
+            yield k, lcg_stream(seed, k * n, skip + d * n).reshape(k, n)
     else:
         for d in range(first, first + draws):
             for at in range(0, n, CHUNK):
-                yield int(at + CHUNK >= n), lcg_stream(seed, min(CHUNK, n - at), d * n + at)[None]
+                yield int(at + CHUNK >= n), lcg_stream(seed, min(CHUNK, n - at), skip + d * n + at)[None]
 
 
 def mixture_distances(pool: int, cohort: np.ndarray, first: int, draws: int) -> list[float]:
@@ -68,9 +72,26 @@ def _whole(seed: int, n: int, first: int, draws: int) -> Iterator[np.ndarray]:
             parts = []
 
 
-def bootstrap_medians(x: np.ndarray, first: int, draws: int) -> list[float]:
-    """Medians of samples with replacement of a sorted array."""
-    return [m for u in _whole(BOOTSTRAP_SEED, len(x), first, draws) for m in middle(x, (u * len(x)).astype(np.int64)).tolist()]
+def _at_rank(seed: int, n: int, draw: int, skip: int, rank: int) -> int:
+    """The drawn place of a rank (from 0) in a draw that is not held: counted in wide bins first, then only the bin that has it."""
+    width = max(1, n // BINS)
+    parts = lambda: ((u[0] * n).astype(np.int64) for _, u in _draws(seed, n, draw, 1, skip))
+    below = np.cumsum(sum(np.bincount(p // width, minlength=n // width + 1) for p in parts()))
+    bin_ = int(np.searchsorted(below, rank, side="right"))
+    held = np.concatenate([p[p // width == bin_] for p in parts()])
+    return int(np.partition(held, rank - (int(below[bin_ - 1]) if bin_ else 0))[rank - (int(below[bin_ - 1]) if bin_ else 0)])
+
+
+def bootstrap_ranks(n: int, first: int, draws: int, skip: int = 0) -> list[tuple[int, int]]:
+    """The two middle ones (the same for an odd n) of each draw of n places with replacement, as places in the sorted values."""
+    lo, hi = (n - 1) // 2, n // 2
+    if n > CHUNK:
+        return [(_at_rank(BOOTSTRAP_SEED, n, d, skip, lo), _at_rank(BOOTSTRAP_SEED, n, d, skip, hi)) for d in range(first, first + draws)]
+    out: list[tuple[int, int]] = []
+    for _, u in _draws(BOOTSTRAP_SEED, n, first, draws, skip):
+        part = np.partition((u * n).astype(np.int64), [lo, hi], axis=1)
+        out += zip(part[:, lo].tolist(), part[:, hi].tolist(), strict=True)
+    return out
 
 
 def shift(medians: list[float]) -> float:
@@ -142,15 +163,64 @@ def null_distances(groups: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.round("observed", 6).alias("distance"), F.round("null", 6).alias("null_distance"), F.round("p", 6).alias("p_value"))
 
 
-def _medians(row: dict, first: int, draws: int) -> list[float]:
-    return bootstrap_medians(np.array(row["x"], dtype=float), first, draws)
+def _ranked(batches: Iterator[pd.DataFrame], key: str, draws: int) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for row in b.to_dict("records"):
+            many = min(BLOCK, draws - row["first"])
+            found = bootstrap_ranks(int(row["n"]), row["first"], many, int(row["skip"]))
+            yield pd.DataFrame({key: [row[key]] * many, "draw": range(row["first"], row["first"] + many), "lo": [x for x, _ in found], "hi": [x for _, x in found]})
+
 
+def values_of_ranks(rows: DataFrame, key: str, wanted: DataFrame, sizes: list) -> DataFrame:
+    """wanted (key, rank from 0) with x, the value at that rank among the key's values; sizes: key, n, lo, hi, first, last rank wanted.
 
-def bootstrap(rows: DataFrame, key: str) -> DataFrame:
-    """key, x -> key, n, median, lo, hi, se of the median. A group's values, 8 bytes each, go to every task that draws from it."""
-    groups = rows.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("x"))
-    drawn = per_draw(groups, key, RESAMPLES, _medians).groupBy(key).agg(_nearest(0.025).alias("lo"), _nearest(0.975).alias("hi"), F.stddev_samp("value").alias("se"))
-    known = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.percentile("x", 0.5).alias("median"))
+    Only the values between a group's first and last wanted rank are put in order, each distinct one once; these ends
+    are found by exact counts over all rows.
+    """
+    narrow = rows.select(F.col(key).alias("key"), F.col("x").cast("double").alias("x"))
+    ends = [_Range(g[key], rank + 1, g["lo"], g["hi"], g["n"]) for g in sizes for rank in (g["first"], g["last"])]
+    at = values_at(narrow, ends)
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    spans = [(g[key], at[2 * i][0], at[2 * i + 1][0], g["first"] + 1 - at[2 * i][1]) for i, g in enumerate(sizes)]
+    spans = spark.createDataFrame(spans, f"key {kind}, lo double, hi double, below long")
+    inside = narrow.join(F.broadcast(spans), "key").where(F.col("x").between(F.col("lo"), F.col("hi"))).groupBy("key", "x", "below").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = inside.select("key", (F.col("below") + before).alias("rank"), "x", F.lit(0).alias("asked"))
+    asked = wanted.select(F.col(key).alias("key"), "rank", F.lit(None).cast("double").alias("x"), F.lit(1).alias("asked")).distinct()
+    # The last value that starts at a rank or before it has the rank.
+    last = F.last("x", ignorenulls=True).over(Window.partitionBy("key").orderBy("rank", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    return starts.unionByName(asked).withColumn("value", last).where("asked = 1").select(F.col("key").alias(key), "rank", F.col("value").alias("x"))
+
+
+def bootstrap(rows: DataFrame, key: str, least: int = 1) -> DataFrame:
+    """key, x -> key, n, median, lo, hi, se of the median, for groups of at least so many values.
+
+    One stream runs through all groups in the order of their keys. A draw's median is the value at the middle
+    rank that it drew, so tasks draw ranks and hold no values; the few ranks that occur are looked up afterwards.
+    There are few groups, of any size.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi")).where(F.col("n") >= least).orderBy(key).collect()
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, n long, median double, lo double, hi double, se double"
+    if not sizes:
+        return spark.createDataFrame([], out)
+    groups, skip = [], 0
+    for g in sizes:
+        groups.append((g[key], g["n"], skip))
+        skip += RESAMPLES * g["n"]
+    blocks = spark.createDataFrame(groups, f"{key} {kind}, n long, skip long").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1), F.lit(BLOCK))))
+    drawn = blocks.repartition(key, "first").mapInPandas(functools.partial(_ranked, key=key, draws=RESAMPLES), f"{key} {kind}, draw int, lo long, hi long")
+    drawn = staged(drawn, "bootstrap-ranks")
+    # The true median's ranks are looked up with those of the draws.
+    own = spark.createDataFrame([(g[key], -1, (g["n"] - 1) // 2, g["n"] // 2) for g in sizes], drawn.schema)
+    drawn = drawn.unionByName(own)
+    ends = {r[key]: r for r in drawn.groupBy(key).agg(F.min("lo").alias("first"), F.max("hi").alias("last")).collect()}
+    wanted = drawn.select(key, F.explode(F.array("lo", "hi")).alias("rank")).distinct()
+    found = values_of_ranks(rows, key, wanted, [g.asDict() | ends[g[key]].asDict() for g in sizes])
+    a, b = (found.select(key, F.col("rank").alias(r), F.col("x").alias(f"x_{r}")) for r in ("lo", "hi"))
+    medians = drawn.join(a, [key, "lo"]).join(b, [key, "hi"]).select(key, "draw", ((F.col("x_lo") + F.col("x_hi")) / 2).alias("value"))
+    drawn = medians.where("draw >= 0").groupBy(key).agg(_nearest(0.025).alias("lo"), _nearest(0.975).alias("hi"), F.stddev_samp("value").alias("se"))
+    known = medians.where("draw < 0").select(key, F.col("value").alias("median")).join(F.broadcast(spark.createDataFrame([(g[key], g["n"]) for g in sizes], f"{key} {kind}, n long")), key)
     return known.join(drawn, key).select(key, "n", *[F.round(x, 6).alias(x) for x in ("median", "lo", "hi", "se")])
 
 
@@ -177,14 +247,18 @@ def _observed(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFram
 def permutation_test(rows: DataFrame, key: str) -> DataFrame:
     """key, id, x, own, stratum -> key, n_own, n_rest, observed, null_difference, p_value.
 
-    The difference of medians between own rows and the rest, within strata, against labels dealt at random. Fewer
-    than three rows on a side have no test.
+    The difference of medians between own rows and the rest, within strata, against labels dealt at random. With fewer
+    than LEAST_SIDE rows on a side, or no stratum that has two of each, nothing is tested: p_value is 1, and
+    observed the median of the own rows or null.
     """
     item = F.sort_array(F.collect_list(F.struct("id", "x", "own", "stratum")))
-    groups = rows.groupBy(key).agg(F.count_if(F.col("own")).alias("n_own"), F.count_if(~F.col("own")).alias("n_rest"), item.alias("r"))
-    groups = groups.where((F.col("n_own") >= 3) & (F.col("n_rest") >= 3)).select(key, "n_own", "n_rest", *[F.col(f"r.{c}").alias(c) for c in ("x", "own", "stratum")])
+    groups = rows.groupBy(key).agg(F.count_if(F.col("own")).alias("n_own"), F.count_if(~F.col("own")).alias("n_rest"), F.percentile(F.when(F.col("own"), F.col("x")), 0.5).alias("own_median"), item.alias("r"))
+    enough = (F.col("n_own") >= LEAST_SIDE) & (F.col("n_rest") >= LEAST_SIDE)
+    few = groups.where(~enough).select(key, "n_own", "n_rest", F.col("own_median").alias("observed"), F.lit(None).cast("double").alias("null"), F.lit(1.0).alias("p"))
+    groups = groups.where(enough).select(key, "n_own", "n_rest", *[F.col(f"r.{c}").alias(c) for c in ("x", "own", "stratum")])
     kind = groups.schema[key].dataType.simpleString()
     seen = groups.select(key, "x", "own", "stratum").mapInPandas(functools.partial(_observed, key=key), f"{key} {kind}, observed double")
     drawn = per_draw(groups.select(key, "x", "own", "stratum"), key, PERMUTATIONS, _permuted).join(seen, key)
     out = drawn.groupBy(key).agg(F.max("observed").alias("observed"), _nearest(0.5).alias("null"), F.avg((F.col("value") >= F.col("observed")).cast("int")).alias("p"))
-    return groups.select(key, "n_own", "n_rest").join(out, key).select(key, "n_own", "n_rest", *[F.round(a, 6).alias(b) for a, b in (("observed", "observed"), ("null", "null_difference"), ("p", "p_value"))])
+    out = groups.select(key, "n_own", "n_rest").join(out, key).withColumn("p", F.coalesce("p", F.lit(1.0))).unionByName(few)
+    return out.select(key, "n_own", "n_rest", *[F.round(a, 6).alias(b) for a, b in (("observed", "observed"), ("null", "null_difference"), ("p", "p_value"))])

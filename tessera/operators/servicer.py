@@ -342,3 +342,22 @@ def stock_and_history(reports: DataFrame, events: DataFrame) -> DataFrame:
     out = base.join(counts, "cik", "left").fillna(0, ["today", "ever"])
     ratio = F.when(F.col("today") > 0, F.col("ever") / F.col("today")).when(F.col("ever") == 0, 1.0)
     return out.withColumn("ratio", F.round(ratio, 6))
+
+
+def fiscal_ratios(lines: DataFrame) -> DataFrame:
+    """doc_id, n_both, fiscal_only, median_days, p10, p50, p90, near: does the fiscal year's income measure what the dated period does?
+
+    n_both counts lines that have both incomes. The ratio is of the fiscal income to the dated one taken to a year, on lines (of noi_lines) that have both
+    and a period of at least a day; quantiles are values that occur, at place floor(p n). near counts ratios within
+    10 % of 1. fiscal_only are lines that have a fiscal income and no dated one.
+    """
+    has = F.col("fiscal_noi").isNotNull() & (F.col("fiscal_noi") != 0)
+    dated = has & F.col("noi").isNotNull() & (F.col("noi") != 0) & (F.col("period_days") >= 1)
+    ratio = F.when(dated, F.col("fiscal_noi") / (F.col("noi") * 365 / F.col("period_days")))
+    rows = lines.select("doc_id", ratio.alias("ratio"), F.when(dated, F.col("period_days")).alias("days"), (has & F.col("period_days").isNull()).alias("alone"))
+    at = lambda c, p: F.element_at(F.col(c), F.least(F.size(c), (F.floor(p * F.size(c)) + 1).cast("int")))
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("ratio")).alias("rs"), F.array_sort(F.collect_list("days")).alias("ds"), F.count(F.when(F.col("alone"), 1)).alias("fiscal_only"))
+    lists = lists.where((F.size("rs") > 0) | (F.col("fiscal_only") > 0))
+    quantiles = [F.when(F.size("rs") > 0, F.round(at("rs", p), 6)).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))]
+    near = F.size(F.filter("rs", lambda x: (x > 0.9) & (x < 1.1)))
+    return lists.select("doc_id", F.size("rs").alias("n_both"), "fiscal_only", F.when(F.size("ds") > 0, at("ds", 0.5)).alias("median_days"), *quantiles, near.alias("near"))

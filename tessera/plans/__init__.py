@@ -1,6 +1,6 @@
 """The analytical queries over the corpus relations, and the SQL that each is compared with."""
 
-from . import annexes, benchmark, corpus_views, exchange, extraction, gaps, outcomes, promotion, quality, reports, standardise, totals, watch
+from . import annexes, benchmark, corpus_views, exchange, extraction, gaps, outcomes, promotion, quality, reports, sheets, standardise, totals, watch
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "annexes", "benchmark", "corpus_views", "exchange", "extraction", "gaps", "outcomes", "promotion", "quality", "reports", "standardise", "totals", "watch"]
+__all__ = ["QUERIES", "SQL", "annexes", "benchmark", "corpus_views", "exchange", "extraction", "gaps", "outcomes", "promotion", "quality", "reports", "sheets", "standardise", "totals", "watch"]

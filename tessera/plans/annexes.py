@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annex
-from ..operators.extract import html_cells
+from ..operators.extract import html_cells, map_columns
 from ..operators.harvest import Harvest, harvest
 from ..sources.bridge import Corpus
 from .registry import query
@@ -56,7 +56,7 @@ def _harvest(c: Corpus) -> Harvest:
 NUMBERS = """seen as (
     select doc_id, pos, 'loan_amount' as metric_key, amount * 1.0e0 as value from annex_loans
     union all select doc_id, pos, 'interest_rate', floor(rate * 10000 + 0.5) / 10000.0e0 from annex_loans where rate is not null
-    union all select doc_id, pos, 'ltv', floor(ltv * 10000 + 0.5) / 10000.0e0 from annex_loans
+    union all select doc_id, pos, 'ltv', floor(ltv * 10000 + 0.5) / 10000.0e0 from annex_loans where ltv is not null
     union all select doc_id, pos, 'occupancy', case when loan_id % 50 = 0 then 3.5e0 else floor(occupancy * 10000 + 0.5) / 10000.0e0 end from annex_loans where occupancy is not null or loan_id % 50 = 0
     union all select doc_id, pos, 'noi_underwritten', floor(rev / 10.0e0) / 100.0e0 from annex_loans where rev is not null
     union all select doc_id, pos, case when loan_id % 3 <> 0 then 'square_feet' else 'units' end, case when loan_id % 3 <> 0 then 1000.0e0 + loan_id % 5000 else n * 1.0e0 end from annex_loans where loan_id % 3 <> 0 or n is not null)"""
@@ -118,3 +118,14 @@ def annex_header_ties(c: Corpus) -> DataFrame:
     """Metrics for which only the order of columns decided."""
     h = _harvest(c)
     return annex.header_ties(h.joined, h.joined_headers).withColumn("headers", F.array_join("headers", "|"))
+
+
+@query("""with d as (select distinct doc_id, nat from annex_loans)
+    select doc_id, 'UW NOI ($)' as header, 'mapped' as verdict, 'noi_underwritten' as taken_by, 1.0e0 as score from d
+    union all select doc_id, 'Underwritten NOI ($)', 'not assigned', null, 1.0e0 from d where nat % 3 = 0
+    union all select doc_id, 'Occupancy (%)', 'no pattern', 'occupancy', 0.0e0 from d""")
+def annex_explained(c: Corpus) -> DataFrame:
+    """Why a header that sounds like an income stands for the underwritten one, or doesn't."""
+    h = _harvest(c)
+    out = annex.explain_headers(h.joined, h.joined_headers, map_columns(h.joined, h.joined_headers), "noi_underwritten", "(?i)noi|occup")
+    return out.select("doc_id", "header", "verdict", "taken_by", "score")

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import canon_type, count_if, loans_wide, num, num_nonneg, pct, quartiles, r6, with_filing
-from ..operators.resample import bootstrap, null_distances
+from ..operators.resample import BOOTSTRAP_SEED, RESAMPLES, SIMULATIONS, bootstrap, null_distances
 from ..sources.bridge import Corpus
-from .outcomes import after_closing
+from .outcomes import outcomes
 from .registry import query
-from .shared_sql import GATE_NONNEG, canon_sql, fact, med, quart
+from .shared_sql import GATE_NONNEG, OUTCOMES, STREAM_JOIN, STREAM_VALUE, canon_sql, fact, med, quart, stream_sql
 
 MIN_PAIRS, CONCENTRATION, MIN_PER_METRIC = 15, 0.8, 10
 #: Bounds of the cohort metrics and the end that counts as aggressive: fixed values.
@@ -115,7 +115,20 @@ def composition_distance_only(c: Corpus) -> DataFrame:
     return mix(c).groupBy("accession").agg(r6(0.5 * F.sum(F.abs(F.col("own") - F.col("cohort")))).alias("distance"))
 
 
-@query(None)
+_DISTANCES = f"""{_MIX}, seen as (select accession, 0.5 * sum(abs(own - cohort)) as observed from mix group by 1), pools as (select accession, cast(sum(own_n) as bigint) as pool from m group by 1),
+    edges as (select accession, kind, cohort, row_number() over (partition by accession order by cohort desc, kind) as k, count(*) over (partition by accession) as kinds, sum(cohort) over (partition by accession order by cohort desc, kind rows unbounded preceding) as upper from mix),
+    bands as (select *, coalesce(lag(upper) over (partition by accession order by k), -1) as lower, case when k = kinds then 2 else upper end as till from edges),
+    {stream_sql(0xC0FFEE, f"select {SIMULATIONS} * max(pool) + 1 from pools")},
+    numbers as (select t, {STREAM_VALUE} as u from (select unnest(range((select {SIMULATIONS} * max(pool) from pools))) as t) {STREAM_JOIN}),
+    hits as (select p.accession, n.t // p.pool as d, b.k, count(*) as n from pools p join numbers n on n.t < {SIMULATIONS} * p.pool join bands b on b.accession = p.accession and n.u >= b.lower and n.u < b.till group by 1, 2, 3),
+    sims as (select p.accession, d, 0.5 * (1 + sum(abs(h.n / cast(p.pool as double) - e.cohort) - e.cohort)) as v from hits h join pools p on p.accession = h.accession join edges e on e.accession = h.accession and e.k = h.k group by 1, 2),
+    placed as (select *, row_number() over (partition by accession order by v) - 1 as r from sims),
+    tested as (
+        select s.accession, round(observed, 6) as distance, round(max(v) filter (where r = {SIMULATIONS // 2}), 6) as null_distance, round(avg(case when v >= observed - 1e-12 then 1.0e0 else 0.0e0 end), 6) as p_value
+        from placed p join seen s on s.accession = p.accession group by 1, observed)"""
+
+
+@query(f"with recursive {_DISTANCES} select *, round(distance - null_distance, 6) as excess, case when p_value < 0.05 then 'different' when p_value < 0.2 then 'borderline' else 'market' end as band from tested")
 def composition_distance(c: Corpus) -> DataFrame:
     """Distance of each issuance's mix from its cohort's, against chance: a fixed random stream for every issuance."""
     m = mix(c).withColumn("kinds", F.struct((-F.col("cohort")).alias("o"), "kind", "own", "cohort"))
@@ -129,21 +142,40 @@ def banded(rows: DataFrame) -> DataFrame:
 
 
 def growth(c: Corpus) -> DataFrame:
-    """vintage, x: growth delivered in the 10-30M band."""
-    rows = after_closing(c).where(F.col("growth_delivered").isNotNull() & F.col("loan_amount_senior").between(10_000_000, 30_000_000))
+    """vintage, x: growth delivered in the 10-30M band, of full years after closing."""
+    rows = outcomes(c).where((F.col("days_after_origination") >= 0) & F.col("is_full_year") & F.col("growth_delivered").isNotNull() & F.col("loan_amount_senior").between(10_000_000, 30_000_000))
     return rows.select("vintage", F.col("growth_delivered").alias("x"))
 
 
-@query(None)
+#: Loans that a vintage needs for an interval.
+LEAST_GROWTHS = 30
+_BOOTSTRAP = f"""{OUTCOMES}, grown as (
+        select year(originated_at) as vintage, growth_delivered as x from outcomes where days_after_origination >= 0 and is_full_year and growth_delivered is not null and loan_amount_senior between 10000000 and 30000000),
+    sizes as (select vintage, count(*) as n from grown group by 1 having count(*) >= {LEAST_GROWTHS}),
+    starts as (select *, coalesce(sum(n) over (order by vintage rows between unbounded preceding and 1 preceding), 0) * {RESAMPLES} as skip from sizes),
+    sorted as (select vintage, x, row_number() over (partition by vintage order by x) - 1 as place from grown),
+    {stream_sql(BOOTSTRAP_SEED, f"select {RESAMPLES} * sum(n) + 1 from sizes")},
+    spots as (select vintage, n, r, cast(skip + r * n + i as bigint) as t from (select *, unnest(range(n)) as i from (select *, unnest(range({RESAMPLES})) as r from starts))),
+    drawn as (select vintage, n, r, cast(floor({STREAM_VALUE} * n) as bigint) as place from spots {STREAM_JOIN}),
+    middle as (select *, row_number() over (partition by vintage, r order by place) as k from drawn),
+    medians as (select m.vintage, r, avg(x) as v from middle m join sorted s on s.vintage = m.vintage and s.place = m.place where k in ((n + 1) // 2, n // 2 + 1) group by 1, 2),
+    ordered as (select vintage, v, row_number() over (partition by vintage order by v) - 1 as k from medians),
+    power as (
+        select s.vintage, s.n, (select percentile_cont(0.5) within group (order by x) from grown g where g.vintage = s.vintage) as median, max(v) filter (where k = {RESAMPLES // 40}) as lo, max(v) filter (where k = {RESAMPLES * 39 // 40}) as hi, stddev_samp(v) as se
+        from sizes s join ordered o on o.vintage = s.vintage group by 1, 2)"""
+
+
+@query(f"with recursive {_BOOTSTRAP} select vintage, n, round(median, 6) as median, round(lo, 6) as lo, round(hi, 6) as hi, round(se, 6) as se from power")
 def power_bootstrap(c: Corpus) -> DataFrame:
     """Bootstrap interval of the median growth in a vintage's 10-30M band."""
-    return bootstrap(growth(c), "vintage")
+    return bootstrap(growth(c), "vintage", LEAST_GROWTHS)
 
 
 TARGET_EFFECT = 0.05
 
 
-@query(None)
+@query(f"""with recursive {_BOOTSTRAP}, typical as (select percentile_cont(0.5) within group (order by round(se, 6)) as se, percentile_cont(0.5) within group (order by n) as n, cast(sum(n) as bigint) as measured from power)
+    select round(se, 6) as typical_se, n as typical_n, measured, round(1.96 * sqrt(2) * se, 6) as detectable, round(pow(1.96 * sqrt(2) * se / {TARGET_EFFECT}, 2), 6) as sample_factor from typical""")
 def power_detectable(c: Corpus) -> DataFrame:
     """The least difference between vintages that the sample could show, and how many times more loans TARGET_EFFECT would take."""
     out = power_bootstrap(c).agg(F.percentile("se", 0.5).alias("typical_se"), F.percentile("n", 0.5).alias("typical_n"), F.sum("n").alias("measured"))

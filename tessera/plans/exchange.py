@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, loans_wide, num, num_nonneg, r6, with_filing
 from ..operators.resample import STRATA, null_shifts, permutation_test
-from ..operators.tiles import with_tile
+from ..operators.tiles import _Range, values_at
 from ..sources.bridge import Corpus
+from ..sources.stage import staged
 from .registry import query
 from .shared_sql import GATE_NONNEG, fact, med
 from .standardise import _DETAIL, DETAILS, SELLER, detailed, n_ev
@@ -131,12 +132,40 @@ def mechanism_permutation(c: Corpus) -> DataFrame:
     return permutation_test(_long(c).withColumn("stratum", F.lit(0)), "metric")
 
 
+#: Rows that a stratified test needs: in all, on each side, and of the own side within the common range.
+LEAST_ALL, LEAST_SIDE, LEAST_OWN = 12, 4, 4
+
+
+def balance_strata(rows: DataFrame, strata: int = STRATA) -> DataFrame:
+    """rows (metric, by_balance) with stratum: the number of cuts below a row's balance, so equal balances stay together.
+
+    The cuts are the balances at whole parts of each metric's order, found by exact counts; there are few metrics.
+    """
+    narrow = rows.select(F.col("metric").alias("key"), F.col("by_balance").cast("double").alias("x"))
+    sizes = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    ranks = [_Range(g["key"], (i + 1) * g["n"] // strata + 1, g["lo"], g["hi"], g["n"]) for g in sizes for i in range(strata - 1)]
+    cuts = [(r.key, x) for r, (x, *_) in zip(ranks, values_at(narrow, ranks), strict=True)]
+    cuts = rows.sparkSession.createDataFrame(cuts, "metric string, cut double").groupBy("metric").agg(F.collect_list("cut").alias("cuts"))
+    return rows.join(F.broadcast(cuts), "metric").withColumn("stratum", F.size(F.filter("cuts", lambda x: x < F.col("by_balance")))).drop("cuts")
+
+
 @query(None)
 def mechanism_stratified(c: Corpus) -> DataFrame:
-    """The same within strata of the balance, over the range of balances that both sides have."""
-    rows = _long(c).where(F.col("by_balance").isNotNull())
+    """The same within strata of the balance, over the range of balances that both sides have; too few rows give p = 1 and no counts."""
+    rows = staged(_long(c).where(F.col("by_balance").isNotNull()), "profile")
     side = lambda own: F.when(F.col("own") == own, F.col("by_balance"))
-    ends = rows.groupBy("metric").agg(F.greatest(F.min(side(True)), F.min(side(False))).alias("lo"), F.least(F.max(side(True)), F.max(side(False))).alias("hi"), count_if(F.lit(True)).alias("all_n"))
-    kept = rows.join(F.broadcast(ends), "metric").where(F.col("by_balance").between(F.col("lo"), F.col("hi")))
-    tested = permutation_test(with_tile(kept, "by_balance", "id", STRATA, "stratum", key="metric"), "metric")
-    return tested.join(ends.select("metric", "all_n"), "metric").select("*", (F.col("all_n") - F.col("n_own") - F.col("n_rest")).alias("trimmed")).drop("all_n")
+    ends = rows.groupBy("metric").agg(
+        F.greatest(F.min(side(True)), F.min(side(False))).alias("lo"), F.least(F.max(side(True)), F.max(side(False))).alias("hi"),
+        count_if(F.lit(True)).alias("all_n"), F.count(side(True)).alias("all_own"), F.count(side(False)).alias("all_rest"),
+    )
+    inside = F.col("by_balance").between(F.col("lo"), F.col("hi"))
+    kept = rows.join(F.broadcast(ends), "metric").where(inside)
+    counts = ends.join(kept.groupBy("metric").agg(count_if(F.lit(True)).alias("base_n"), count_if(F.col("own")).alias("base_own")), "metric", "left").fillna(0, ["base_n", "base_own"])
+    ready = (F.col("all_n") >= LEAST_ALL) & (F.col("all_own") >= LEAST_SIDE) & (F.col("all_rest") >= LEAST_SIDE)
+    counts = staged(counts.withColumns({"ready": ready, "tested": ready & (F.col("base_own") >= LEAST_OWN)}), "profile-counts")
+    tested = kept.join(F.broadcast(counts.where("tested").select("metric")), "metric", "left_semi").select("id", "own", "by_balance", "metric", "x")
+    out = counts.join(permutation_test(balance_strata(staged(tested, "profile-kept")), "metric"), "metric", "left")
+    had = F.col("observed").isNotNull() & F.col("tested")
+    n = lambda c: F.when(had, F.col(c)).otherwise(0)
+    trimmed = F.when(F.col("ready"), F.col("all_n") - F.col("base_n")).otherwise(0)
+    return out.select("metric", n("n_own").alias("n_own"), n("n_rest").alias("n_rest"), F.when(had, F.col("observed")).alias("observed"), F.when(had, F.col("null_difference")).alias("null_difference"), F.when(had, F.col("p_value")).otherwise(1.0).alias("p_value"), trimmed.alias("trimmed"))

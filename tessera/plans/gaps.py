@@ -36,13 +36,13 @@ def type_gap_shape(c: Corpus) -> DataFrame:
     return x.agg(F.round(F.avg(F.when(F.col("k") > 0, F.col("k"))), 2).alias("per_issuance"), count_if(F.col("k") > 0).alias("issuances"), F.max("k").alias("most"))
 
 
-@query(f"""select count(*) as total, count(pc.v) as with_count, count(*) filter (where regexp_matches(pc.v, {GATE_NONNEG}) and try_cast(pc.v as double) > 1) as multi, count(*) filter (where regexp_matches(l.property_name, '(?i)various|portfolio|Property 1')) as name_various,
+@query(f"""select count(*) as total, count(pc.v) as with_count, count(*) filter (where regexp_matches(pc.v, {GATE_NONNEG}) and try_cast(pc.v as double) > 1) as multi, count(*) filter (where regexp_matches(l.property_name, '(?i)various|portfolio')) as name_various,
     count(pd.v) as with_detail, count(ds.v) as with_dscr from loans l {_text("pc", "property_count")} {_text("pd", "property_type_detailed")} {_text("ds", "dscr")} where l.property_type is null""")
 def type_gap_known(c: Corpus) -> DataFrame:
-    """What is known of loans without a type. Names of the derived corpus that start with "Property 1" stand for portfolios."""
+    """What is known of loans without a type."""
     rows = c.loans.where(F.col("property_type").isNull()).join(raw(c, "property_count", "property_type_detailed", "dscr"), "loan_id", "left")
     return rows.agg(
-        F.count(F.lit(1)).alias("total"), F.count("property_count").alias("with_count"), count_if(num_nonneg("property_count") > 1).alias("multi"), count_if(F.col("property_name").rlike("(?i)various|portfolio|Property 1")).alias("name_various"),
+        F.count(F.lit(1)).alias("total"), F.count("property_count").alias("with_count"), count_if(num_nonneg("property_count") > 1).alias("multi"), count_if(F.col("property_name").rlike("(?i)various|portfolio")).alias("name_various"),
         F.count("property_type_detailed").alias("with_detail"), F.count("dscr").alias("with_dscr"),
     )
 
@@ -70,18 +70,14 @@ def type_gap_detail(c: Corpus) -> DataFrame:
     return rows.select(F.col("company_name").alias("issuance"), "loan_ref", F.col("property_name").alias("name"), F.col("property_count").alias("n_properties"), F.col("property_type_detailed").alias("detail"), "headers")
 
 
-@query("select property_type as type, count(*) as n from loans where property_type is not null and " + " and ".join(f"not regexp_matches(property_type, '(?i){p}')" for p, _ in CLASSES[:3]) + " group by 1 order by n desc, type limit 15")
+@query("select property_type as type, count(*) as n from loans where property_type is not null and " + " and ".join(f"not regexp_matches(property_type, '(?i){p}')" for p, _ in CLASSES) + " group by 1 order by n desc, type limit 15")
 def type_gap_unclassified(c: Corpus) -> DataFrame:
-    """Types that the first classes don't take; in the derived corpus all types have a class, so three are left out to show the rest."""
-    return unclassified(c.loans, CLASSES[:3])
-
-
-def unclassified(loans: DataFrame, classes: tuple = CLASSES, most: int = 15) -> DataFrame:
+    """The most frequent types that no class takes."""
     none = F.lit(True)
-    for pattern, _ in classes:
+    for pattern, _ in CLASSES:
         none = none & ~F.col("property_type").rlike(f"(?i){pattern}")
-    out = loans.where(F.col("property_type").isNotNull() & none).groupBy(F.col("property_type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    return out.orderBy(F.desc("n"), "type").limit(most)
+    out = c.loans.where(F.col("property_type").isNotNull() & none).groupBy(F.col("property_type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return out.orderBy(F.desc("n"), "type").limit(15)
 
 
 @query(f"""with {_HEADERS}, x as (select l.accession, f.company_name as issuance, year(f.filed_at) as vintage, count(*) as n, count(*) filter (where property_type is null) as no_type, count(pc.v) filter (where property_type is null) as with_count from loans l join filings f on f.accession = l.accession {_text("pc", "property_count")} group by 1, 2, 3)
@@ -134,17 +130,17 @@ def audit_categories(c: Corpus) -> DataFrame:
     return c.loans.groupBy(F.coalesce("property_type", F.lit("(no type)")).alias("type")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("accession").alias("issuances"))
 
 
-@query(f"""select f.company_name as name, coalesce(l.loan_ref, concat('row ', l.row_index)) as loan, l.city as type, l.property_name as prop_name, pc.v as prop_count from loans l join filings f on f.accession = l.accession {_text("pc", "property_count")} where regexp_matches(l.city, '^City [0-9.,\\s]+$')""")
+@query(f"""select f.company_name as name, coalesce(l.loan_ref, concat('row ', l.row_index)) as loan, l.property_type as type, l.property_name as prop_name, pc.v as prop_count from loans l join filings f on f.accession = l.accession {_text("pc", "property_count")} where regexp_matches(l.property_type, '^[0-9.,\\s]+$')""")
 def audit_numeric_types(c: Corpus) -> DataFrame:
-    """Loans whose class is a number; the derived corpus has none, so its numbered cities stand for such classes."""
-    rows = with_filing(c, c.loans.where(F.col("city").rlike(r"^City [0-9.,\s]+$"))).join(raw(c, "property_count"), "loan_id", "left")
-    return rows.select(F.col("company_name").alias("name"), F.coalesce("loan_ref", F.concat(F.lit("row "), "row_index")).alias("loan"), F.col("city").alias("type"), F.col("property_name").alias("prop_name"), F.col("property_count").alias("prop_count"))
+    """Loans whose class is a number."""
+    rows = with_filing(c, c.loans.where(F.col("property_type").rlike(r"^[0-9.,\s]+$"))).join(raw(c, "property_count"), "loan_id", "left")
+    return rows.select(F.col("company_name").alias("name"), F.coalesce("loan_ref", F.concat(F.lit("row "), "row_index")).alias("loan"), F.col("property_type").alias("type"), F.col("property_name").alias("prop_name"), F.col("property_count").alias("prop_count"))
 
 
-@query(f"with k as (select l.accession, l.loan_id, count(f.loan_id) as facts from loans l left join facts f on f.loan_id = l.loan_id and f.metric_key in ('loan_amount', 'balance_pari_passu_non_trust', 'balance_senior_total', 'ltv', 'dscr', 'occupancy') group by 1, 2) select f.company_name as name, count(*) as pool, count(*) filter (where facts <= {THIN}) as thin, count(*) filter (where facts = 0) as empty, min(facts) as min_facts from k join filings f on f.accession = k.accession group by 1 having count(*) filter (where facts <= {THIN}) > 0")
+@query(f"with k as (select l.accession, l.loan_id, count(f.loan_id) as facts from loans l left join facts f on f.loan_id = l.loan_id group by 1, 2) select f.company_name as name, count(*) as pool, count(*) filter (where facts <= {THIN}) as thin, count(*) filter (where facts = 0) as empty, min(facts) as min_facts from k join filings f on f.accession = k.accession group by 1 having count(*) filter (where facts <= {THIN}) > 0")
 def audit_phantoms(c: Corpus) -> DataFrame:
-    """Issuances with loans of few facts, counted over six metrics."""
-    facts = c.facts_of("loan_amount", "balance_pari_passu_non_trust", "balance_senior_total", "ltv", "dscr", "occupancy").groupBy("loan_id").agg(F.count(F.lit(1)).alias("k"))
+    """Issuances with loans of few facts."""
+    facts = c.facts.groupBy("loan_id").agg(F.count(F.lit(1)).alias("k"))
     rows = with_filing(c, c.loans.join(facts, "loan_id", "left").withColumn("k", F.coalesce("k", F.lit(0))))
     out = rows.groupBy(F.col("company_name").alias("name")).agg(F.count(F.lit(1)).alias("pool"), count_if(F.col("k") <= THIN).alias("thin"), count_if(F.col("k") == 0).alias("empty"), F.min("k").cast("long").alias("min_facts"))
     return out.where(F.col("thin") > 0)
@@ -182,8 +178,6 @@ def fix_states(c: Corpus) -> DataFrame:
 
 _OK = f"""per_loan as (select l.accession, l.loan_id, abs((noi.v / nullif({SENIOR}, 0)) / nullif(dy.v, 0) - 1) <= 0.01 as ok from loans l {fact("dy", "debt_yield")} {fact("noi", "noi_underwritten")} {SENIOR_JOINS}
     where dy.v is not null and noi.v is not null and amt.v is not null and amt.v <> 0 and dy.v <> 0)"""
-#: Loan numbers that the derived corpus leaves out when it looks for filings without any closing loan.
-_PART = "loan_id % 20 = 0"
 
 
 def per_loan(c: Corpus, balance: Column) -> DataFrame:
@@ -193,10 +187,10 @@ def per_loan(c: Corpus, balance: Column) -> DataFrame:
     return rows.select("accession", "loan_id", (F.abs(ratio(ratio(F.col("noi_underwritten"), balance), F.col("debt_yield")) - 1) <= 0.01).alias("ok"))
 
 
-@query(f"with {_OK} select f.company_name as company, year(f.filed_at) as year, count(*) as loans from per_loan p join filings f on f.accession = p.accession where {_PART} group by 1, 2 having count(*) filter (where ok) = 0 order by loans desc, company limit 15")
+@query(f"with {_OK} select f.company_name as company, year(f.filed_at) as year, count(*) as loans from per_loan p join filings f on f.accession = p.accession group by 1, 2 having count(*) filter (where ok) = 0 order by loans desc, company limit 15")
 def broken_filings(c: Corpus) -> DataFrame:
-    """Deals of which no loan closes, among loans that the derived corpus made not to close."""
-    rows = with_filing(c, per_loan(c, senior()).where(_PART))
+    """Deals of which no loan closes."""
+    rows = with_filing(c, per_loan(c, senior()))
     out = rows.groupBy(F.col("company_name").alias("company"), F.col("vintage").alias("year")).agg(F.count(F.lit(1)).alias("loans"), count_if(F.col("ok")).alias("closing"))
     return out.where(F.col("closing") == 0).drop("closing").orderBy(F.desc("loans"), "company").limit(15)
 
@@ -204,12 +198,12 @@ def broken_filings(c: Corpus) -> DataFrame:
 SHOWN = ("debt_yield", "loan_amount", "ltv", "noi_underwritten", "balance_pari_passu_non_trust")
 
 
-@query(f"""with ok as (select l.accession, l.loan_id, abs((noi.v / nullif(amt.v + coalesce(npp.v, 0), 0)) / nullif(dy.v, 0) - 1) <= 0.01 as ok from loans l {fact("dy", "debt_yield")} {fact("noi", "noi_underwritten")} {SENIOR_JOINS} where dy.v is not null and noi.v is not null and amt.v is not null and amt.v <> 0 and dy.v <> 0 and l.{_PART}),
+@query(f"""with ok as (select l.accession, l.loan_id, abs((noi.v / nullif(amt.v + coalesce(npp.v, 0), 0)) / nullif(dy.v, 0) - 1) <= 0.01 as ok from loans l {fact("dy", "debt_yield")} {fact("noi", "noi_underwritten")} {SENIOR_JOINS} where dy.v is not null and noi.v is not null and amt.v is not null and amt.v <> 0 and dy.v <> 0),
     bad as (select accession from ok group by 1 having count(*) filter (where ok) = 0)
     select f.company_name as company, o.metric_key, o.source_header, count(*) as n from observations o join loans l on l.loan_id = o.loan_id join filings f on f.accession = l.accession where l.accession in (select accession from bad) and o.metric_key in ({", ".join(f"'{k}'" for k in SHOWN)}) group by 1, 2, 3""")
 def broken_headers(c: Corpus) -> DataFrame:
     """Headers used by deals of which no loan closes; the balance leaves the published total out, on purpose."""
-    ok = per_loan(c, senior_parts_only()).where(_PART)
+    ok = per_loan(c, senior_parts_only())
     bad = ok.groupBy("accession").agg(count_if(F.col("ok")).alias("closing")).where(F.col("closing") == 0)
     rows = c.observations.where(F.col("metric_key").isin(*SHOWN)).join(c.loans.select("loan_id", "accession").join(bad, "accession", "left_semi"), "loan_id")
     return with_filing(c, rows).groupBy(F.col("company_name").alias("company"), "metric_key", "source_header").agg(F.count(F.lit(1)).alias("n"))
@@ -229,11 +223,11 @@ def explain_observations(c: Corpus) -> DataFrame:
     return c.observations.where((F.col("loan_id") == LOAN) & F.col("metric_key").isin(*SHOWN)).select("metric_key", "value", "source_header", "confidence")
 
 
-@query("select f.company_name as issuer, count(*) filter (where regexp_matches(pd.v, '(?i)garden|cooperative')) as coops, count(*) as total, " + "round(percentile_cont(0.5) within group (order by case when regexp_matches(pd.v, '(?i)garden|cooperative') then t.v end), 8) as ltv_coop, round(percentile_cont(0.5) within group (order by case when not regexp_matches(pd.v, '(?i)garden|cooperative') then t.v end), 8) as ltv_conv from loans l join filings f on f.accession = l.accession " + _text("pd", "property_type_detailed") + fact("t", "ltv") + " where l.property_type = 'Multifamily' group by 1 having count(*) filter (where regexp_matches(pd.v, '(?i)garden|cooperative')) > 0")
+@query("select f.company_name as issuer, count(*) filter (where regexp_matches(pd.v, '(?i)cooperative')) as coops, count(*) as total, " + "round(percentile_cont(0.5) within group (order by case when regexp_matches(pd.v, '(?i)cooperative') then t.v end), 8) as ltv_coop, round(percentile_cont(0.5) within group (order by case when not regexp_matches(pd.v, '(?i)cooperative') then t.v end), 8) as ltv_conv from loans l join filings f on f.accession = l.accession " + _text("pd", "property_type_detailed") + fact("t", "ltv") + " where l.property_type = 'Multifamily' group by 1 having count(*) filter (where regexp_matches(pd.v, '(?i)cooperative')) > 0")
 def challenge_coops(c: Corpus) -> DataFrame:
-    """Cooperatives against conventional loans; garden apartments stand for cooperatives in the derived corpus."""
+    """Cooperatives against conventional loans."""
     rows = with_filing(c, loans_wide(c, ("ltv",)).where(F.col("property_type") == "Multifamily")).join(raw(c, "property_type_detailed"), "loan_id", "left")
-    coop = F.col("property_type_detailed").rlike("(?i)garden|cooperative")
+    coop = F.col("property_type_detailed").rlike("(?i)cooperative")
     out = rows.groupBy(F.col("company_name").alias("issuer")).agg(count_if(coop).alias("coops"), F.count(F.lit(1)).alias("total"), F.round(F.percentile(F.when(coop, F.col("ltv")), 0.5), 8).alias("ltv_coop"), F.round(F.percentile(F.when(~coop, F.col("ltv")), 0.5), 8).alias("ltv_conv"))
     return out.where(F.col("coops") > 0)
 

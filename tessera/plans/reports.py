@@ -251,3 +251,16 @@ def report_picks(c: Corpus) -> DataFrame:
     files = c.filing_files.select("accession", "seq", F.col("document_name"), "size_bytes")
     candidates = picking.preferred_reports(c.trust_filings).select("cik", "accession", "place")
     return picking.pick_reports(candidates, files, 3).select("cik", "accession", "document_name", "score", "place")
+
+
+@query(f"""with {LINES}, r as (
+        select doc_id, n_days, case when noi <> 0 and n_days >= 1 then -(loan_id + 0.5e0) / (noi * 365 / n_days) end as ratio from lines),
+    placed as (select *, row_number() over (partition by doc_id order by ratio nulls last) - 1 as k, count(ratio) over (partition by doc_id) as n_both from r),
+    days as (select doc_id, n_days, row_number() over (partition by doc_id order by n_days) - 1 as k, count(*) over (partition by doc_id) as n from r where ratio is not null)
+    select p.doc_id, max(n_both) as n_both, count(*) filter (where p.n_days is null) as fiscal_only, (select max(d.n_days) from days d where d.doc_id = p.doc_id and d.k = floor(0.5 * d.n)) as median_days,
+        round(max(ratio) filter (where k = floor(0.1 * n_both)), 6) as p10, round(max(ratio) filter (where k = floor(0.5 * n_both)), 6) as p50, round(max(ratio) filter (where k = floor(0.9 * n_both)), 6) as p90,
+        count(*) filter (where ratio > 0.9 and ratio < 1.1) as near
+    from placed p group by p.doc_id""")
+def report_fiscal_ratios(c: Corpus) -> DataFrame:
+    """The last fiscal year's income against the dated one of each report."""
+    return op.fiscal_ratios(op.noi_lines(*_read(c)))

@@ -51,3 +51,17 @@ def wilson_sql(k: str, n: str, side: int) -> str:
     sign = "+" if side > 0 else "-"
     p = f"({k} * 1.0e0 / {n})"
     return f"case when {n} = 0 then 0.0 else round(least(greatest(({p} + 3.8416e0 / (2 * {n}) {sign} 1.96e0 * sqrt({p} * (1 - {p}) / {n} + 3.8416e0 / (4.0e0 * {n} * {n}))) / (1 + 3.8416e0 / {n}), 0), 1), 6) end"
+
+
+def stream_sql(seed: int, numbers: str) -> str:
+    """CTEs for the fixed random stream: jump_lo and jump_hi (k, a, c: k steps, or k times 1024 steps, at once take s to a * s + c); numbers is a query for how many are needed."""
+    return f"""jump_lo(k, a, c) as (
+        select 0, cast(1 as hugeint), cast(0 as hugeint) union all select k + 1, a * 1664525 % 4294967296, (c * 1664525 + 1013904223) % 4294967296 from jump_lo where k < 1024),
+    jump_hi(k, a, c) as (
+        select 0, cast(1 as hugeint), cast(0 as hugeint) union all select h.k + 1, h.a * l.a % 4294967296, (h.c * l.a + l.c) % 4294967296 from jump_hi h, jump_lo l where l.k = 1024 and h.k <= ({numbers}) // 1024),
+    jump as (select k, (a * {seed} + c) % 4294967296 as s from jump_hi)"""
+
+
+#: The t-th number of the stream (from 0), for a relation that has t, joined with the jumps as j and l.
+STREAM_JOIN = "join jump j on j.k = (t + 1) // 1024 join jump_lo l on l.k = (t + 1) % 1024"
+STREAM_VALUE = "((l.a * j.s + l.c) % 4294967296) / cast(4294967296 as double)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import byar, count_if, loans_wide, observed, pct, r6, ratio, share_if, shelf, standard_type, wilson, with_filing
 from ..operators.tiles import with_tile
 from ..sources.bridge import Corpus
+from ..sources.stage import staged
 from .registry import query
 from .shared_sql import OBSERVED, fact, med, shelf_sql, standard_sql, wilson_sql
 
@@ -282,17 +283,23 @@ def bonferroni_z(tests: int, alpha: float = 0.05) -> float:
     return statistics.NormalDist().inv_cdf(1 - alpha / max(1, tests) / 2)
 
 
-_BONF = f"with {_GRID}, sold as (select * from grid where loan_seller is not null and property_type is not null), s as (with {_sir_sql('sold', 'loan_seller', 'kind, vintage, td', 1)}), z as (select *, abs(ln(observed / expected)) * sqrt(observed) as z from s where observed >= 1 and expected > 0)"
+# The limit by bisection of the normal distribution, whose erf is the usual polynomial (Abramowitz and Stegun 7.1.26).
+_BONF = f"""with recursive {_GRID}, sold as (select * from grid where loan_seller is not null and property_type is not null), s as (with {_sir_sql('sold', 'loan_seller', 'kind, vintage, td', MIN_POOL)}),
+    halved(k, lo, hi) as (
+        select 0, 0.0e0, 10.0e0 union all select k + 1, case when below then mid else lo end, case when below then hi else mid end from (
+            select k, lo, hi, mid, 0.5 + 0.5 * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-mid * mid / 2)) < 1 - 0.025e0 / greatest(1, (select count(*) from s)) as below
+            from (select *, 1 / (1 + 0.3275911 * mid / sqrt(2)) as t from (select *, (lo + hi) / 2 as mid from halved where k < 60)))),
+    z as (select *, abs(ln(observed / expected)) * sqrt(observed) as z from s where observed >= 1 and expected > 0)"""
 
 
-@query(f"{_BONF} select loan_seller, round(z, 4) as z, z > 1.96 as departs, z > " + "case (select count(*) from s) " + " ".join(f"when {m} then {statistics.NormalDist().inv_cdf(1 - 0.05 / m / 2)!r}" for m in range(1, 21)) + " end as departs_bonferroni from z")
+@query(f"{_BONF} select loan_seller, round(z, 4) as z, z > 1.96 as departs, z > (select hi from halved where k = 60) as departs_bonferroni from z")
 def seller_bonferroni(c: Corpus) -> DataFrame:
-    """Sellers whose observed events depart from the expected ones, with and without regard to how many sellers are tested."""
-    rows = seller_sir(c)
-    tests = rows.agg(F.count(F.lit(1)).alias("m")).select(F.array(*[F.lit(bonferroni_z(m)) for m in range(1, 201)])[F.least(F.col("m"), F.lit(200)).cast("int") - 1].alias("limit"))
+    """Sellers of at least MIN_POOL loans whose observed events depart from the expected ones, with and without regard to how many sellers are tested."""
+    rows = staged(seller_sir(c).where(F.col("n") >= MIN_POOL), "sellers")
+    limit = bonferroni_z(rows.count())
     z = F.abs(F.log(F.col("observed") / F.col("expected"))) * F.sqrt("observed")
-    out = rows.where((F.col("observed") >= 1) & (F.col("expected") > 0)).withColumn("z", z).crossJoin(F.broadcast(tests))
-    return out.select("loan_seller", F.round("z", 4).alias("z"), (F.col("z") > 1.96).alias("departs"), (F.col("z") > F.col("limit")).alias("departs_bonferroni"))
+    out = rows.where((F.col("observed") >= 1) & (F.col("expected") > 0)).withColumn("z", z)
+    return out.select("loan_seller", F.round("z", 4).alias("z"), (F.col("z") > 1.96).alias("departs"), (F.col("z") > limit).alias("departs_bonferroni"))
 
 
 @query(f"""with {BASE}, r as (select rank() over (order by dscr) + (count(*) over (partition by dscr) - 1) / 2.0e0 as a, rank() over (order by rate) + (count(*) over (partition by rate) - 1) / 2.0e0 as b from (select accession, vintage, percentile_cont(0.5) within group (order by dscr) as dscr, percentile_cont(0.5) within group (order by rate) as rate from pop where dscr is not null and rate is not null group by 1, 2)),

@@ -13,7 +13,7 @@ from .registry import QUERIES, SQL, query
 from .shared_sql import OUTCOMES, fact
 
 #: What the queries of one issuer and one deal ask for.
-CIK, DEAL, YEAR = "003", "3-2022", 2022
+CIK, DEAL = "003", "3-2022"
 
 
 def count(df: DataFrame, name: str) -> DataFrame:
@@ -91,13 +91,13 @@ def refresh_cost(c: Corpus) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("rows_n"), F.count_distinct("loan_id").alias("loans_n"))
 
 
-@query(f"""select sr.accession, f.accession as deal_accession from (select accession, split_part(deal_accession, '-', 1) as cik from servicer_reports) sr
-    join (select cik, min(accession) as accession from filings where year(filed_at) = {YEAR} group by 1 having count(*) = 1) f on regexp_matches(f.cik, '^[0-9]+$') and regexp_matches(sr.cik, '^[0-9]+$') and try_cast(f.cik as bigint) = try_cast(sr.cik as bigint)""")
+@query(f"""select sr.accession, f.accession as deal_accession from servicer_reports sr
+    join (select cik, min(accession) as accession from filings group by 1 having count(*) = 1) f on regexp_matches(f.cik, '^[0-9]+$') and regexp_matches(sr.cik, '^[0-9]+$') and try_cast(f.cik as bigint) = try_cast(sr.cik as bigint)""")
 def backfill_deal_accession(c: Corpus) -> DataFrame:
-    """The deal of each report by its issuer's number, where the issuer has one filing (of one year, in the derived corpus)."""
-    one = c.filings.where(F.year("filed_at") == YEAR).groupBy("cik").agg(F.min("accession").alias("deal_accession"), F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
+    """The deal of each report by its issuer's number, where the issuer has one filing."""
+    one = c.filings.groupBy("cik").agg(F.min("accession").alias("deal_accession"), F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
     number = lambda x: F.when(F.col(x).rlike("^[0-9]+$"), F.col(x).try_cast("long"))
-    reports = c.servicer_reports.select("accession", F.split_part("deal_accession", F.lit("-"), F.lit(1)).alias("cik")).select("accession", number("cik").alias("k"))
+    reports = c.servicer_reports.select("accession", number("cik").alias("k"))
     return reports.join(one.select(number("cik").alias("k"), "deal_accession"), "k").select("accession", "deal_accession")
 
 

@@ -49,23 +49,23 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
         case when event is not null then make_date(year(event) + 24, month(event), least(day(event), 28)) end as event
         from orders join customer on o_custkey = c_custkey left join li on l_orderkey = o_orderkey"""
     out["deals"] = "select distinct nat, vintage, accession from base"
-    out["filings"] = f"""select accession, concat('00', nat) as cik, concat({_case("nat % 9", SHELVES)}, ' ', vintage, '-C', nat) as company_name, make_date(vintage, nat % 12 + 1, 15) as filed_at,
+    out["filings"] = f"""select accession, case when (nat + vintage) % 6 = 0 then concat('9', nat, vintage) else concat('00', nat) end as cik, concat({_case("nat % 9", SHELVES)}, ' ', vintage, '-C', nat) as company_name, make_date(vintage, nat % 12 + 1, 15) as filed_at,
         {unmapped} as columns_unmapped, case when nat % 3 = 0 then nat + 1 end as property_rows_dropped, 10 + nat % 2 as taxonomy_version from deals"""
     out["loans"] = f"""select loan_id, accession, cast(row_number() over (partition by accession order by loan_id) as int) as row_index,
         case when loan_id % 23 = 0 or nat % 11 = 5 then null else cast(row_number() over (partition by accession order by loan_id) as {"string" if spark else "varchar"}) end as loan_ref,
-        concat('Property ', loan_id % 700) as property_name, case when loan_id % 13 = 0 then null when loan_id % 17 = 0 then 'Various' else concat('City ', nat) end as city,
+        case when loan_id % 41 = 0 then 'Various' when loan_id % 43 = 0 then concat('Portfolio ', loan_id % 9) else concat('Property ', loan_id % 700) end as property_name, case when loan_id % 13 = 0 then null when loan_id % 17 = 0 then 'Various' else concat('City ', nat) end as city,
         case when loan_id % 19 = 0 then null when loan_id % 29 = 0 then 'New York' else {_case("nat", STATES)} end as state,
-        case when part is null or loan_id % 31 = 0 then null else {_case("part % 9", TYPES)} end as property_type, seller as loan_seller from base"""
+        case when part is null or loan_id % 31 = 0 then null when loan_id % 101 = 7 then concat(loan_id % 13, '.5') when loan_id % 103 = 5 then 'Leased Fee' when loan_id % 103 = 6 then 'Data Center' else {_case("part % 9", TYPES)} end as property_type, seller as loan_seller from base"""
     out["amounts"] = """select *, case when loan_id % 5 = 0 then floor(amount / 2.0) end as non_trust,
         case when loan_id % 7 = 0 then amount + case when loan_id % 5 = 0 then floor(amount / 2.0) else 0.0 end end as senior_total,
         amount + case when loan_id % 5 = 0 then floor(amount / 2.0) else 0.0 end as senior, rev / 1000.0e0 as noi, 0.03e0 + tax / 200.0e0 / n as rate from base"""
     out["metrics"] = """select loan_id, cast(amount as double) as amount, cast(non_trust as double) as non_trust, cast(senior_total as double) as senior_total, noi,
-        noi * (1.0e0 + (loan_id % 41 - 20) / 100.0e0) as recent, noi * 0.95e0 as ncf, senior * (1.4e0 + (loan_id % 7) / 10.0e0) as value,
-        case when loan_id % 20 = 3 then 1.1e0 else 1.0e0 end / (1.4e0 + (loan_id % 7) / 10.0e0) as ltv, noi / senior * case when loan_id % 20 = 0 then 1.1e0 else 1.0e0 end as dy, rate,
+        noi * (1.0e0 + (loan_id % 41 - 20) / 100.0e0) as recent, noi * 0.95e0 as ncf, case when rev is null and loan_id % 2 = 0 then null else senior * (1.4e0 + (loan_id % 7) / 10.0e0) end as value,
+        case when rev is null and loan_id % 2 = 0 then null else case when loan_id % 20 = 3 then 1.1e0 else 1.0e0 end / (1.4e0 + (loan_id % 7) / 10.0e0) end as ltv, noi / senior * case when loan_id % 20 = 0 or (nat * 7 + vintage) % 29 = 0 then 1.1e0 else 1.0e0 end as dy, rate,
         amount * (rate + 0.015e0) as service, noi / (senior * (rate + 0.015e0)) as dscr, noi * 0.95e0 / (senior * (rate + 0.015e0)) as dscr_ncf, qty / 50.0e0 / n as occupancy,
         case when loan_id % 3 = 0 then 60.0e0 else 120.0e0 end as term, cast(n as double) as props, cast(amount as double) / sum(cast(amount as double)) over (partition by accession) as share,
         case when loan_id % 6 = 0 then null else (loan_id % 4) * 20.0e0 end as io, case when loan_id % 8 = 1 then null else amount / 1000000.0e0 * (1 + loan_id % 5) end as reserve,
-        case when part is null or loan_id % 9 = 0 then null when part % 3 = 0 then 'Garden' when part % 3 = 1 then 'Mid Rise' else 'Student Housing' end as detail
+        case when part is null or loan_id % 9 = 0 then null when loan_id % 23 = 1 then 'Cooperative' when part % 3 = 0 then 'Garden' when part % 3 = 1 then 'Mid Rise' else 'Student Housing' end as detail
         from amounts""".replace("sum(cast(amount as double)) over", "sum(amount) over")
     if spark:
         # One pass: a loan's metrics, then an observation's other readings, are exploded from arrays.
@@ -82,7 +82,7 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
             union all select loan_id, metric_key, concat('8', value), 0.95e0, 'Tied header', 3 from first_read where loan_id % 10 = 0
             union all select loan_id, metric_key, concat('7', value), 0.7e0, 'Cut-off Date Balance', 4 from first_read where metric_key = 'loan_amount' and loan_id % 4 = 0"""
     out["facts"] = "select loan_id, metric_key, value, confidence, source_header from first_read"
-    out["servicer_reports"] = f"""select concat('R-', accession) as accession, accession as deal_accession, {_case("nat % 9", SHELVES)} as shelf_prefix,
+    out["servicer_reports"] = f"""select concat('R-', accession) as accession, accession as deal_accession, case when (nat + vintage) % 6 = 0 then concat('009', nat, vintage) else concat('0', nat) end as cik, {_case("nat % 9", SHELVES)} as shelf_prefix,
         concat({_case("nat % 9", SHELVES)}, ' ', vintage, '-C', nat) as company_name, case when nat % 7 = 0 then null else concat('Master ', nat % 4) end as master_servicer,
         concat('Special ', nat % 3) as special_servicer, nat % 4 - 1 as delinquency_tables, case when nat % 4 = 1 then 0 else nat % 6 end as data_rows,
         case when nat % 6 = 2 then 0 else nat % 6 end as parsed_rows, case when nat % 6 in (0, 2) then 0 else nat % 6 - nat % 2 end as matched_rows, 80 + nat as pool_loans,

@@ -48,7 +48,14 @@ def test_blocks_equal_loops(monkeypatch, chunk):
     u, want = Stream(op.BOOTSTRAP_SEED), []
     for _ in range(20):
         want.append(statistics.median(x[int(u() * 31)] for _ in range(31)))
-    assert np.allclose(op.bootstrap_medians(np.array(x), 0, 9) + op.bootstrap_medians(np.array(x), 9, 11), want)
+    got = op.bootstrap_ranks(31, 0, 9) + op.bootstrap_ranks(31, 9, 11)
+    assert np.allclose([(x[a] + x[b]) / 2 for a, b in got], want)
+    # Entered behind what other groups have taken, with an even number of values.
+    u = Stream(op.BOOTSTRAP_SEED)
+    for _ in range(77):
+        u()
+    want = [statistics.median(x[int(u() * 30)] for _ in range(30)) for _ in range(5)]
+    assert np.allclose([(x[a] + x[b]) / 2 for a, b in op.bootstrap_ranks(30, 0, 5, 77)], want)
     u, want = Stream(op.SEED), []
     for _ in range(10):
         want.append(op.shift([statistics.median(x[int(u() * 31)] for _ in range(n)) for n in (5, 8, 3)]))
@@ -76,3 +83,34 @@ def test_tests_tell_signal_from_chance(spark):
     assert abs(got["far"]["observed"] - abs(statistics.median(side[0]) - statistics.median(side[1]))) < 1e-6
     boot = op.bootstrap(df.where("metric = 'same'").select("metric", "x"), "metric").first()
     assert boot["lo"] < boot["median"] < boot["hi"] and 0.05 < boot["se"] < 0.5
+
+
+def test_bootstrap_looks_up_ranks_of_any_group(spark, monkeypatch):
+    monkeypatch.setattr(op, "RESAMPLES", 40)
+    r = random.Random(3)
+    groups = {"a": [round(r.gauss(0, 1), 1) for _ in range(90)], "b": [5.0] * 61 + [float(i) for i in range(40)], "few": [1.0, 2.0]}
+    rows = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "g string, x double")
+    got = {x["g"]: x for x in op.bootstrap(rows, "g", 30).collect()}
+    assert set(got) == {"a", "b"}
+    u = Stream(op.BOOTSTRAP_SEED)
+    for k in ("a", "b"):
+        xs = sorted(groups[k])
+        medians = sorted(statistics.median(xs[int(u() * len(xs))] for _ in xs) for _ in range(40))
+        assert (got[k]["n"], got[k]["median"], got[k]["lo"], got[k]["hi"]) == (len(xs), round(statistics.median(xs), 6), round(medians[1], 6), round(medians[39], 6))
+        assert abs(got[k]["se"] - statistics.stdev(medians)) < 1e-6
+
+
+def test_small_sides_have_no_test(spark):
+    rows = [("few", i, float(i), i < 2, 0) for i in range(9)] + [("thin", i, float(i), i < 4, i) for i in range(9)]
+    got = {x["metric"]: x for x in op.permutation_test(spark.createDataFrame(rows, "metric string, id long, x double, own boolean, stratum int"), "metric").collect()}
+    assert (got["few"]["n_own"], got["few"]["observed"], got["few"]["null_difference"], got["few"]["p_value"]) == (2, 0.5, None, 1.0)
+    assert (got["thin"]["observed"], got["thin"]["p_value"]) == (None, 1.0)
+
+
+def test_strata_keep_equal_balances_together(spark):
+    from tessera.plans.exchange import balance_strata
+
+    balances = [1.0] * 20 + [2.0, 3.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0]
+    rows = spark.createDataFrame([("m", i, b) for i, b in enumerate(balances)], "metric string, id long, by_balance double")
+    cuts = [sorted(balances)[(i + 1) * 30 // 6] for i in range(5)]
+    assert all(r.stratum == sum(c < r.by_balance for c in cuts) for r in balance_strata(rows).collect())
