@@ -152,8 +152,8 @@ def _mixture(row: dict, first: int, draws: int) -> list[float]:
 
 
 def _nearest(p: float) -> F.Column:
-    """Value at place floor(p n) of the draws, counted from 0; draws of a group are a fixed number."""
-    return F.element_at(F.sort_array(F.collect_list("value")), (F.floor(p * F.count("value")) + 1).cast("int"))
+    """Value at place floor(p n) of the draws, counted from 0; null without any. Draws of a group are a fixed number."""
+    return F.try_element_at(F.sort_array(F.collect_list("value")), (F.floor(p * F.count("value")) + 1).cast("int"))
 
 
 def null_distances(groups: DataFrame, key: str) -> DataFrame:
