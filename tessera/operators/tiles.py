@@ -100,3 +100,10 @@ def with_tile(rows: DataFrame, x: str, id_: str, tiles: int, out: str, key: str
         mine = sum([(place > F.struct(F.lit(float(v)).alias("x"), F.lit(i).cast("long").alias("id"))).cast("int") for v, i in ends], F.lit(1))
         tile = F.when(k.eqNullSafe(F.lit(value)), mine).otherwise(tile)
     return rows.withColumn(out, tile)
+
+
+def with_tile_nulls_last(rows: DataFrame, x: str, id_: str, tiles: int, out: str, key: str | None = None, few: int = FEW) -> DataFrame:
+    """with_tile, where rows whose x is null (or infinite) come behind all others, by id."""
+    held = f"__{out}_by"
+    placed = rows.withColumn(held, F.coalesce(F.col(x).cast("double"), F.lit(float("inf"))))
+    return with_tile(placed, held, id_, tiles, out, key, few).drop(held)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import byar, count_if, loans_wide, observed, pct, r6, ratio, share_if, shelf, standard_type, wilson, with_filing
-from ..operators.tiles import with_tile
+from ..operators.tiles import with_tile, with_tile_nulls_last
 from ..sources.bridge import Corpus
 from ..sources.stage import staged
 from .registry import query
@@ -381,3 +381,43 @@ def challenge_rates(c: Corpus) -> DataFrame:
     rows = with_filing(c, loans_wide(c, ("interest_rate",))).where(F.col("interest_rate").isNotNull())
     q = rows.groupBy((F.year("filed_at") * 4 + F.quarter("filed_at")).alias("x")).agg(F.percentile("interest_rate", 0.5).alias("y"))
     return q.agg(F.count(F.lit(1)).alias("points"), r6(4 * F.regr_slope("y", "x")).alias("per_year"), r6(F.regr_r2("y", "x")).alias("r2")).where(F.col("points") >= 4)
+
+
+# --- sellers against strata of type, vintage, coverage, leverage and size
+
+#: Share of a stratum from which a seller is its own yardstick.
+OWN_STRATUM = 0.8
+STRATUM = ("kind", "vintage", "td", "tl", "tb")
+
+
+@query(f"""with {BASE}, sized as (
+        select *, ntile(3) over (order by dscr, loan_id) as td, ntile(3) over (order by ltv, loan_id) as tl, ntile(3) over (order by balance, loan_id) as tb from (
+            select p.*, a.v as balance from pop p {fact("a", "loan_amount", loan="p.loan_id")}) where loan_seller is not null and property_type is not null and dscr is not null and ltv is not null and balance is not null),
+    strata as (select kind, vintage, td, tl, tb, sum(event) * 1.0e0 / count(*) as rate from sized group by 1, 2, 3, 4, 5),
+    parts as (select loan_seller, kind, vintage, td, tl, tb, count(*) as nc, count(*) * 1.0e0 / sum(count(*)) over (partition by kind, vintage, td, tl, tb) as share from sized group by 1, 2, 3, 4, 5, 6),
+    own as (select loan_seller, coalesce(sum(nc) filter (where share >= {OWN_STRATUM}), 0) * 1.0e0 / sum(nc) as own from parts group by 1)
+    select s.loan_seller, count(*) as n, cast(sum(event) as bigint) as observed, round(sum(t.rate), 4) as expected, count(distinct shelf) as shelves, round(max(own), 6) as own_share
+    from sized s join strata t on t.kind = s.kind and t.vintage = s.vintage and t.td = s.td and t.tl = s.tl and t.tb = s.tb join own o on o.loan_seller = s.loan_seller group by 1""")
+def seller_sir_sized(c: Corpus) -> DataFrame:
+    """Observed and expected events of each seller within type, vintage and three terciles, and how much of it is compared with itself."""
+    rows = base(c).join(loans_wide(c, ("loan_amount",)).select("loan_id", F.col("loan_amount").alias("balance")), "loan_id")
+    known = F.lit(True)
+    for x in ("loan_seller", "property_type", "dscr", "ltv", "balance"):
+        known = known & F.col(x).isNotNull()
+    rows = staged(rows.where(known).select("loan_id", "loan_seller", "kind", "vintage", "shelf", "event", "dscr", "ltv", "balance"), "sized")
+    for x, name in (("dscr", "td"), ("ltv", "tl"), ("balance", "tb")):
+        rows = with_tile(rows, x, "loan_id", 3, name)
+    cells = rows.groupBy("loan_seller", *STRATUM).agg(F.count(F.lit(1)).alias("nc"), F.sum("event").alias("events"), F.collect_set("shelf").alias("shelves"))
+    # Sellers' cells are few, so strata are summed up over them.
+    w = Window.partitionBy(*STRATUM)
+    cells = cells.withColumns({"rate": F.sum("events").over(w) / F.sum("nc").over(w), "share": F.col("nc") / F.sum("nc").over(w)})
+    own = F.coalesce(F.sum(F.when(F.col("share") >= OWN_STRATUM, F.col("nc"))), F.lit(0)) / F.sum("nc")
+    shelves = F.size(F.array_distinct(F.flatten(F.collect_set("shelves")))).cast("long")
+    return cells.groupBy("loan_seller").agg(F.sum("nc").alias("n"), F.sum("events").alias("observed"), F.round(F.sum(F.col("nc") * F.col("rate")), 4).alias("expected"), shelves.alias("shelves"), F.round(own, 6).alias("own_share"))
+
+
+@query(f"with {BASE}, t as (select *, ntile(3) over (order by dscr nulls last, loan_id) as tile from pop) select tile, {N_EV}, count(*) filter (where dscr is null) as unknown from t group by 1")
+def predictor_terciles_open(c: Corpus) -> DataFrame:
+    """Terciles of coverage over all loans, those without a figure last."""
+    rows = with_tile_nulls_last(staged(base(c).select("loan_id", "dscr", "event"), "coverage"), "dscr", "loan_id", 3, "tile")
+    return rows.groupBy("tile").agg(*n_ev(), count_if(F.col("dscr").isNull()).alias("unknown"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.tiles import tile_cuts, with_tile
+from tessera.operators.tiles import tile_cuts, with_tile, with_tile_nulls_last
 
 
 @pytest.fixture
@@ -41,3 +41,10 @@ def test_no_rows_and_one_value(spark):
     assert tile_cuts(none, 3) == {}
     same = spark.range(1000).select(F.lit(0).alias("key"), F.lit(2.5).alias("x"), "id")
     assert tile_cuts(same, 4, few=10) == {0: [(2.5, 249), (2.5, 499), (2.5, 749)]}
+
+
+def test_nulls_come_last(spark):
+    rows = [(i, None if i % 3 == 0 else float(i % 7)) for i in range(40)]
+    got = {r.id: r.t for r in with_tile_nulls_last(spark.createDataFrame(rows, "id long, x double"), "x", "id", 4, "t").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert got == {i: 1 + k // 10 for k, (i, _) in enumerate(order)}
