@@ -1,19 +1,22 @@
 """From disclosure tables to observations: cells, header rows, column mapping, typed values.
 
 A document is a set of cells (doc_id, table_idx, row_idx, col_idx, text). Everything is keyed by document and
-table, so tables of any number spread over the cluster; only the assignment of a table's columns, a fold over a
-few dozen candidates, runs in Python per table.
+table, so tables of any number spread over the cluster; the assignment of a table's columns is a fold over its few
+dozen candidates.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import METRICS
 from ..functions.parsing import confidence, is_aggregate_label, numeric_cell, parse_value
 
 HEADER_ROWS = 30
@@ -21,38 +24,12 @@ LEAST_MATCHES = 4
 LEAST_OBSERVATIONS = 3
 DECAY = 0.08
 MOST_COLSPAN = 50
+#: Distinct headers that a batch keeps its findings for.
+KNOWN_HEADERS = 10_000
 TABLE = ["doc_id", "table_idx"]
 
 #: Metric, unit, header patterns from the most to the least certain, pattern that excludes. Order breaks ties.
-SPECS = (
-    ("noi_most_recent", "currency", (r"most recent noi", r"(t-?12|ttm) noi"), None),
-    ("noi_underwritten", "currency", (r"(uw|underwritten) noi( |$)", r"underwritten net operating income"), r"dscr|debt yield|date"),
-    ("occupancy", "percent", (r"^(leased )?occupancy", r"% (leased|occupied)"), r"date|as of"),
-    ("units", "count", (r"(number of|no\. of|#) ?units", r"^units"), r"measure"),
-    ("square_feet", "count", (r"(net rentable|square feet|sq\.? ?ft)", r"^(nra|sf)$"), r"per|/"),
-    ("year_built", "years", (r"year built",), None),
-    ("year_renovated", "years", (r"year renovated",), None),
-    ("loan_amount", "currency", (r"cut-?off date balance", r"^(loan amount|balance|cut-?off balance)"), r"per|/|whole|senior|companion|subordinate|mezzanine"),
-    ("appraised_value", "currency", (r"appraised value", r"^(appraisal|value)"), r"date|per"),
-    ("ltv_maturity", "percent", (r"(maturity|balloon|ard).*ltv", r"ltv.*(maturity|balloon|ard)"), None),
-    ("ltv", "percent", (r"cut-?off date ltv", r"^ltv", r"loan-to-value"), r"maturity|balloon|ard|whole|total"),
-    ("dscr_ncf", "ratio", (r"ncf dscr", r"dscr \(?ncf"), r"whole|total"),
-    ("dscr", "ratio", (r"noi dscr", r"^dscr", r"debt service coverage"), r"ncf|whole|total"),
-    ("debt_yield", "percent", (r"noi debt yield", r"^debt yield"), r"ncf|whole|total"),
-    ("net_cash_flow", "currency", (r"(uw|underwritten) ncf( |$)", r"net cash flow"), r"dscr|debt yield"),
-    ("unit_of_measure", "text", (r"^(unit of measure|units? type|measure)",), None),
-    ("loan_property_flag", "text", (r"loan.*property flag", r"^flag"), None),
-    ("loan_id", "text", (r"^loan (number|no\.?|id|#)", r"^control (number|no\.?)"), None),
-    ("interest_rate", "percent", (r"(mortgage|interest) rate", r"^(coupon|rate)"), r"type|mezzanine|subordinate"),
-    ("property_type", "text", (r"^(general )?property type", r"^type"), r"detailed"),
-    ("property_name", "text", (r"property name", r"^(property|name)$"), None),
-    ("address", "text", (r"address",), None),
-    ("city", "text", (r"^city",), None),
-    ("state", "text", (r"^state",), None),
-    ("zip", "text", (r"^zip",), None),
-    ("term_original", "count", (r"original term", r"^term"), r"remaining|amortization"),
-    ("pool_share", "percent", (r"% of (initial )?pool", r"pool share"), None),
-)
+SPECS = tuple((m.key, m.unit, m.patterns, "|".join(f"(?:{x})" for x in m.exclude) or None) for m in METRICS)
 
 
 class _Tables(HTMLParser):
@@ -110,47 +87,72 @@ def html_cells(pages: DataFrame, doc_id: str, html: str) -> DataFrame:
     return pages.select(F.col(doc_id).cast("string"), F.col(html)).mapInPandas(_cells, CELL)
 
 
+_MATCH = "array<struct<spec:int,metric_key:string,unit:string,score:double>>"
+
+
+def _matcher(specs: tuple):
+    """A vectorised function of headers; what a header stands for is worked out once in a batch for every distinct text."""
+
+    @F.pandas_udf(_MATCH)
+    def match(headers: pd.Series) -> pd.Series:
+        compiled = [(key, unit, [re.compile(p, re.ASCII) for p in patterns], exclude and re.compile(exclude, re.ASCII)) for key, unit, patterns, exclude in specs]
+
+        @lru_cache(KNOWN_HEADERS)
+        def find(t: str | None) -> list:
+            out = []
+            for place, (key, unit, patterns, exclude) in enumerate(compiled if t else ()):
+                hit = next((i for i, p in enumerate(patterns) if p.search(t)), None)
+                if hit is not None and not (exclude and exclude.search(t)):
+                    out.append({"spec": place, "metric_key": key, "unit": unit, "score": 1 - DECAY * hit})
+            return out
+
+        return headers.map(find, na_action=None)
+
+    return match
+
+
 def header_matches(text: Column, specs: tuple = SPECS) -> Column:
     """Array of (spec, metric_key, unit, score) that a header may stand for; empty for null.
 
-    Most cells are no header: one pattern made of all shows that before the metrics are asked one by one.
+    Most cells are no header: one pattern made of all shows that in the JVM before the metrics are asked one by one.
     """
-    t = F.lower(F.trim(text))
+    t = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
     any_header = "|".join(f"(?:{p})" for _, _, patterns, _ in specs for p in patterns)
-    found = []
-    for place, (key, unit, patterns, exclude) in enumerate(specs):
-        score = None
-        for i, p in enumerate(patterns):
-            score = F.when(t.rlike(p), 1 - DECAY * i) if score is None else score.when(t.rlike(p), 1 - DECAY * i)
-        score = score if exclude is None else F.when(~t.rlike(exclude), score)
-        found.append(F.struct(F.lit(place).alias("spec"), F.lit(key).alias("metric_key"), F.lit(unit).alias("unit"), score.alias("score")))
-    none = F.array().cast("array<struct<spec:int,metric_key:string,unit:string,score:double>>")
-    return F.when(t.rlike(any_header), F.filter(F.array(*found), lambda x: x["score"] > 0)).otherwise(none)
+    return _matcher(specs)(F.when(t.rlike(any_header), t))
 
 
-def header_rows(cells: DataFrame, specs: tuple = SPECS) -> DataFrame:
-    """doc_id, table_idx, header_row: the first of the rows with most headers that mean something."""
-    top = cells.where((F.col("row_idx") < HEADER_ROWS) & (F.trim("text") != ""))
-    rows = top.groupBy(*TABLE, "row_idx").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.size(header_matches(F.col("text"), specs)) > 0).alias("matches"))
-    rows = rows.where((F.col("filled") >= LEAST_MATCHES) & (F.col("matches") >= LEAST_MATCHES))
-    return rows.groupBy(*TABLE).agg(F.max_by("row_idx", F.struct("matches", -F.col("row_idx"))).alias("header_row"))
-
+_CANDIDATE = "array<struct<rank:double,col_idx:int,spec:int,metric_key:string,unit:string,header:string>>"
 
-def map_columns(cells: DataFrame, headers: DataFrame, specs: tuple = SPECS) -> DataFrame:
-    """One metric for a column and one column for a metric, the best scores first, then columns from the left, then the specs' order.
 
-    A table's candidates, a few dozen, are folded in that order; each is taken if neither its column nor its metric is.
-    """
-    named = cells.join(headers, TABLE).where("row_idx = header_row").withColumn("m", F.explode(header_matches(F.col("text"), specs)))
-    named = named.select(*TABLE, "header_row", F.struct((-F.col("m.score")).alias("rank"), "col_idx", "m.spec", "m.metric_key", "m.unit", F.col("text").alias("header")).alias("x"))
-    lists = named.groupBy(*TABLE, "header_row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    nothing = F.array().cast(lists.schema["xs"].dataType)
+def _assigned(candidates: Column) -> Column:
+    """The candidates of one row that are taken: each in its order, if neither its column nor its metric is taken yet."""
 
     def step(taken: Column, x: Column) -> Column:
         used = F.exists(taken, lambda y: (y["col_idx"] == x["col_idx"]) | (y["metric_key"] == x["metric_key"]))
         return F.when(used, taken).otherwise(F.concat(taken, F.array(x)))
 
-    out = lists.select(*TABLE, "header_row", F.inline(F.aggregate("xs", nothing, step)))
+    return F.aggregate(F.array_sort(candidates), F.array().cast(_CANDIDATE), step)
+
+
+def _candidates(text: str, specs: tuple) -> Column:
+    """Sorted, these stand in the order of assignment: the best scores, then columns from the left, then the specs' order."""
+    one = lambda m: F.struct((-m["score"]).alias("rank"), F.col("col_idx").alias("col_idx"), m["spec"].alias("spec"), m["metric_key"].alias("metric_key"), m["unit"].alias("unit"), F.col(text).alias("header"))
+    return F.transform(header_matches(F.col(text), specs), one)
+
+
+def header_rows(cells: DataFrame, specs: tuple = SPECS) -> DataFrame:
+    """doc_id, table_idx, header_row: the first of the rows that give most columns a metric."""
+    top = cells.where((F.col("row_idx") < HEADER_ROWS) & (F.trim("text") != "")).withColumn("m", _candidates("text", specs))
+    rows = top.groupBy(*TABLE, "row_idx").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.size("m") > 0).alias("named"), F.flatten(F.collect_list("m")).alias("xs"))
+    rows = rows.where((F.col("filled") >= LEAST_MATCHES) & (F.col("named") >= LEAST_MATCHES)).withColumn("matches", F.size(_assigned(F.col("xs"))))
+    return rows.where(F.col("matches") >= LEAST_MATCHES).groupBy(*TABLE).agg(F.max_by("row_idx", F.struct("matches", -F.col("row_idx"))).alias("header_row"))
+
+
+def map_columns(cells: DataFrame, headers: DataFrame, specs: tuple = SPECS) -> DataFrame:
+    """One metric for a column and one column for a metric; a table's candidates, a few dozen, are folded in their order."""
+    named = cells.join(headers, TABLE).where("row_idx = header_row").withColumn("m", _candidates("text", specs)).where(F.size("m") > 0)
+    lists = named.groupBy(*TABLE, "header_row").agg(F.flatten(F.collect_list("m")).alias("xs"))
+    out = lists.select(*TABLE, "header_row", F.inline(_assigned(F.col("xs"))))
     return out.select(*TABLE, "header_row", "col_idx", "header", "spec", "metric_key", "unit", (-F.col("rank")).alias("score"))
 
 

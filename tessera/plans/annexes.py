@@ -12,8 +12,8 @@ from ..sources.bridge import Corpus
 from .registry import query
 from .reports import _body, _table, _tr
 
-FIRST = ("Loan Number", "Loan / Property Flag", "Property Name", "State", "Cut-off Date Balance ($)", "Mortgage Rate (%)", "Broker Code")
-SECOND = ("Loan Number", "Property Name", "Cut-off Date LTV (%)", "Occupancy (%)", "UW NOI ($)", "Number of Units", "Unit of Measure")
+FIRST = ("Loan ID", "Loan / Property Flag", "Property Name", "State", "Cut-off Date Balance ($)", "Interest Rate (%)", "Broker Code")
+SECOND = ("Loan ID", "Property Name", "Cut-off Date LTV (%)", "Occupancy (%)", "UW NOI ($)", "Number of Units", "Unit of Measure")
 #: Loans up to here stand in the first table, those up to the next in its continuation, the rest on another page.
 FIRST_TABLE, CONTINUED = 3, 5
 
@@ -123,7 +123,7 @@ def annex_header_ties(c: Corpus) -> DataFrame:
 @query("""with d as (select distinct doc_id, nat from annex_loans)
     select doc_id, 'UW NOI ($)' as header, 'mapped' as verdict, 'noi_underwritten' as taken_by, 1.0e0 as score from d
     union all select doc_id, 'Underwritten NOI ($)', 'not assigned', null, 1.0e0 from d where nat % 3 = 0
-    union all select doc_id, 'Occupancy (%)', 'no pattern', 'occupancy', 0.0e0 from d""")
+    union all select doc_id, 'Occupancy (%)', 'excluded', 'occupancy', 0.0e0 from d""")
 def annex_explained(c: Corpus) -> DataFrame:
     """Why a header that sounds like an income stands for the underwritten one, or doesn't."""
     h = _harvest(c)

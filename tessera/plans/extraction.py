@@ -12,9 +12,9 @@ from .registry import query
 #: Header row of the printed tables, after two rows of titles.
 HEADER_ROW = 2
 PRINTED = {
-    "Loan Number": "cast(loan_id as string)", "Property Name": "concat('Property ', loan_id)", "Cut-off Date Balance ($)": "concat('$', format_number(amount, 0))",
-    "Cut-off Date LTV (%)": "concat(n_ltv div 100, '.', lpad(cast(n_ltv % 100 as string), 2, '0'), '%')", "Mortgage Rate (%)": "concat(n_rate div 100, '.', lpad(cast(n_rate % 100 as string), 2, '0'), '%')",
-    "Original Term (mos)": "cast(cast(term as int) as string)", "Broker Code": "cast(loan_id % 1000 as string)",
+    "Loan ID": "cast(loan_id as string)", "Property Name": "concat('Property ', loan_id)", "Cut-off Date Balance ($)": "concat('$', format_number(amount, 0))",
+    "Cut-off Date LTV (%)": "concat(n_ltv div 100, '.', lpad(cast(n_ltv % 100 as string), 2, '0'), '%')", "Interest Rate (%)": "concat(n_rate div 100, '.', lpad(cast(n_rate % 100 as string), 2, '0'), '%')",
+    "Original Term To Maturity (mos)": "cast(cast(term as int) as string)", "Broker Code": "cast(loan_id % 1000 as string)",
 }
 
 
@@ -34,8 +34,8 @@ def printed_cells(c: Corpus) -> DataFrame:
 @query("""with p as (select m.loan_id, a.accession, m.amount, m.term, floor(ltv * 10000 + 0.5) as n_ltv, floor(m.rate * 10000 + 0.5) as n_rate from metrics m join amounts a on a.loan_id = m.loan_id)
     select * from (select accession as doc_id, loan_id + 3 as row_idx, 'loan_amount' as metric_key, amount as value, 0.95e0 as confidence, 'Cut-off Date Balance ($)' as source_header from p
     union all select accession, loan_id + 3, 'ltv', n_ltv / 10000.0e0, 0.95e0, 'Cut-off Date LTV (%)' from p
-    union all select accession, loan_id + 3, 'interest_rate', n_rate / 10000.0e0, 0.95e0, 'Mortgage Rate (%)' from p
-    union all select accession, loan_id + 3, 'term_original', term, 0.95e0, 'Original Term (mos)' from p) where value is not null""")
+    union all select accession, loan_id + 3, 'interest_rate', n_rate / 10000.0e0, 0.95e0, 'Interest Rate (%)' from p
+    union all select accession, loan_id + 3, 'term_original', term, 0.95e0, 'Original Term To Maturity (mos)' from p) where value is not null""")
 def extract_observations(c: Corpus) -> DataFrame:
     cells = printed_cells(c)
     found = op.observations(cells, op.map_columns(cells, op.header_rows(cells)))

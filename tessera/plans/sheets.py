@@ -18,7 +18,7 @@ from ..sources.stage import staged
 from .registry import query
 from .reports import _table, _tr
 
-HEAD = ("Loan Number", "Property Name", "Cut-off Date Balance ($)", "Cut-off Date LTV (%)", "Mortgage Rate (%)")
+HEAD = ("Loan ID", "Property Name", "Cut-off Date Balance ($)", "Cut-off Date LTV (%)", "Interest Rate (%)")
 _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tessera.operators import annex, extract
 
 GROUPS = ["", "", "", "Mortgage Loan Terms", None, None]
-FIRST = ["Loan Number", "Loan / Property Flag", "Property Name", "Cut-off Date Balance ($)", "Mortgage Rate (%)", "Broker"]
-SECOND = ["Loan Number", "Property Name", "Cut-off Date LTV (%)", "Occupancy (%)", "UW NOI ($)"]
+FIRST = ["Loan ID", "Loan / Property Flag", "Property Name", "Cut-off Date Balance ($)", "Interest Rate (%)", "Broker"]
+SECOND = ["Loan ID", "Property Name", "Cut-off Date LTV (%)", "Occupancy (%)", "UW NOI ($)"]
 
 
 def grid(doc, table, rows, start=0):
@@ -68,7 +68,7 @@ def test_loans_properties_and_the_joined_table(spark, built):
 
 
 def test_phantoms_abstain(spark):
-    rows = [["Loan Number", "Property Name", "Cut-off Date Balance ($)", "Mortgage Rate (%)"]] + [[str(i), f"P{i}", f"${i}00", "5%"] for i in range(1, 11)]
+    rows = [["Loan ID", "Property Name", "Cut-off Date Balance ($)", "Interest Rate (%)"]] + [[str(i), f"P{i}", f"${i}00", "5%"] for i in range(1, 11)]
     few, many = rows + [["", "", "", "12"]], rows + [["", "", "", "12"]] * 3
     cells = spark.createDataFrame(grid("few", 0, few) + grid("many", 0, many), extract.CELL)
     headers = settled(extract.header_rows(cells))

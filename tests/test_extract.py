@@ -4,7 +4,7 @@ from tessera.operators import extract as op
 
 PAGE = """<table><tr><td>menu</td></tr></table>
 <table><tr><th colspan="3">Annex</th></tr>
-<tr><td>Loan Number</td><td>Property Name</td><td>Cut-off Date Balance ($)</td><td>Balance</td><td>UW NOI ($)</td><td>Occupancy (%)</td></tr>
+<tr><td>Loan ID</td><td>Property Name</td><td>Cut-off Date Balance ($)</td><td>Balance</td><td>UW NOI ($)</td><td>Occupancy (%)</td></tr>
 <tr><td>1</td><td>One &amp; Co</td><td>$1,000</td><td>7</td><td>(20)</td><td>95.5%</td></tr>
 <tr><td>2</td><td>N/A</td><td>--</td><td>8</td><td>Various</td><td></td></tr>
 <tr><td></td><td>Total / Average</td><td>$1,000</td><td>15</td><td>1</td><td>90%</td></tr></table>"""
