@@ -34,6 +34,7 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
         "net_cash_flow": "ncf", "appraised_value": "value", "ltv": "ltv", "debt_yield": "dy", "interest_rate": "rate", "debt_service_pi": "service", "dscr": "dscr", "dscr_ncf": "dscr_ncf",
         "occupancy": "occupancy", "term_original": "term", "property_count": "props", "pool_share": "share",
         "io_period_original": "io", "reserve_replacement_monthly": "reserve", "property_type_detailed": "detail",
+        "underwritten_replacement_reserve": "replacement", "underwritten_tilc": "tilc",
     }
     printed = {k: v if v == "detail" else text(v) for k, v in metrics.items()}
     # Some malformed and some negative texts, for both kinds of number gate.
@@ -65,6 +66,7 @@ def relations(spark: bool, keys: tuple | None = None) -> dict[str, str]:
         amount * (rate + 0.015e0) as service, noi / (senior * (rate + 0.015e0)) as dscr, noi * 0.95e0 / (senior * (rate + 0.015e0)) as dscr_ncf, qty / 50.0e0 / n as occupancy,
         case when loan_id % 3 = 0 then 60.0e0 else 120.0e0 end as term, cast(n as double) as props, cast(amount as double) / sum(cast(amount as double)) over (partition by accession) as share,
         case when loan_id % 6 = 0 then null else (loan_id % 4) * 20.0e0 end as io, case when loan_id % 8 = 1 then null else amount / 1000000.0e0 * (1 + loan_id % 5) end as reserve,
+        case when loan_id % 7 <> 2 then noi * 0.04e0 end as replacement, case when loan_id % 7 <> 3 then noi * 0.01e0 end as tilc,
         case when part is null or loan_id % 9 = 0 then null when loan_id % 23 = 1 then 'Cooperative' when part % 3 = 0 then 'Garden' when part % 3 = 1 then 'Mid Rise' else 'Student Housing' end as detail
         from amounts""".replace("sum(cast(amount as double)) over", "sum(amount) over")
     if spark:
