@@ -46,7 +46,8 @@ def _rows(df: DataFrame, **values: Column) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values])))
 
 
-def _share(cond: Column, among: Column = F.lit(True)) -> Column:
+def _share(cond: Column, among: Column | None = None) -> Column:
+    among = F.lit(True) if among is None else among
     return count_if(cond & among) / F.nullif(count_if(among), F.lit(0))
 
 
