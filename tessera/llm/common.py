@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -29,6 +30,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def one_blas_thread() -> None:
+    """Keep numpy's products in the calling Python worker to one thread: Spark runs a worker for each core, and lets each have as many threads as there are cores."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        loaded = {line.split(None, 5)[5].strip() for line in maps if "openblas" in line}
+    for path in loaded:
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
+def spread(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """rows dealt evenly over several tasks a core, however few or uneven the parts are in which they were read."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *by)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; one of our own only in local mode, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

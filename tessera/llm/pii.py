@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import one_blas_thread, small_batches, spread, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("outside", *KINDS)
@@ -479,6 +479,7 @@ def fit_tagger(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int
 
 def _train(batches) -> Iterator[pa.RecordBatch]:
     """All labelled windows -> the tagger, trained in one task: the sample is bounded."""
+    one_blas_thread()
     texts, spans = [], []
     for b in batches:
         texts += b.column(0).to_pylist()
@@ -608,6 +609,7 @@ def added_spans(text: str, base: list[Span], found: list[tuple[str, int, int, fl
 
 
 def _find(batches, tagger, certain: float) -> Iterator[pa.RecordBatch]:
+    one_blas_thread()
     model: Tagger = tagger.value
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
@@ -643,4 +645,6 @@ def find_pii(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     tagger = spark.sparkContext.broadcast(fit_tagger(docs))
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # A character costs a thousand times what its way through a shuffle does, and files may be few or uneven.
+    rows = spread(rows, "doc_id", F.xxhash64("text"))
     return rows.mapInArrow(functools.partial(_find, tagger=tagger, certain=certain), OUT)
