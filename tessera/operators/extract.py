@@ -24,7 +24,7 @@ LEAST_MATCHES = 4
 LEAST_OBSERVATIONS = 3
 DECAY = 0.08
 MOST_COLSPAN = 50
-#: Distinct headers that a batch keeps its findings for.
+#: Distinct headers that a Python worker keeps its findings for.
 KNOWN_HEADERS = 10_000
 TABLE = ["doc_id", "table_idx"]
 
@@ -71,42 +71,58 @@ class _Tables(HTMLParser):
 CELL = "doc_id string, table_idx int, row_idx int, col_idx int, text string"
 
 
+#: Bytes of documents that a Python worker is sent at once (a longer document comes alone), and cells that it gives back at once.
+PAGE_BYTES, BLOCK = 16 << 20, 20_000
+
+
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """However many documents a batch has, the cells of one document and a block are held."""
+    names = ["doc_id", "table_idx", "row_idx", "col_idx", "text"]
+    held: list[tuple] = []
     for b in batches:
-        rows = []
         for doc, html in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
             found = _Tables()
             found.feed(html or "")
             kept = [t for t in found.tables if max(map(len, t), default=0) > 1]
-            rows += [(doc, t, r, c, x) for t, table in enumerate(kept) for r, row in enumerate(table) for c, x in enumerate(row) if x is not None]
-        yield pd.DataFrame(rows, columns=["doc_id", "table_idx", "row_idx", "col_idx", "text"])
+            held += [(doc, t, r, c, x) for t, table in enumerate(kept) for r, row in enumerate(table) for c, x in enumerate(row) if x is not None]
+            for at in range(0, len(held) - len(held) % BLOCK, BLOCK):
+                yield pd.DataFrame(held[at : at + BLOCK], columns=names)
+            held = held[len(held) - len(held) % BLOCK :]
+    yield pd.DataFrame(held, columns=names)
 
 
 def html_cells(pages: DataFrame, doc_id: str, html: str) -> DataFrame:
     """Cells with text of every table of two or more columns; layout tables of one column are left out."""
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PAGE_BYTES))
     return pages.select(F.col(doc_id).cast("string"), F.col(html)).mapInPandas(_cells, CELL)
 
 
 _MATCH = "array<struct<spec:int,metric_key:string,unit:string,score:double>>"
 
 
+@lru_cache
+def _finder(specs: tuple):
+    """What a header stands for; worked out once in a Python worker for every distinct text."""
+    compiled = [(key, unit, [re.compile(p, re.ASCII) for p in patterns], exclude and re.compile(exclude, re.ASCII)) for key, unit, patterns, exclude in specs]
+
+    @lru_cache(KNOWN_HEADERS)
+    def find(t: str | None) -> list:
+        out = []
+        for place, (key, unit, patterns, exclude) in enumerate(compiled if t else ()):
+            hit = next((i for i, p in enumerate(patterns) if p.search(t)), None)
+            if hit is not None and not (exclude and exclude.search(t)):
+                out.append({"spec": place, "metric_key": key, "unit": unit, "score": 1 - DECAY * hit})
+        return out
+
+    return find
+
+
 def _matcher(specs: tuple):
-    """A vectorised function of headers; what a header stands for is worked out once in a batch for every distinct text."""
+    """A vectorised function of headers."""
 
     @F.pandas_udf(_MATCH)
     def match(headers: pd.Series) -> pd.Series:
-        compiled = [(key, unit, [re.compile(p, re.ASCII) for p in patterns], exclude and re.compile(exclude, re.ASCII)) for key, unit, patterns, exclude in specs]
-
-        @lru_cache(KNOWN_HEADERS)
-        def find(t: str | None) -> list:
-            out = []
-            for place, (key, unit, patterns, exclude) in enumerate(compiled if t else ()):
-                hit = next((i for i, p in enumerate(patterns) if p.search(t)), None)
-                if hit is not None and not (exclude and exclude.search(t)):
-                    out.append({"spec": place, "metric_key": key, "unit": unit, "score": 1 - DECAY * hit})
-            return out
-
-        return headers.map(find, na_action=None)
+        return headers.map(_finder(specs), na_action=None)
 
     return match
 

@@ -9,6 +9,7 @@ from ..operators import annex
 from ..operators.extract import html_cells, map_columns
 from ..operators.harvest import Harvest, harvest
 from ..sources.bridge import Corpus
+from ..sources.stage import staged
 from .registry import query
 from .reports import _body, _table, _tr
 
@@ -25,7 +26,7 @@ def _percent(x: str) -> Column:
 
 def printed_annexes(c: Corpus) -> DataFrame:
     """doc_id, html: two blocks of tables on the same loans; some loans have two properties below them."""
-    loans = c.annex_loans
+    loans = staged(c.annex_loans, "annex-printed")
     pos = F.col("pos").cast("string")
     own = _tr(pos, "Loan", F.concat(F.lit("N"), pos), F.col("state"), F.concat(F.lit("$"), F.format_number("amount", 0)), _percent("rate"), (F.col("loan_id") % 1000).cast("string"))
     below = [_tr(F.concat(pos, F.lit(f".0{k}")), "Property", F.concat(F.lit("N"), pos, F.lit(f" part {k}")), "TX", "NAP", "NAP", "NAP") for k in (1, 2)]
@@ -50,7 +51,7 @@ def printed_annexes(c: Corpus) -> DataFrame:
 
 
 def _harvest(c: Corpus) -> Harvest:
-    return harvest(html_cells(printed_annexes(c), "doc_id", "html"))
+    return harvest(staged(html_cells(printed_annexes(c), "doc_id", "html"), "annex-cells"))
 
 
 NUMBERS = """seen as (
