@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
+
 import numpy as np
 
 #: s -> s * FACTOR + STEP modulo 2**32, read as s / 2**32: fixed values.
 FACTOR, STEP = 1664525, 1013904223
+#: States that are held at once: they stay in a core's cache.
+PART = 1 << 15
 
 
 def lcg_state(seed: int, steps: int) -> int:
@@ -33,3 +39,37 @@ def lcg_stream(seed: int, n: int, skip: int = 0) -> np.ndarray:
         a, b = a * a & 0xFFFFFFFF, (a * b + b) & 0xFFFFFFFF
         have += more
     return out / 2.0**32
+
+
+@functools.lru_cache(1)
+def _jumps() -> tuple[np.ndarray, np.ndarray]:
+    """Factor and step that lead from a state to the PART states after it."""
+    a, b = np.empty(PART, np.uint32), np.empty(PART, np.uint32)
+    a[0], b[0] = FACTOR, STEP
+    have = 1
+    while have < PART:
+        more = min(have, PART - have)
+        a[have : have + more], b[have : have + more] = a[:more] * a[have - 1], a[:more] * b[have - 1] + b[:more]
+        have += more
+    return a, b
+
+
+def lcg_states(seed: int, n: int, skip: int = 0) -> Iterator[np.ndarray]:
+    """The n states after the first `skip`, in parts of at most PART; a part is overwritten by the next one."""
+    a, b = _jumps()
+    held, at = np.empty(PART, np.uint32), np.uint32(lcg_state(seed, skip))
+    for first in range(0, n, PART):
+        k = min(PART, n - first)
+        part = np.multiply(a[:k], at, out=held[:k])
+        part += b[:k]
+        at = part[-1].copy()
+        yield part
+
+
+def bound(u: float) -> int:
+    """A number of the stream is below u if and only if its state is below this."""
+    return min(1 << 32, max(0, math.ceil(u * 2.0**32)))
+
+
+def count_below(part: np.ndarray, limit: int) -> int:
+    return len(part) if limit > 0xFFFFFFFF else int(np.count_nonzero(part < np.uint32(limit)))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.random import lcg_stream
+from ..functions.random import bound, count_below, lcg_states, lcg_stream
 from ..sources.stage import staged
 from .tiles import _Range, values_at
 
@@ -42,16 +42,17 @@ def _draws(seed: int, n: int, first: int, draws: int, skip: int = 0) -> Iterator
 
 
 def mixture_distances(pool: int, cohort: np.ndarray, first: int, draws: int) -> list[float]:
-    """Total variation between the cohort's mix and pools drawn from it: draws first, first + 1, ... of the stream."""
-    edges, kinds, out = np.cumsum(cohort), len(cohort), []
-    counts = None
-    for done, u in _draws(SEED, pool, first, draws):
-        kind = np.minimum(np.searchsorted(edges, u, side="right"), kinds - 1) + kinds * np.arange(len(u))[:, None]
-        more = np.bincount(kind.ravel(), minlength=kinds * len(u)).reshape(len(u), kinds)
-        counts = more if counts is None else counts + more
-        if done:
-            out += (0.5 * np.abs(counts / pool - cohort).sum(axis=1)).tolist()
-            counts = None
+    """Total variation between the cohort's mix and pools drawn from it: draws first, first + 1, ... of the stream.
+
+    A kind's number is the difference of two counts of states below its edges, so nothing is held for a number.
+    """
+    limits, out = [bound(x) for x in np.cumsum(cohort)[:-1]], []
+    for d in range(first, first + draws):
+        below = np.zeros(len(cohort) + 1, np.int64)
+        below[-1] = pool
+        for part in lcg_states(SEED, pool, d * pool):
+            below[1:-1] += [count_below(part, x) for x in limits]
+        out.append(float(0.5 * np.abs(np.diff(below) / pool - cohort).sum()))
     return out
 
 
@@ -140,11 +141,17 @@ def _run(batches: Iterator[pd.DataFrame], key: str, draws: int, work: Callable)
             yield pd.DataFrame({key: [row[key]] * len(values), "value": pd.array(values, dtype="Float64")})
 
 
+def _dealt(blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks over several tasks a core. The number is stated: without one Spark puts such small rows together into one task, however long they take."""
+    spark = blocks.sparkSession
+    return blocks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key, "first")
+
+
 def per_draw(groups: DataFrame, key: str, draws: int, work: Callable) -> DataFrame:
     """key, value for every draw of every group; groups has the key, and what work(row, first, draws) reads."""
     blocks = groups.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK))))
     kind = groups.schema[key].dataType.simpleString()
-    return blocks.repartition(key, "first").mapInPandas(functools.partial(_run, key=key, draws=draws, work=work), f"{key} {kind}, value double")
+    return _dealt(blocks, key).mapInPandas(functools.partial(_run, key=key, draws=draws, work=work), f"{key} {kind}, value double")
 
 
 def _mixture(row: dict, first: int, draws: int) -> list[float]:
@@ -209,7 +216,7 @@ def bootstrap(rows: DataFrame, key: str, least: int = 1) -> DataFrame:
         groups.append((g[key], g["n"], skip))
         skip += RESAMPLES * g["n"]
     blocks = spark.createDataFrame(groups, f"{key} {kind}, n long, skip long").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1), F.lit(BLOCK))))
-    drawn = blocks.repartition(key, "first").mapInPandas(functools.partial(_ranked, key=key, draws=RESAMPLES), f"{key} {kind}, draw int, lo long, hi long")
+    drawn = _dealt(blocks, key).mapInPandas(functools.partial(_ranked, key=key, draws=RESAMPLES), f"{key} {kind}, draw int, lo long, hi long")
     drawn = staged(drawn, "bootstrap-ranks")
     # The true median's ranks are looked up with those of the draws.
     own = spark.createDataFrame([(g[key], -1, (g["n"] - 1) // 2, g["n"] // 2) for g in sizes], drawn.schema)

@@ -114,3 +114,25 @@ def test_strata_keep_equal_balances_together(spark):
     rows = spark.createDataFrame([("m", i, b) for i, b in enumerate(balances)], "metric string, id long, by_balance double")
     cuts = [sorted(balances)[(i + 1) * 30 // 6] for i in range(5)]
     assert all(r.stratum == sum(c < r.by_balance for c in cuts) for r in balance_strata(rows).collect())
+
+
+def test_blocks_are_dealt_over_tasks(spark):
+    """Rows are few and small, work is not: adaptive execution must not put them into one task."""
+    groups = spark.createDataFrame([(str(i), i) for i in range(8)], "g string, n int")
+    seen = op.per_draw(groups, "g", 1000, _task).select("value").distinct().count()
+    assert seen > 4
+
+
+def _task(row, first, draws):
+    from pyspark import TaskContext
+
+    return [float(TaskContext.get().partitionId())] * draws
+
+
+def test_shares_are_counted_at_the_edges():
+    """Counts of states equal the kinds that each number falls into, also for kinds without a share and pools beyond one part."""
+    cohort, pool = np.array([0.5, 0.25, 0.25, 0.0]), 40_000
+    u = lcg_stream(op.SEED, 3 * pool).reshape(3, pool)
+    kind = np.minimum(np.searchsorted(np.cumsum(cohort), u, side="right"), 3)
+    want = [0.5 * np.abs(np.bincount(k, minlength=4) / pool - cohort).sum() for k in kind]
+    assert np.allclose(op.mixture_distances(pool, cohort, 0, 3), want)
