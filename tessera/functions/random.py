@@ -41,22 +41,26 @@ def lcg_stream(seed: int, n: int, skip: int = 0) -> np.ndarray:
     return out / 2.0**32
 
 
-@functools.lru_cache(1)
-def _jumps() -> tuple[np.ndarray, np.ndarray]:
-    """Factor and step that lead from a state to the PART states after it."""
-    a, b = np.empty(PART, np.uint32), np.empty(PART, np.uint32)
-    a[0], b[0] = FACTOR, STEP
+def lcg_jumps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and steps that lead from a state to each of the n states after it."""
+    a, b = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    a[:1], b[:1] = FACTOR, STEP
     have = 1
-    while have < PART:
-        more = min(have, PART - have)
+    while have < n:
+        more = min(have, n - have)
         a[have : have + more], b[have : have + more] = a[:more] * a[have - 1], a[:more] * b[have - 1] + b[:more]
         have += more
     return a, b
 
 
+@functools.lru_cache(1)
+def _part_jumps() -> tuple[np.ndarray, np.ndarray]:
+    return lcg_jumps(PART)
+
+
 def lcg_states(seed: int, n: int, skip: int = 0) -> Iterator[np.ndarray]:
     """The n states after the first `skip`, in parts of at most PART; a part is overwritten by the next one."""
-    a, b = _jumps()
+    a, b = _part_jumps()
     held, at = np.empty(PART, np.uint32), np.uint32(lcg_state(seed, skip))
     for first in range(0, n, PART):
         k = min(PART, n - first)

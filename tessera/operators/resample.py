@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.random import bound, count_below, lcg_states, lcg_stream
+from ..functions.random import PART, bound, count_below, lcg_jumps, lcg_state, lcg_states, lcg_stream
 from ..sources.stage import staged
 from .tiles import _Range, values_at
 
@@ -56,23 +56,6 @@ def mixture_distances(pool: int, cohort: np.ndarray, first: int, draws: int) ->
     return out
 
 
-def middle(x: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """Medians of the values at the drawn places (rows) of a sorted array."""
-    n = drawn.shape[1]
-    part = np.partition(drawn, [(n - 1) // 2, n // 2], axis=1)
-    return (x[part[:, (n - 1) // 2]] + x[part[:, n // 2]]) / 2
-
-
-def _whole(seed: int, n: int, first: int, draws: int) -> Iterator[np.ndarray]:
-    """Rows of whole draws."""
-    parts: list[np.ndarray] = []
-    for done, u in _draws(seed, n, first, draws):
-        parts.append(u)
-        if done:
-            yield np.concatenate(parts, axis=1) if len(parts) > 1 else u
-            parts = []
-
-
 def _at_rank(seed: int, n: int, draw: int, skip: int, rank: int) -> int:
     """The drawn place of a rank (from 0) in a draw that is not held: counted in wide bins first, then only the bin that has it."""
     width = max(1, n // BINS)
@@ -101,12 +84,33 @@ def shift(medians: list[float]) -> float:
     return (max(medians) - min(medians)) / abs(centre) if centre else 0.0
 
 
+def _middle_states(n: int, skip: int) -> np.ndarray:
+    """The two middle ones (the same for an odd n) of n states after the stream's first `skip`."""
+    ranks = np.array([(n - 1) // 2, n // 2])
+    spread = 4 / np.sqrt(n) + 64 / n
+    for lo, hi in ((bound(0.5 - spread), bound(0.5 + spread)), (0, 1 << 32)):
+        below, near = 0, []
+        for part in lcg_states(SEED, n, skip):
+            below += count_below(part, lo)
+            near.append(part[part - np.uint32(lo) <= np.uint32(hi - 1 - lo)])
+        held, at = np.concatenate(near), ranks - below
+        if at[0] >= 0 and at[1] < len(held):
+            break
+    return np.partition(held, at)[at]
+
+
 def resampled_shifts(pool: np.ndarray, sizes: list[int], first: int, draws: int) -> list[float]:
-    """Shifts of vintages' medians when all are drawn, with replacement, from one sorted pool."""
+    """Shifts of vintages' medians when all are drawn, with replacement, from one sorted pool.
+
+    Drawn places rise with the states they come from, so the middle states give the middle places.
+    """
     ends, out = np.cumsum([0, *sizes]), []
-    for u in _whole(SEED, int(ends[-1]), first, draws):
-        drawn = (u * len(pool)).astype(np.int64)
-        out += [shift(list(m)) for m in zip(*(middle(pool, drawn[:, a:b]).tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True)]
+    for d in range(first, first + draws):
+        medians = []
+        for a, n in zip(ends[:-1].tolist(), sizes, strict=True):
+            lo, hi = (_middle_states(n, d * int(ends[-1]) + a) / 2.0**32 * len(pool)).astype(np.int64)
+            medians.append((float(pool[lo]) + float(pool[hi])) / 2)
+        out.append(shift(medians))
     return out
 
 
@@ -120,17 +124,71 @@ def _difference(x: np.ndarray, own: np.ndarray, stratum: np.ndarray) -> float |
     return abs(sum(parts) / len(parts)) if parts else None
 
 
+def _kth(mask: np.ndarray, value: bool, k: int) -> int:
+    """The place of the k-th (from 0) of a mask's entries that have the value."""
+    lo, hi = 0, len(mask)
+    while hi - lo > PART:
+        half = (lo + hi) // 2
+        n = int(np.count_nonzero(mask[lo:half]))
+        n = n if value else half - lo - n
+        lo, hi, k = (lo, half, k) if k < n else (half, hi, k - n)
+    return lo + int(np.flatnonzero(mask[lo:hi] == value)[k])
+
+
+def _middle_of(x: np.ndarray, mask: np.ndarray, value: bool, n: int) -> float:
+    """Median of the n entries of sorted x whose mask has the value."""
+    return (float(x[_kth(mask, value, (n - 1) // 2)]) + float(x[_kth(mask, value, n // 2)])) / 2
+
+
+def _least(parts: Callable, n: int, k: int) -> np.ndarray:
+    """Mask of the k least of n different states; parts() gives them in pieces.
+
+    The k-th is near k/n of the range: states clearly below are marked at once, and only the few near it are put in
+    order. Should it lie outside after all, all are.
+    """
+    spread = 8 * np.sqrt(k / n * (1 - k / n) / n) + 64 / n
+    for lo, hi in ((bound(k / n - spread), bound(k / n + spread)), (0, 1 << 32)):
+        mask, at, near = np.empty(n, bool), [], []
+        first = below = 0
+        for part in parts():
+            here = mask[first : first + len(part)]
+            np.less(part, np.uint32(min(lo, 0xFFFFFFFF)), out=here)
+            below += int(np.count_nonzero(here))
+            # Unsigned differences wrap round, so one comparison tells both ends.
+            inside = np.flatnonzero(part - np.uint32(lo) <= np.uint32(hi - 1 - lo))
+            at.append(inside + first)
+            near.append(part[inside])
+            first += len(part)
+        left, at, near = k - below, np.concatenate(at), np.concatenate(near)
+        if 0 <= left <= len(at):
+            break
+    if left:
+        mask[at[np.argpartition(near, left - 1)[:left]]] = True
+    return mask
+
+
 def permuted_differences(x: np.ndarray, own: np.ndarray, stratum: np.ndarray, first: int, draws: int) -> list[float | None]:
-    """Differences when the labels are dealt anew within each stratum, by the order of uniform numbers."""
+    """Differences when the labels are dealt anew within each stratum, by the order of uniform numbers.
+
+    Rows are put in the order of their values once; each keeps the factor and step that lead from a draw's first
+    state to its own, so a draw neither sorts nor gathers.
+    """
+    a, b = lcg_jumps(len(x))
+    strata = []
+    for s in np.unique(stratum):
+        at = np.flatnonzero(stratum == s)
+        k = int(own[at].sum())
+        if k >= 2 and len(at) - k >= 2:
+            at = at[np.argsort(x[at], kind="stable")]
+            strata.append((a[at], b[at], x[at], k))
     out: list[float | None] = []
-    places = [(np.flatnonzero(stratum == s), int(own[stratum == s].sum())) for s in np.unique(stratum)]
-    places = [(at, k) for at, k in places if k >= 2 and len(at) - k >= 2]
-    for u in _whole(SEED, len(x), first, draws):
-        parts = []
-        for at, k in places:
-            dealt = x[at][np.argsort(u[:, at], axis=1, kind="stable")]
-            parts.append(np.median(dealt[:, :k], axis=1) - np.median(dealt[:, k:], axis=1))
-        out += np.abs(np.mean(parts, axis=0)).tolist() if parts else [None] * len(u)
+    for d in range(first, first + draws):
+        state, total = np.uint32(lcg_state(SEED, d * len(x))), 0.0
+        for a, b, values, k in strata:
+            n = len(values)
+            dealt = _least(lambda a=a, b=b, n=n: (a[i : i + PART] * state + b[i : i + PART] for i in range(0, n, PART)), n, k)
+            total += _middle_of(values, dealt, True, k) - _middle_of(values, dealt, False, n - k)
+        out.append(abs(total / len(strata)) if strata else None)
     return out
 
 

@@ -136,3 +136,27 @@ def test_shares_are_counted_at_the_edges():
     kind = np.minimum(np.searchsorted(np.cumsum(cohort), u, side="right"), 3)
     want = [0.5 * np.abs(np.bincount(k, minlength=4) / pool - cohort).sum() for k in kind]
     assert np.allclose(op.mixture_distances(pool, cohort, 0, 3), want)
+
+
+def test_dealing_needs_no_sorting_of_draws(monkeypatch):
+    """Least states by a band equal those of a whole sort, also with ties of values and where the band misses."""
+    r = np.random.default_rng(4)
+    n = 70_001
+    x, own, stratum = np.round(r.normal(size=n), 1), r.random(n) < 0.1, r.integers(0, 3, n)
+    u, want = lcg_stream(op.SEED, 3 * n).reshape(3, n), []
+    for row in u:
+        parts = []
+        for s in range(3):
+            at = np.flatnonzero(stratum == s)
+            dealt, k = x[at][np.argsort(row[at], kind="stable")], int(own[at].sum())
+            parts.append(np.median(dealt[:k]) - np.median(dealt[k:]))
+        want.append(abs(np.mean(parts)))
+    assert np.allclose(op.permuted_differences(x, own, stratum, 0, 3), want)
+    assert np.allclose(op.permuted_differences(x, own, stratum, 2, 1), want[2:])
+    sizes, pool = [40_000, 30_001], np.sort(x)
+    medians = [[np.median(pool[(part * n).astype(int)]) for part in (row[:40_000], row[40_000:])] for row in u]
+    assert np.allclose(op.resampled_shifts(pool, sizes, 0, 3), [op.shift(m) for m in medians])
+    real = op.bound
+    monkeypatch.setattr(op, "bound", lambda v: real(v / 3))
+    assert np.allclose(op.permuted_differences(x, own, stratum, 0, 3), want)
+    assert np.allclose(op.resampled_shifts(pool, sizes, 0, 3), [op.shift(m) for m in medians])
