@@ -13,6 +13,7 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,47 @@ def html_cells(pages: DataFrame, doc_id: str, html: str) -> DataFrame:
     return pages.select(F.col(doc_id).cast("string"), F.col(html)).mapInPandas(_cells, CELL)
 
 
+ROW = "doc_id string, table_idx int, row_idx int, cells map<int,string>"
+_ROW = pa.schema([("doc_id", pa.string()), ("table_idx", pa.int32()), ("row_idx", pa.int32()), ("cells", pa.map_(pa.int32(), pa.string()))])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their filled cells from left to right; a document's and a block's cells are held, as in _cells."""
+    docs, tables, places, ends, columns, texts = [], [], [], [0], [], []
+
+    def block() -> pa.RecordBatch:
+        cells = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(columns, pa.int32()), pa.array(texts, pa.string()))
+        out = pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(tables, pa.int32()), pa.array(places, pa.int32()), cells], schema=_ROW)
+        for x in (docs, tables, places, columns, texts):
+            x.clear()
+        ends[:] = [0]
+        return out
+
+    for b in batches:
+        for doc, html in zip(b.column(0), b.column(1), strict=True):
+            found = _Tables()
+            found.feed(html.as_py() or "")
+            for t, table in enumerate(x for x in found.tables if max(map(len, x), default=0) > 1):
+                for r, row in enumerate(table):
+                    filled = [c for c, x in enumerate(row) if x is not None]
+                    if filled:
+                        docs.append(doc.as_py())
+                        tables.append(t)
+                        places.append(r)
+                        columns += filled
+                        texts += [row[c] for c in filled]
+                        ends.append(len(columns))
+                    if len(columns) >= BLOCK:
+                        yield block()
+    yield block()
+
+
+def html_rows(pages: DataFrame, doc_id: str, html: str) -> DataFrame:
+    """The same tables as html_cells gives, a row at a time: its cells need not be sent over the network to be put together again."""
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PAGE_BYTES))
+    return pages.select(F.col(doc_id).cast("string"), F.col(html)).mapInArrow(_rows, ROW)
+
+
 _MATCH = "array<struct<spec:int,metric_key:string,unit:string,score:double>>"
 
 

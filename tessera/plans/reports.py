@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import picking, promotion
 from ..operators import servicer as op
-from ..operators.extract import html_cells
+from ..operators.extract import html_rows
 from ..sources.bridge import Corpus
 from ..sources.stage import staged
 from .registry import query
@@ -68,7 +68,7 @@ def printed_reports(c: Corpus) -> DataFrame:
 
 
 def _read(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    rows = staged(op.table_rows(html_cells(printed_reports(c), "doc_id", "html")), "report-rows")
+    rows = staged(html_rows(printed_reports(c.held()), "doc_id", "html"), "report-rows")
     return rows, staged(op.locate(rows), "report-tables")
 
 
