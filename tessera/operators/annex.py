@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from .extract import SPECS, TABLE, header_matches
 
 #: Rows scanned for headers, growth of filled cells from a group row to its leaves, share of numbers that makes a row data, score of a leaf that stands for itself: fixed values.
@@ -42,7 +43,8 @@ def merge_headers(cells: DataFrame, specs: tuple = SPECS) -> DataFrame:
     rows = top.groupBy(*ROW).agg(F.count(F.lit(1)).alias("filled"), F.avg(_is_number().cast("int")).alias("numeric"))
     after = rows.select(*TABLE, (F.col("row_idx") - 1).alias("row_idx"), F.col("filled").alias("next_filled"), F.col("numeric").alias("next_numeric"))
     leads = rows.join(after, ROW).where((F.col("row_idx") < SCAN) & (F.col("next_filled") > GROWTH * F.col("filled")) & (F.col("numeric") <= NUMERIC) & (F.col("next_numeric") <= NUMERIC))
-    until = leads.groupBy(*TABLE).agg((F.max("row_idx") + 1).alias("until"))
+    # What holds for a table is written first: it is known to be small then, and cells are not shuffled to meet it.
+    until = staged(leads.groupBy(*TABLE).agg((F.max("row_idx") + 1).alias("until")), "annex-until")
     marked = cells.join(until, TABLE, "left")
     head = marked.where(F.col("row_idx") <= F.col("until"))
     leaf = F.max(F.when(F.col("row_idx") == F.col("until"), F.trim("text")))
@@ -90,7 +92,7 @@ def attach_continuations(cells: DataFrame, headers: DataFrame, mapping: DataFram
     summary = summary.select(*TABLE, F.col("header_row").isNotNull().alias("header"), "loan_col", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("ids", F.array().cast(ids.schema["ids"].dataType)).alias("ids"))
     owners = summary.groupBy("doc_id").applyInPandas(_adopt, "doc_id string, table_idx int, owner int")
     offset = F.coalesce(F.sum("rows").over(Window.partitionBy("doc_id", "owner").orderBy("table_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = owners.join(every, TABLE).withColumn("offset", offset.cast("int"))
+    placed = staged(owners.join(every, TABLE).withColumn("offset", offset.cast("int")), "annex-placed")
     return cells.join(placed, TABLE).select("doc_id", F.col("owner").alias("table_idx"), (F.col("row_idx") + F.col("offset")).alias("row_idx"), "col_idx", "text")
 
 
@@ -103,7 +105,8 @@ def stack_pages(cells: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFr
     pages = pages.withColumn("owner", F.min("table_idx").over(same))
     rows = cells.groupBy(*TABLE).agg((F.max("row_idx") + 1).alias("rows"))
     before = same.orderBy("table_idx").rowsBetween(Window.unboundedPreceding, -1)
-    pages = pages.join(rows, TABLE).withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("int"))
+    pages = pages.join(rows, TABLE).withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("int")).drop("signature")
+    pages = staged(pages, "annex-pages")
     kept = cells.join(pages, TABLE).where((F.col("table_idx") == F.col("owner")) | (F.col("row_idx") > F.col("header_row")))
     out = kept.select("doc_id", F.col("owner").alias("table_idx"), (F.col("row_idx") + F.col("offset")).alias("row_idx"), "col_idx", "text")
     return out, pages.where("table_idx = owner").select(*TABLE, "header_row")
@@ -129,6 +132,7 @@ def join_tables(cells: DataFrame, headers: DataFrame, mapping: DataFrame) -> tup
     tables = tables.withColumn("several", F.sum("named").over(Window.partitionBy("doc_id")) >= 2)
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.when(F.col("several"), F.col("named")).otherwise(0)), F.desc("score"), "table_idx")
     tables = tables.withColumn("place", F.row_number().over(order)).where((F.col("place") == 1) | (F.col("several") & (F.col("named") == 1)))
+    tables = staged(tables, "annex-tables")
     keys = body.join(tables.where("named = 1").select(*TABLE, "loan_col", "place", "rows"), TABLE).where("col_idx = loan_col").select(*TABLE, "row_idx", "place", "rows", loan_key(F.col("text")).alias("k")).where(F.col("k").isNotNull())
     base = keys.where("place = 1").groupBy("doc_id", "k").agg(F.max("row_idx").alias("base_row"), F.first("rows").alias("base_rows"))
     met = keys.where("place > 1").join(base, ["doc_id", "k"])
@@ -139,6 +143,7 @@ def join_tables(cells: DataFrame, headers: DataFrame, mapping: DataFrame) -> tup
     head = head.withColumn("name", F.lower(F.trim("text"))).withColumn("owner", F.min("place").over(Window.partitionBy("doc_id", "name")))
     owned = head.where("place = owner").select(*TABLE, "place", "col_idx", F.col("text").alias("header"))
     owned = owned.withColumn("new_col", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "col_idx")) - 1)
+    owned = staged(owned, "annex-columns")
     top = owned.select("doc_id", F.lit(0).alias("table_idx"), F.lit(0).alias("row_idx"), F.col("new_col").alias("col_idx"), F.col("header").alias("text"))
     first_row = body.join(first.select(*TABLE), TABLE).select("doc_id", "row_idx", "col_idx", "text")
     mine = first_row.join(owned.where("place = 1").select("doc_id", "col_idx", "new_col"), ["doc_id", "col_idx"]).select("doc_id", "row_idx", "new_col", "text")
@@ -155,6 +160,7 @@ def split_rows(cells: DataFrame, headers: DataFrame, mapping: DataFrame) -> Data
     neither column, none is. A flag column tells properties; without one, a fraction in the loan's number does.
     """
     at = mapping.groupBy(*TABLE).agg(*[F.max(F.when(F.col("metric_key") == k, F.col("col_idx"))).alias(k) for k in ("property_name", "loan_amount", "loan_id", "loan_property_flag")])
+    at = staged(at, "annex-places")
     body = cells.join(headers, TABLE).where("row_idx > header_row").join(at, TABLE, "left")
     has = lambda k, cond: F.coalesce(F.bool_or((F.col("col_idx") == F.col(k)) & cond), F.lit(False))
     text = lambda k: F.trim(F.max(F.when(F.col("col_idx") == F.col(k), F.col("text"))))

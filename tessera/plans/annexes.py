@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annex
-from ..operators.extract import html_cells, map_columns
+from ..operators.extract import html_cells
 from ..operators.harvest import Harvest, harvest
 from ..sources.bridge import Corpus
 from ..sources.stage import staged
 from .registry import query
-from .reports import _body, _table, _tr
+from .reports import _table, _tr
 
 FIRST = ("Loan ID", "Loan / Property Flag", "Property Name", "State", "Cut-off Date Balance ($)", "Interest Rate (%)", "Broker Code")
 SECOND = ("Loan ID", "Property Name", "Cut-off Date LTV (%)", "Occupancy (%)", "UW NOI ($)", "Number of Units", "Unit of Measure")
@@ -26,27 +26,31 @@ def _percent(x: str) -> Column:
 
 def printed_annexes(c: Corpus) -> DataFrame:
     """doc_id, html: two blocks of tables on the same loans; some loans have two properties below them."""
-    loans = staged(c.annex_loans, "annex-printed")
+    loans = c.held().annex_loans
     pos = F.col("pos").cast("string")
     own = _tr(pos, "Loan", F.concat(F.lit("N"), pos), F.col("state"), F.concat(F.lit("$"), F.format_number("amount", 0)), _percent("rate"), (F.col("loan_id") % 1000).cast("string"))
     below = [_tr(F.concat(pos, F.lit(f".0{k}")), "Property", F.concat(F.lit("N"), pos, F.lit(f" part {k}")), "TX", "NAP", "NAP", "NAP") for k in (1, 2)]
-    loans = loans.withColumn("row", F.concat(own, F.when(F.col("loan_id") % 4 == 0, F.concat(*below)).otherwise("")))
-    part = lambda cond, name: _body(loans.where(cond), ["pos"], F.col("row")).withColumnRenamed("rows", name)
+    first = F.concat(own, F.when(F.col("loan_id") % 4 == 0, F.concat(*below)).otherwise(""))
     occupancy = F.when(F.col("loan_id") % 50 == 0, "350.00%").otherwise(_percent("occupancy"))
     noi = F.concat(F.lit("$"), F.format_number((F.floor(F.col("rev") / 10).cast("decimal(20,2)") / 100).cast("decimal(20,2)"), 2))
     is_area = F.col("loan_id") % 3 != 0
     units = F.when(is_area, F.format_number(1000 + F.col("loan_id") % 5000, 0)).otherwise(F.col("n").cast("string"))
     tie = F.col("nat") % 3 == 0
     cells = [F.concat(pos, F.lit(".00")), F.concat(F.lit("N"), pos), _percent("ltv"), occupancy, noi, units, F.when(is_area, "SF").otherwise("Units")]
-    second = _body(loans, ["pos"], F.when(tie, _tr(*cells, "1.00")).otherwise(_tr(*cells)))
+    second = F.when(tie, _tr(*cells, "1.00")).otherwise(_tr(*cells))
     head, head2 = _tr(*FIRST), F.when(tie, _tr(*SECOND, "Underwritten NOI ($)")).otherwise(_tr(*SECOND))
     groups = _tr("", "", "", "Collateral", "Mortgage Loan Terms", "", "")
-    docs = loans.select("doc_id", "nat").distinct()
-    out = docs.join(part(F.col("pos") <= FIRST_TABLE, "one"), "doc_id").join(part(F.col("pos").between(FIRST_TABLE + 1, CONTINUED), "more"), "doc_id", "left").join(part(F.col("pos") > CONTINUED, "page"), "doc_id", "left")
-    out = out.join(second.withColumnRenamed("rows", "second"), "doc_id")
+    # A document's few hundred loans come together once and are then dealt over its tables.
+    docs = loans.select("doc_id", "nat", F.struct("pos", first.alias("first"), second.alias("second")).alias("x")).groupBy("doc_id", "nat").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    part = lambda name, cond: F.transform(F.filter("xs", lambda x: cond(x["pos"])), lambda x: x[name])
+    out = docs.select(
+        "doc_id", "nat", part("first", lambda p: p <= FIRST_TABLE).alias("one"), part("first", lambda p: p.between(FIRST_TABLE + 1, CONTINUED)).alias("more"),
+        part("first", lambda p: p > CONTINUED).alias("page"), part("second", lambda p: F.lit(True)).alias("second"),
+    )
+    body = lambda x: F.array_join(x, "")
     phantom = _tr("", "", "", "", "", "", "12")
-    some = lambda x, *rows: F.when(F.col(x).isNotNull(), _table(*rows, F.col(x))).otherwise("")
-    html = F.concat(_table(groups, head, F.col("one"), phantom), some("more"), _table(_tr("footnote", "text")), some("page", head), _table(head2, F.col("second"), _tr("Total", "Total", "1%", "1%", "$1")))
+    some = lambda x, *rows: F.when(F.size(x) > 0, _table(*rows, body(x))).otherwise("")
+    html = F.concat(_table(groups, head, body("one"), phantom), some("more"), _table(_tr("footnote", "text")), some("page", head), _table(head2, body("second"), _tr("Total", "Total", "1%", "1%", "$1")))
     return out.select("doc_id", html.alias("html"))
 
 
@@ -128,5 +132,5 @@ def annex_header_ties(c: Corpus) -> DataFrame:
 def annex_explained(c: Corpus) -> DataFrame:
     """Why a header that sounds like an income stands for the underwritten one, or doesn't."""
     h = _harvest(c)
-    out = annex.explain_headers(h.joined, h.joined_headers, map_columns(h.joined, h.joined_headers), "noi_underwritten", "(?i)noi|occup")
+    out = annex.explain_headers(h.joined, h.joined_headers, h.joined_mapping, "noi_underwritten", "(?i)noi|occup")
     return out.select("doc_id", "header", "verdict", "taken_by", "score")
