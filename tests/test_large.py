@@ -35,6 +35,12 @@ def test_html_rows_are_the_rows_of_cells(spark, monkeypatch):
     assert max(b.num_rows for b in blocks) <= 25 and sum(b.num_rows for b in blocks) == 270
 
 
+def test_properties_need_no_joined_table(spark, monkeypatch):
+    cells = extract.html_cells(spark.createDataFrame([("x", PAGE)], "d string, h string"), "d", "h")
+    monkeypatch.setattr(annex, "join_tables", lambda *_: pytest.fail("not asked for"))
+    assert harvest.harvest(cells).properties.count() == 0
+
+
 def test_held_corpus_reads_the_tables_once(spark):
     c = Corpus(spark, SF)
     before = {n: sorted(map(tuple, getattr(c, n).collect())) for n in ("annex_loans", "report_loans", "loans", "facts")}
