@@ -20,6 +20,7 @@ DSCR_CUT, RATE_CUT = 1.5, 0.065
 
 def base(c: Corpus) -> DataFrame:
     """Loans of observed deals with their metrics and whether they had an event."""
+    c = c.held()
     rows = observed(c, with_filing(c, loans_wide(c, ("ltv", "dscr", "debt_yield", "interest_rate"))))
     rows = rows.join(c.delinquency.select("loan_id", "transfer_date"), "loan_id", "left")
     return rows.withColumns({"event": F.col("transfer_date").isNotNull().cast("long"), "shelf": shelf(), "kind": standard_type()})
@@ -309,8 +310,9 @@ def predictor_spearman(c: Corpus) -> DataFrame:
     rows = base(c).where(F.col("dscr").isNotNull() & F.col("interest_rate").isNotNull()).groupBy("accession").agg(F.percentile("dscr", 0.5).alias("dscr"), F.percentile("interest_rate", 0.5).alias("rate"))
     # Issuances are few against loans: their ranks may be counted in one task.
     mean_rank = lambda x: F.rank().over(Window.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(x)) - 1) / 2.0
-    k = rows.select(mean_rank("dscr").alias("a"), mean_rank("rate").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("rho"))
-    rho = F.col("rho")
+    k = rows.select(mean_rank("dscr").alias("a"), mean_rank("rate").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("both"), (F.stddev_pop("a") * F.stddev_pop("b")).alias("spread"))
+    # Ranks that are all tied have no correlation; corr() divides by their spread of zero and stops the job.
+    rho = F.when(F.col("spread") == 0, F.lit(float("nan"))).otherwise(F.col("both") / F.col("spread"))
     return k.select("n", r6(rho).alias("rho"), r6(rho * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-9), 1 - rho * rho))).alias("t"))
 
 

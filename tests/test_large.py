@@ -48,3 +48,10 @@ def test_held_corpus_reads_the_tables_once(spark):
     assert all(sorted(map(tuple, getattr(c, n).collect())) == x for n, x in before.items())
     assert "lineitem" not in plan(c.observations) and "lineitem" not in plan(c.annex_loans)
     assert exchanges(c.annex_loans) == 0
+
+
+def test_rank_correlation_of_equal_medians(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1.0, 0.5), ("b", 1.0, 0.7), ("c", 1.0, 0.6)], "accession string, dscr double, interest_rate double")
+    monkeypatch.setattr(standardise, "base", lambda c: rows)
+    (got,) = standardise.predictor_spearman(None).collect()
+    assert got.n == 3 and math.isnan(got.rho) and math.isnan(got.t)
