@@ -12,12 +12,12 @@ from .registry import query
 
 @query("select loan_id, metric_key, value, confidence, source_header, n as candidates, case when n = 1 then 'only candidate' else concat('best of ', n, ' at ', printf('%.2f', confidence)) end as rationale from (select *, count(*) over (partition by loan_id, metric_key) as n, row_number() over (partition by loan_id, metric_key order by confidence desc, source_column) as place from observations) where place = 1")
 def promote_facts(c: Corpus) -> DataFrame:
-    return op.promote_facts(c.observations)
+    return op.promote_facts(c.held().observations)
 
 
 @query("select loan_id, metric_key, source_header, value from (select *, row_number() over (partition by loan_id, metric_key, source_header order by confidence desc, source_column) as place from observations) where place = 1")
 def dedupe_observations(c: Corpus) -> DataFrame:
-    return op.dedupe_observations(c.observations).select("loan_id", "metric_key", "source_header", "value")
+    return op.dedupe_observations(c.held().observations).select("loan_id", "metric_key", "source_header", "value")
 
 
 @query("""with m as (select 1 as report_order, loan_id, annualized_noi, noi_end, period_days, is_full_year from performance union all select 2, loan_id, annualized_noi * 1.6e0, noi_end + 30, 365, true from performance where loan_id % 3 = 0 union all select 3, loan_id, annualized_noi * 1.1e0, noi_end + 60, 180, false from performance where loan_id % 5 = 0)

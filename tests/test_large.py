@@ -57,6 +57,14 @@ def test_filed_by_keeps_whole_issuances(spark):
     assert mine and mine == sorted(map(tuple, c.filed_by("2020-06-30").loans.select("loan_id", "row_index", "accession").collect()))
 
 
+@pytest.mark.parametrize("op", [promotion.promote_facts, promotion.dedupe_observations])
+def test_unfolded_observations_are_not_sent(spark, op):
+    """One shuffle, by loan and before the loans are unfolded."""
+    text = plan(op(Corpus(spark, SF).held().observations))
+    assert text.count("Exchange hashpartitioning") == 1
+    assert text.index("Exchange hashpartitioning") > text.index("Generate")
+
+
 def test_rank_correlation_of_equal_medians(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 1.0, 0.5), ("b", 1.0, 0.7), ("c", 1.0, 0.6)], "accession string, dscr double, interest_rate double")
     monkeypatch.setattr(standardise, "base", lambda c: rows)
