@@ -65,6 +65,13 @@ def test_unfolded_observations_are_not_sent(spark, op):
     assert text.index("Exchange hashpartitioning") > text.index("Generate")
 
 
+def test_mapping_of_files_is_written_first(spark, monkeypatch):
+    names, write = [], sheets.staged
+    monkeypatch.setattr(sheets, "staged", lambda df, name: names.append(name) or write(df, name))
+    sheets.sheet_observations(Corpus(spark, SF))
+    assert "file-mapping" in names
+
+
 def test_rank_correlation_of_equal_medians(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 1.0, 0.5), ("b", 1.0, 0.7), ("c", 1.0, 0.6)], "accession string, dscr double, interest_rate double")
     monkeypatch.setattr(standardise, "base", lambda c: rows)
