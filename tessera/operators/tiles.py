@@ -42,18 +42,25 @@ def values_at(rows: DataFrame, ranks: list[_Range], few: int = FEW) -> list[tupl
     """rows: key, x. For every range the value at its rank, the rank among the rows that have this value, and their number."""
     ranks = list(ranks)
     while wide := [(i, r) for i, r in enumerate(ranks) if r.rows > few and r.lo < r.hi]:
-        near = {}
+        # Ranks that still share a range share one digest of it.
+        shared: dict[tuple, list] = {}
         for i, r in wide:
-            at = r.rank / r.rows
-            near[f"p{i}"] = F.percentile_approx(F.when(_in(r), F.col("x")), [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)], ACCURACY)
+            shared.setdefault((r.key, r.lo, r.hi), []).append((i, r))
+        near, place = {}, {}
+        for j, mine in enumerate(shared.values()):
+            at = [r.rank / r.rows for _, r in mine]
+            near[f"p{j}"] = F.percentile_approx(F.when(_in(mine[0][1]), F.col("x")), [p for a in at for p in (max(0.0, a - 2 / ACCURACY), min(1.0, a + 2 / ACCURACY))], ACCURACY)
+            place |= {i: (f"p{j}", 2 * k) for k, (i, _) in enumerate(mine)}
         found, counts = _one(rows, near), {}
         for i, r in wide:
-            lo, hi = found[f"p{i}"]
+            name, k = place[i]
+            lo, hi = found[name][k : k + 2]
             counts[f"b{i}"] = F.count_if(_in(r) & (F.col("x") < F.lit(lo)))
             counts[f"n{i}"] = F.count_if(_in(r) & F.col("x").between(F.lit(lo), F.lit(hi)))
         n = _one(rows, counts)
         for i, r in wide:
-            (lo, hi), below, inside = found[f"p{i}"], n[f"b{i}"], n[f"n{i}"]
+            name, k = place[i]
+            (lo, hi), below, inside = found[name][k : k + 2], n[f"b{i}"], n[f"n{i}"]
             # The percentiles' error is bounded, so the rank is inside; a range that can't shrink ends the search.
             stuck = not below < r.rank <= below + inside or inside == r.rows
             ranks[i] = _Range(r.key, r.rank, r.lo, r.hi, 0) if stuck else _Range(r.key, r.rank - below, lo, hi, inside)

@@ -65,6 +65,16 @@ def test_unfolded_observations_are_not_sent(spark, op):
     assert text.index("Exchange hashpartitioning") > text.index("Generate")
 
 
+def test_ranks_of_one_range_share_a_digest(spark, monkeypatch):
+    made = []
+    digest = tiles.F.percentile_approx
+    monkeypatch.setattr(tiles.F, "percentile_approx", lambda *a: made.append(1) or digest(*a))
+    rows = spark.range(5000).selectExpr("id", "cast(id * 7919 % 5000 as double) as x")
+    got = tiles.with_tile(rows, "x", "id", 5, "q", few=2000).groupBy("q").agg(count_if(tiles.F.col("x") >= 0).alias("n"), tiles.F.max("x").alias("hi")).collect()
+    assert sorted((r.q, r.n, r.hi) for r in got) == [(k, 1000, 1000.0 * k - 1) for k in range(1, 6)]
+    assert len(made) == 1
+
+
 def test_mapping_of_files_is_written_first(spark, monkeypatch):
     names, write = [], sheets.staged
     monkeypatch.setattr(sheets, "staged", lambda df, name: names.append(name) or write(df, name))
