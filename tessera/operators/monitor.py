@@ -36,7 +36,7 @@ def snapshot(filings: DataFrame, loans: DataFrame, facts: DataFrame, metrics: tu
     about = filings.agg(F.count(F.lit(1)).alias("n"), F.max("taxonomy_version").alias("newest"), F.count_distinct("taxonomy_version").alias("versions"))
     about = about.select(F.inline(F.array(row("issuances", None, F.col("n")), row("taxonomy", None, F.col("newest")), row("versions", None, F.col("versions")))))
     good = facts.where(F.col("metric_key").isin(*metrics) & F.col("value").rlike("^[0-9.]+$")).join(mine.select("loan_id"), "loan_id", "left_semi")
-    had = good.groupBy("metric_key").agg(F.count_distinct("loan_id").alias("n")).crossJoin(F.broadcast(totals))
+    had = good.select("metric_key", "loan_id").distinct().groupBy("metric_key").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(totals))
     coverage = had.select(F.lit("coverage").alias("kind"), F.col("metric_key").alias("subject"), (F.col("n") / F.greatest("loans", F.lit(1))).alias("value"))
     headers = filings.select("accession", F.explode("columns_unmapped").alias("subject")).groupBy("subject").agg(F.count_distinct("accession").cast("double").alias("value"))
     headers = headers.orderBy(F.desc("value"), "subject").limit(HEADERS).select(F.lit("header").alias("kind"), "subject", "value")

@@ -78,8 +78,8 @@ def monitor_alerts(c: Corpus) -> DataFrame:
     """What a monitor would report between two looks at the corpus; each look is stored, and read back as of its day."""
     folder = f"{shared_folder(c.spark)}/tessera/snapshots-{uuid.uuid4().hex}"
     for day in (BEFORE, AFTER):
-        known = c.filings.where(F.col("filed_at") <= F.lit(day).cast("date"))
-        monitor.save_snapshot(monitor.snapshot(known, c.loans, c.facts, KPIS, day), folder)
+        known = c.filed_by(day)
+        monitor.save_snapshot(monitor.snapshot(known.filings, known.loans, known.facts_of(*KPIS), KPIS, day), folder)
     return monitor.alerts(monitor.snapshot_as_of(c.spark, folder, BEFORE), monitor.snapshot_as_of(c.spark, folder, "2023-06-30"))
 
 

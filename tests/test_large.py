@@ -65,6 +65,13 @@ def test_unfolded_observations_are_not_sent(spark, op):
     assert text.index("Exchange hashpartitioning") > text.index("Generate")
 
 
+def test_distinct_loans_are_counted_where_they_are(spark):
+    c = Corpus(spark, SF).held()
+    assert "Expand" not in plan(totals.corpus_stats_metrics(c))
+    text = plan(monitor.snapshot(c.filings, c.loans, c.facts, ("ltv", "dscr"), "2020-01-01"))
+    assert "hashpartitioning(metric_key#" in text and not any("loan_id" in x for x in text.splitlines() if "hashpartitioning(metric_key#" in x)
+
+
 def test_ranks_of_one_range_share_a_digest(spark, monkeypatch):
     made = []
     digest = tiles.F.percentile_approx
