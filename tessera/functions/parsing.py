@@ -47,14 +47,16 @@ def parse_value(x: Column | str, unit: Column | str) -> Column:
     unit: currency, percent, ratio, count, years or text. Percentages come out as fractions.
     """
     raw, u = F.trim(_c(x)), _c(unit)
-    negative = raw.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(F.regexp_replace(raw, r"[$,%()]", ""), r"\s*[xX]$", "")
+    # Most cells are plain numbers: patterns are tried only where a letter that they need is there.
+    negative = raw.startswith("(") & raw.rlike(r"^\(.*\)$")
+    bare = F.translate(raw, "$,%()", "")
+    bare = F.when(F.lower(bare).contains("x"), F.regexp_replace(bare, r"\s*[xX]$", "")).otherwise(bare)
     value = F.when(raw.rlike(r"[0-9]\s+[0-9]"), None).otherwise(F.trim(bare).try_cast("double"))
     value = F.when(negative, -value).otherwise(value)
     share = half_up(F.when(raw.contains("%") | (value > 1.5), value / 100).otherwise(value), 6)
     year = half_up(value)
     number = F.when(u == "percent", share).when(u == "ratio", half_up(value, 4)).when(u == "count", half_up(value)).when(u == "years", F.when(year.between(1700, 2100), year)).otherwise(value)
-    plain = F.regexp_replace(F.regexp_replace(number.cast("decimal(30,6)").cast("string"), r"0+$", ""), r"\.$", "")
+    plain = F.rtrim(F.rtrim(number.cast("decimal(30,6)").cast("string"), F.lit("0")), F.lit("."))
     return F.when(is_null_token(x), None).when(u == "text", raw).otherwise(plain)
 
 

@@ -8,8 +8,9 @@ dozen candidates.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -69,6 +70,69 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
 
+#: A cell without tags; or any tag, with plain attributes, and the text behind it.
+_TOKEN = re.compile(r'<t[dh]>([^<]*)</t[dh]>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z-]*="[^"<>&]*")*)[ \t\n]*(/?)>([^<]*)')
+_COLSPAN = re.compile(r'[ \t\n]colspan="([^"]*)"', re.IGNORECASE)
+#: Elements whose content is no markup.
+_VERBATIM = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"))
+
+
+def _clean(text: str) -> str | None:
+    return " ".join((unescape(text) if "&" in text else text).split()) or None
+
+
+def _tokenised(html: str) -> list | None:
+    """The tables that _Tables finds, some ten times as fast; None where a document has more than plain tags."""
+    tables, open_, cell, span, tags = [], [], None, 1, 0
+    for text, slash, name, attrs, shut, after in _TOKEN.findall(html):
+        rows = open_[-1] if open_ else None
+        if not name:
+            tags += 2
+            if rows:
+                if cell is not None:
+                    rows[-1] += [_clean("".join(cell)), *[None] * (span - 1)]
+                rows[-1].append(_clean(text))
+            cell = None
+            continue
+        tags, name = tags + 1, name.lower()
+        if name in _VERBATIM or slash and (attrs or shut):
+            return None
+        if not slash:
+            if name == "table":
+                tables.append([])
+                open_.append(tables[-1])
+            elif name == "tr" and open_:
+                rows.append([])
+            elif name in ("td", "th") and rows:
+                if cell is not None:
+                    rows[-1] += [_clean("".join(cell)), *[None] * (span - 1)]
+                wide = _COLSPAN.findall(attrs)[-1:] or [""]
+                cell, span = [], min(MOST_COLSPAN, max(1, int(wide[0]))) if wide[0].isdigit() else 1
+            elif name == "br" and cell is not None:
+                cell.append(" ")
+        if slash or shut:
+            if name in ("td", "th", "tr", "table"):
+                rows = open_[-1] if open_ else None
+                if cell is not None and rows:
+                    rows[-1] += [_clean("".join(cell)), *[None] * (span - 1)]
+                cell = None
+            if name == "table" and open_:
+                open_.pop()
+        if cell is not None:
+            cell.append(after)
+    return tables if tags == html.count("<") else None
+
+
+def html_tables(html: str | None) -> list[list[list[str | None]]]:
+    """Rows of texts of every table of two or more columns."""
+    tables = _tokenised(html or "")
+    if tables is None:
+        found = _Tables()
+        found.feed(html or "")
+        tables = found.tables
+    return [t for t in tables if max(map(len, t), default=0) > 1]
+
+
 CELL = "doc_id string, table_idx int, row_idx int, col_idx int, text string"
 
 
@@ -82,10 +146,7 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     for b in batches:
         for doc, html in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-            found = _Tables()
-            found.feed(html or "")
-            kept = [t for t in found.tables if max(map(len, t), default=0) > 1]
-            held += [(doc, t, r, c, x) for t, table in enumerate(kept) for r, row in enumerate(table) for c, x in enumerate(row) if x is not None]
+            held += [(doc, t, r, c, x) for t, table in enumerate(html_tables(html)) for r, row in enumerate(table) for c, x in enumerate(row) if x is not None]
             for at in range(0, len(held) - len(held) % BLOCK, BLOCK):
                 yield pd.DataFrame(held[at : at + BLOCK], columns=names)
             held = held[len(held) - len(held) % BLOCK :]
@@ -116,9 +177,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for doc, html in zip(b.column(0), b.column(1), strict=True):
-            found = _Tables()
-            found.feed(html.as_py() or "")
-            for t, table in enumerate(x for x in found.tables if max(map(len, x), default=0) > 1):
+            for t, table in enumerate(html_tables(html.as_py())):
                 for r, row in enumerate(table):
                     filled = [c for c, x in enumerate(row) if x is not None]
                     if filled:
@@ -232,3 +291,127 @@ def unmapped_cells(cells: DataFrame, headers: DataFrame, mapping: DataFrame) ->
     below = cells.join(headers, TABLE).where("row_idx > header_row").join(mapping.select(*TABLE, "col_idx"), [*TABLE, "col_idx"], "left_anti")
     name = cells.join(headers, TABLE).where("row_idx = header_row").select(*TABLE, "col_idx", F.col("text").alias("header"))
     return below.withColumn("value", numeric_cell("text")).where(F.col("value").isNotNull()).join(name, [*TABLE, "col_idx"]).select(*TABLE, "row_idx", "col_idx", "header", "value")
+
+
+#: Two letters in a row are needed by every pattern of a header.
+_WORD = re.compile("[a-z]{2}")
+#: Tables as they are read at once: what their columns stand for, and the texts of these columns by rows.
+VALUES = "doc_id string, table_idx int, mapping array<struct<col_idx:int,header:string,metric_key:string,unit:string,score:double>>, rows array<struct<row_idx:int,texts:array<string>>>"
+_MAPPED = pa.struct([("col_idx", pa.int32()), ("header", pa.string()), ("metric_key", pa.string()), ("unit", pa.string()), ("score", pa.float64())])
+
+
+@lru_cache
+def header_finder(specs: tuple = SPECS) -> Callable[[str], list]:
+    """What a cell may stand for, as header_matches says it; a worker keeps its findings for words only."""
+    known = _finder(specs)
+    any_header = re.compile("|".join(f"(?:{p})" for _, _, patterns, _ in specs for p in patterns), re.ASCII)
+
+    @lru_cache(KNOWN_HEADERS)
+    def search(t: str) -> list:
+        return known(t) if any_header.search(t) else []
+
+    def find(text: str) -> list:
+        t = text.lower()
+        return search(re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ")) if _WORD.search(t) else []
+
+    return find
+
+
+def assigned(row: list, find: Callable) -> list[tuple]:
+    """The columns of a row that get a metric: col_idx, header, metric_key, unit, score, in the order of _assigned."""
+    out, columns, metrics = [], set(), set()
+    for rank, c, _, key, unit in sorted((-m["score"], c, m["spec"], m["metric_key"], m["unit"]) for c, x in enumerate(row) if x for m in find(x)):
+        if c not in columns and key not in metrics:
+            columns.add(c)
+            metrics.add(key)
+            out.append((c, row[c], key, unit, -rank))
+    return out
+
+
+def header_place(rows: list[tuple[int, list]], find: Callable) -> int | None:
+    """header_rows of one table: rows with their numbers."""
+    best, most = None, LEAST_MATCHES - 1
+    for r, row in rows:
+        if r >= HEADER_ROWS:
+            break
+        if sum(1 for x in row if x and find(x)) > most and len(taken := assigned(row, find)) > most:
+            best, most = r, len(taken)
+    return best
+
+
+class ValueBlocks:
+    """Tables of a worker's documents on their way to Spark, in blocks of some BLOCK cells."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self):
+        self.docs, self.tables, self.mappings, self.ends, self.places, self.widths, self.texts = [], [], [], [0], [], [0], []
+
+    def add(self, doc: str, table: int, mapping: list[tuple], rows: list[tuple[int, list]]) -> None:
+        columns = [m[0] for m in mapping]
+        for r, row in rows:
+            n = len(row)
+            self.texts += [row[c] if c < n else None for c in columns]
+            self.widths.append(len(self.texts))
+            self.places.append(r)
+        self.docs.append(doc)
+        self.tables.append(table)
+        self.mappings.append([dict(zip(("col_idx", "header", "metric_key", "unit", "score"), m, strict=True)) for m in mapping])
+        self.ends.append(len(self.places))
+
+    def full(self) -> bool:
+        return len(self.texts) >= BLOCK
+
+    def batch(self) -> pa.RecordBatch:
+        texts = pa.ListArray.from_arrays(pa.array(self.widths, pa.int32()), pa.array(self.texts, pa.string()))
+        rows = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays([pa.array(self.places, pa.int32()), texts], ["row_idx", "texts"]))
+        out = pa.RecordBatch.from_arrays([pa.array(self.docs, pa.string()), pa.array(self.tables, pa.int32()), pa.array(self.mappings, pa.list_(_MAPPED)), rows], ["doc_id", "table_idx", "mapping", "rows"])
+        self._clear()
+        return out
+
+
+def add_values(out: ValueBlocks, doc: str, tables: list[list[list]], find: Callable) -> None:
+    """The tables of a document that have a header, as header_rows and map_columns find it."""
+    for t, table in enumerate(tables):
+        rows = [(r, row) for r, row in enumerate(table) if any(x is not None for x in row)]
+        head = header_place(rows, find)
+        if head is not None:
+            out.add(doc, t, assigned(table[head], find), [x for x in rows if x[0] > head])
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out, find = ValueBlocks(), header_finder()
+    for b in batches:
+        for doc, html in zip(b.column(0), b.column(1), strict=True):
+            add_values(out, doc.as_py(), html_tables(html.as_py()), find)
+            if out.full():
+                yield out.batch()
+    yield out.batch()
+
+
+def html_values(pages: DataFrame, doc_id: str, html: str) -> DataFrame:
+    """Tables with headers, a row each (VALUES): cells are neither written nor sent to meet their headers."""
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PAGE_BYTES))
+    return pages.select(F.col(doc_id).cast("string"), F.col(html)).mapInArrow(_values, VALUES)
+
+
+def observed_rows(values: DataFrame, routed: Callable[[Column], Column] = lambda seen: seen) -> DataFrame:
+    """Rows of tables (VALUES) with what observations() has of each: doc_id, table_idx, row_idx, seen; others are left out.
+
+    A row's cells stay together, so nothing is shuffled.
+    """
+    rows = values.select(*TABLE, "mapping", F.inline("rows"))
+    # Parsed once and bound to a name: an alias would be worked out again by each filter.
+    read = F.zip_with("mapping", "texts", lambda m, t: F.struct(m["metric_key"].alias("metric_key"), m["unit"].alias("unit"), parse_value(t, m["unit"]).alias("value"), t.alias("raw_value"), m["score"].alias("score"), m["header"].alias("source_header"), m["col_idx"].alias("source_column")))
+    good = lambda xs: F.filter(xs, lambda x: x["value"].isNotNull())
+    total = lambda xs: F.exists(xs, lambda x: (x["unit"] == "text") & is_aggregate_label(x["raw_value"]))
+    kept = F.transform(F.array(read), lambda xs: F.when(~total(xs), good(xs)))
+    kept = F.filter(kept, lambda xs: F.size(xs) >= LEAST_OBSERVATIONS)
+    return rows.select(*TABLE, "row_idx", F.explode(kept).alias("kept")).select(*TABLE, "row_idx", routed(F.col("kept")).alias("seen"))
+
+
+def unfolded(rows: DataFrame) -> DataFrame:
+    """observed_rows as observations() gives them, a value each."""
+    out = rows.select(*TABLE, "row_idx", F.inline("seen"))
+    return out.select(*TABLE, "row_idx", "metric_key", "value", "raw_value", confidence(F.col("score")).alias("confidence"), "source_header", "source_column")
