@@ -295,8 +295,8 @@ def unmapped_cells(cells: DataFrame, headers: DataFrame, mapping: DataFrame) ->
 
 #: Two letters in a row are needed by every pattern of a header.
 _WORD = re.compile("[a-z]{2}")
-#: Tables as they are read at once: what their columns stand for, and the texts of these columns by rows.
-VALUES = "doc_id string, table_idx int, mapping array<struct<col_idx:int,header:string,metric_key:string,unit:string,score:double>>, rows array<struct<row_idx:int,texts:array<string>>>"
+#: Tables as they are read at once: what their columns stand for, and the texts of these columns by rows (ref: a row's own name, null for none).
+VALUES = "doc_id string, table_idx int, mapping array<struct<col_idx:int,header:string,metric_key:string,unit:string,score:double>>, rows array<struct<row_idx:int,ref:string,texts:array<string>>>"
 _MAPPED = pa.struct([("col_idx", pa.int32()), ("header", pa.string()), ("metric_key", pa.string()), ("unit", pa.string()), ("score", pa.float64())])
 
 
@@ -346,15 +346,16 @@ class ValueBlocks:
         self._clear()
 
     def _clear(self):
-        self.docs, self.tables, self.mappings, self.ends, self.places, self.widths, self.texts = [], [], [], [0], [], [0], []
+        self.docs, self.tables, self.mappings, self.ends, self.places, self.refs, self.widths, self.texts = [], [], [], [0], [], [], [0], []
 
-    def add(self, doc: str, table: int, mapping: list[tuple], rows: list[tuple[int, list]]) -> None:
+    def add(self, doc: str, table: int, mapping: list[tuple], rows: list[tuple[int, list]], refs: list[str | None] | None = None) -> None:
         columns = [m[0] for m in mapping]
         for r, row in rows:
             n = len(row)
             self.texts += [row[c] if c < n else None for c in columns]
             self.widths.append(len(self.texts))
             self.places.append(r)
+        self.refs += refs or [None] * len(rows)
         self.docs.append(doc)
         self.tables.append(table)
         self.mappings.append([dict(zip(("col_idx", "header", "metric_key", "unit", "score"), m, strict=True)) for m in mapping])
@@ -365,7 +366,7 @@ class ValueBlocks:
 
     def batch(self) -> pa.RecordBatch:
         texts = pa.ListArray.from_arrays(pa.array(self.widths, pa.int32()), pa.array(self.texts, pa.string()))
-        rows = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays([pa.array(self.places, pa.int32()), texts], ["row_idx", "texts"]))
+        rows = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays([pa.array(self.places, pa.int32()), pa.array(self.refs, pa.string()), texts], ["row_idx", "ref", "texts"]))
         out = pa.RecordBatch.from_arrays([pa.array(self.docs, pa.string()), pa.array(self.tables, pa.int32()), pa.array(self.mappings, pa.list_(_MAPPED)), rows], ["doc_id", "table_idx", "mapping", "rows"])
         self._clear()
         return out
@@ -396,8 +397,8 @@ def html_values(pages: DataFrame, doc_id: str, html: str) -> DataFrame:
     return pages.select(F.col(doc_id).cast("string"), F.col(html)).mapInArrow(_values, VALUES)
 
 
-def observed_rows(values: DataFrame, routed: Callable[[Column], Column] = lambda seen: seen) -> DataFrame:
-    """Rows of tables (VALUES) with what observations() has of each: doc_id, table_idx, row_idx, seen; others are left out.
+def observed_rows(values: DataFrame, routed: Callable[[Column], Column] = lambda seen: seen, every: bool = False) -> DataFrame:
+    """Rows of tables (VALUES) with what observations() has of each: doc_id, table_idx, row_idx, ref, seen; others are left out, or with `every` have null.
 
     A row's cells stay together, so nothing is shuffled.
     """
@@ -407,8 +408,9 @@ def observed_rows(values: DataFrame, routed: Callable[[Column], Column] = lambda
     good = lambda xs: F.filter(xs, lambda x: x["value"].isNotNull())
     total = lambda xs: F.exists(xs, lambda x: (x["unit"] == "text") & is_aggregate_label(x["raw_value"]))
     kept = F.transform(F.array(read), lambda xs: F.when(~total(xs), good(xs)))
-    kept = F.filter(kept, lambda xs: F.size(xs) >= LEAST_OBSERVATIONS)
-    return rows.select(*TABLE, "row_idx", F.explode(kept).alias("kept")).select(*TABLE, "row_idx", routed(F.col("kept")).alias("seen"))
+    enough = lambda xs: F.size(xs) >= LEAST_OBSERVATIONS
+    kept = F.transform(kept, lambda xs: F.when(enough(xs), xs)) if every else F.filter(kept, enough)
+    return rows.select(*TABLE, "row_idx", "ref", F.explode(kept).alias("kept")).select(*TABLE, "row_idx", "ref", routed(F.col("kept")).alias("seen"))
 
 
 def unfolded(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annex
-from ..operators.extract import html_cells
-from ..operators.harvest import Harvest, harvest
+from ..operators.documents import PageHarvest, value_of
 from ..sources.bridge import Corpus
 from ..sources.stage import staged
 from .registry import query
@@ -26,7 +25,7 @@ def _percent(x: str) -> Column:
 
 def printed_annexes(c: Corpus) -> DataFrame:
     """doc_id, html: two blocks of tables on the same loans; some loans have two properties below them."""
-    loans = c.held().annex_loans
+    loans = c.by_document("annex_loans")
     pos = F.col("pos").cast("string")
     own = _tr(pos, "Loan", F.concat(F.lit("N"), pos), F.col("state"), F.concat(F.lit("$"), F.format_number("amount", 0)), _percent("rate"), (F.col("loan_id") % 1000).cast("string"))
     below = [_tr(F.concat(pos, F.lit(f".0{k}")), "Property", F.concat(F.lit("N"), pos, F.lit(f" part {k}")), "TX", "NAP", "NAP", "NAP") for k in (1, 2)]
@@ -40,7 +39,7 @@ def printed_annexes(c: Corpus) -> DataFrame:
     second = F.when(tie, _tr(*cells, "1.00")).otherwise(_tr(*cells))
     head, head2 = _tr(*FIRST), F.when(tie, _tr(*SECOND, "Underwritten NOI ($)")).otherwise(_tr(*SECOND))
     groups = _tr("", "", "", "Collateral", "Mortgage Loan Terms", "", "")
-    # A document's few hundred loans come together once and are then dealt over its tables.
+    # A document's few hundred loans are in one part already, and are dealt over its tables.
     docs = loans.select("doc_id", "nat", F.struct("pos", first.alias("first"), second.alias("second")).alias("x")).groupBy("doc_id", "nat").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     part = lambda name, cond: F.transform(F.filter("xs", lambda x: cond(x["pos"])), lambda x: x[name])
     out = docs.select(
@@ -54,8 +53,8 @@ def printed_annexes(c: Corpus) -> DataFrame:
     return out.select("doc_id", html.alias("html"))
 
 
-def _harvest(c: Corpus) -> Harvest:
-    return harvest(staged(html_cells(printed_annexes(c), "doc_id", "html"), "annex-cells"))
+def _harvest(c: Corpus) -> PageHarvest:
+    return PageHarvest(printed_annexes(c))
 
 
 NUMBERS = """seen as (
@@ -70,10 +69,10 @@ NUMBERS = """seen as (
 @query(f"with {NUMBERS} select doc_id, pos * 1.0e0 as loan, metric_key, value from seen")
 def annex_observations(c: Corpus) -> DataFrame:
     """Every number of a loan, from the HTML of its annex, by the joined table's rows."""
-    seen = _harvest(c).observations
-    ids = seen.where("metric_key = 'loan_id'").select("doc_id", "row_idx", F.col("value").cast("double").alias("loan"))
-    numbers = seen.where(F.col("metric_key").isin("loan_amount", "interest_rate", "ltv", "occupancy", "noi_underwritten", "units", "square_feet"))
-    return numbers.join(ids, ["doc_id", "row_idx"]).select("doc_id", "loan", "metric_key", F.col("value").cast("double").alias("value"))
+    wanted = ("loan_amount", "interest_rate", "ltv", "occupancy", "noi_underwritten", "units", "square_feet")
+    numbers = F.when(value_of("seen", "loan_id").isNotNull(), F.filter("seen", lambda x: x["metric_key"].isin(*wanted)))
+    seen = _harvest(c).rows.select("doc_id", value_of("seen", "loan_id").cast("double").alias("loan"), F.inline(numbers))
+    return seen.select("doc_id", "loan", "metric_key", F.col("value").cast("double").alias("value"))
 
 
 @query("""select doc_id, concat(pos, '.0', k) as property_ref, cast(pos as varchar) as loan_ref, concat('N', pos, ' part ', k) as property_name, 'TX' as state, loan_id
@@ -96,10 +95,11 @@ def annex_rows(c: Corpus) -> DataFrame:
     '{"|".join(SECOND)}' || case when nat % 3 = 0 then '|Underwritten NOI ($)' else '' end || '|{"|".join((FIRST[1], *FIRST[3:]))}' as headers from annex_loans group by doc_id, nat""")
 def annex_joined(c: Corpus) -> DataFrame:
     """The one table that a document's blocks make: its columns, and its rows with a loan's number."""
-    joined = _harvest(c).joined
-    head = joined.where("row_idx = 0").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_columns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "text"))), lambda x: x["text"]), "|").alias("headers"))
-    rows = joined.where("row_idx > 0 and col_idx = 0 and text <> 'Total'").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
-    return head.join(rows, "doc_id").select("doc_id", "n_columns", "n_rows", "headers")
+    joined = _harvest(c).joined.where("row_idx = 0 or col_idx = 0")
+    head = F.array_sort(F.collect_list(F.when(F.col("row_idx") == 0, F.struct("col_idx", "text"))))
+    n_rows = F.count_if((F.col("row_idx") > 0) & (F.col("col_idx") == 0) & (F.col("text") != "Total")).cast("int")
+    out = joined.groupBy("doc_id").agg(head.alias("head"), n_rows.alias("n_rows")).where("n_rows > 0")
+    return out.select("doc_id", F.size("head").alias("n_columns"), "n_rows", F.array_join(F.transform("head", lambda x: x["text"]), "|").alias("headers"))
 
 
 @query(f"""with {NUMBERS}, repeats as (
@@ -115,14 +115,15 @@ def annex_joined(c: Corpus) -> DataFrame:
     union all select doc_id, 'warning', 'occupancy', n - with_occupancy, n from rows_of where 1.0e0 * with_occupancy / n < 0.5""")
 def annex_sanity(c: Corpus) -> DataFrame:
     """What can't be right in an annex."""
-    return annex.sanity_issues(_harvest(c).observations)
+    seen = _harvest(c).observations.select("doc_id", "table_idx", "row_idx", "metric_key", "value")
+    return annex.sanity_issues(staged(seen, "annex-observations"))
 
 
 @query("select distinct doc_id, 'noi_underwritten' as metric_key, 1.0e0 as score, 'UW NOI ($)|Underwritten NOI ($)' as headers, 'UW NOI ($)' as winner from annex_loans where nat % 3 = 0")
 def annex_header_ties(c: Corpus) -> DataFrame:
     """Metrics for which only the order of columns decided."""
     h = _harvest(c)
-    return annex.header_ties(h.joined, h.joined_headers).withColumn("headers", F.array_join("headers", "|"))
+    return annex.header_ties(h.columns, h.headers).withColumn("headers", F.array_join("headers", "|"))
 
 
 @query("""with d as (select distinct doc_id, nat from annex_loans)
@@ -132,5 +133,5 @@ def annex_header_ties(c: Corpus) -> DataFrame:
 def annex_explained(c: Corpus) -> DataFrame:
     """Why a header that sounds like an income stands for the underwritten one, or doesn't."""
     h = _harvest(c)
-    out = annex.explain_headers(h.joined, h.joined_headers, h.joined_mapping, "noi_underwritten", "(?i)noi|occup")
+    out = annex.explain_headers(h.columns.drop("metric_key"), h.headers, h.mapping, "noi_underwritten", "(?i)noi|occup")
     return out.select("doc_id", "header", "verdict", "taken_by", "score")
