@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extract
-from ..operators.sheets import document_cells
+from ..operators.documents import value_of
+from ..operators.sheets import document_values
 from ..sources.bridge import Corpus
 from ..sources.stage import staged
 from .registry import query
@@ -60,7 +61,7 @@ def printed_files(c: Corpus) -> DataFrame:
     """path, content: each document's loans as a workbook, or as HTML."""
     share = lambda x: (F.floor(F.col(x) * 10000 + 0.5) / 10000).cast("decimal(10,4)").cast("string")
     cells = [F.col("pos").cast("string"), F.concat(F.lit("N & "), F.col("pos").cast("string")), F.col("amount").cast("string"), share("ltv"), share("rate")]
-    loans = c.held().annex_loans.select("doc_id", "nat", F.struct("pos", F.array(*cells).alias("cells")).alias("x"))
+    loans = c.by_document("annex_loans").select("doc_id", "nat", F.struct("pos", F.array(*cells).alias("cells")).alias("x"))
     docs = loans.groupBy("doc_id", "nat").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["cells"]).alias("rows"))
     books = docs.where(F.col("nat") % 2 == 0).select(F.concat("doc_id", F.lit(".XLSX")).alias("path"), "rows").mapInPandas(_books, "path string, content binary")
     body = F.array_join(F.transform("rows", lambda r: _tr(*[F.replace(F.get(r, F.lit(i)), F.lit("&"), F.lit("&amp;")) for i in range(len(HEAD))])), "")
@@ -73,9 +74,8 @@ def printed_files(c: Corpus) -> DataFrame:
     union all select doc_id, pos, 'ltv', ltv, 'N & ' || pos from p where ltv is not null union all select doc_id, pos, 'interest_rate', rate, 'N & ' || pos from p where rate is not null""")
 def sheet_observations(c: Corpus) -> DataFrame:
     """The numbers of workbooks and pages alike, with the names of their rows."""
-    cells = staged(document_cells(printed_files(c)), "file-cells")
-    mapping = staged(extract.map_columns(cells, staged(extract.header_rows(cells), "file-headers")), "file-mapping")
-    seen = staged(extract.observations(cells, mapping), "file-observations")
-    names = seen.where("metric_key = 'property_name'").select("doc_id", "row_idx", F.col("value").alias("name"))
-    numbers = seen.where(F.col("metric_key").isin("loan_amount", "ltv", "interest_rate"))
-    return numbers.join(names, ["doc_id", "row_idx"]).select("doc_id", "row_idx", "metric_key", F.col("value").cast("double").alias("value"), "name")
+    # Files are read once; what follows reads their tables, each with its mapping.
+    seen = extract.observed_rows(staged(document_values(printed_files(c)), "file-mapping"))
+    named = F.filter("seen", lambda x: F.col("name").isNotNull() & x["metric_key"].isin("loan_amount", "ltv", "interest_rate"))
+    numbers = seen.withColumn("name", value_of("seen", "property_name")).select("doc_id", "row_idx", "name", F.inline(named))
+    return numbers.select("doc_id", "row_idx", "metric_key", F.col("value").cast("double").alias("value"), "name")

@@ -4,9 +4,12 @@ import random
 import re._constants as kinds
 import re._parser as parser
 
+import pytest
+
 from tessera.functions.parsing import parse_value
 from tessera.operators import extract as op
-from tessera.plans import styles
+from tessera.operators.sheets import document_cells, document_values
+from tessera.plans import sheets, styles
 from tessera.sources.bridge import Corpus
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +73,23 @@ def test_styles_shuffle_no_cells(spark):
     """One dealing of loans to their documents; before, cells were written and met their headers by key."""
     text = styles._observations(Corpus(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "MapInArrow" in text and text.index("Exchange") > text.index("MapInArrow")
+
+
+def test_values_of_files_are_those_of_their_cells(spark):
+    rows = [["Annex", None, None, None, None], ["Loan ID", "Property Name", "UW NOI ($)", "Occupancy (%)", " City "], *[[str(i), f"N & {i}", f"{i}00.5", "0.95" if i % 3 else None, " x " if i % 2 else "  "] for i in range(1, 9)]]
+    files = [("a.xlsx", sheets.workbook(rows)), ("b.HTML", b"<table><tr><td>Loan ID</td><td>State</td><td>City</td><td>DSCR</td></tr><tr><td>1</td><td>NY</td><td>\xc3\xa9</td><td>1.2x</td></tr></table>"), ("c.htm", None), ("d.xlsm", None)]
+    files = spark.createDataFrame(files, "path string, content binary")
+    cells = document_cells(files).cache()
+    want = sorted(map(repr, op.observations(cells, op.map_columns(cells, op.header_rows(cells).cache()).cache()).collect()))
+    assert sorted(map(repr, op.unfolded(op.observed_rows(document_values(files))).collect())) == want and len(want) > 30
+    for name, content, words in (("c.xls", b"x", "no reader for"), ("c.xlsx", b"not a zip", "is no workbook")):
+        with pytest.raises(Exception, match=words):
+            document_values(spark.createDataFrame([(name, content)], "path string, content binary")).collect()
+
+
+def test_files_shuffle_no_cells(spark, monkeypatch):
+    """One dealing of loans to their files; before, cells were dealt by file and met their mapping by key."""
+    plans_ = []
+    monkeypatch.setattr(sheets, "staged", lambda df, name: plans_.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    sheets.sheet_observations(Corpus(spark, SF))
+    assert len(plans_) == 1 and plans_[0].count("REPARTITION_BY_NUM") <= 2 and "REPARTITION_BY_COL" not in plans_[0]
