@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import days_inclusive, loan_prefix, parse_money, parse_short_date
+from ..sources.stage import staged
 from .promotion import annualise
 
 TABLE = ["doc_id", "table_idx"]
@@ -229,7 +230,10 @@ def diagnostics(rows: DataFrame, located: DataFrame) -> DataFrame:
     No table of arrears, a table without rows, and rows that were all dropped are three different causes of
     an empty result; delinquency_tables, _data_rows and _dropped tell them apart.
     """
-    lines, late, special = noi_lines(rows, located), delinquency_lines(rows, located), special_lines(rows, located)
+    # Lines are asked for several times below: they meet their tables and are parsed once.
+    lines = staged(noi_lines(rows, located).select("doc_id", "table_idx", "row_idx", "loan_ref", "outcome", "annualized_noi", "noi_start", "noi_end", "period_days", "is_full_year"), "report-lines")
+    late = staged(delinquency_lines(rows, located).select("doc_id", "table_idx", "row_idx", "pros_id", "loan_ref", "dropped"), "report-late")
+    special = special_lines(rows, located)
     loans, conflicts = collapse_tranches(lines)
     is_kind = lambda k: F.count(F.when(F.col("kind") == k, 1))
     had = lambda o: F.count(F.when(F.col("outcome") == o, 1))

@@ -4,10 +4,11 @@ import random
 
 import pytest
 
-from tessera.operators import annex, documents, harvest
+from tessera.operators import annex, documents, harvest, servicer
 from tessera.operators.extract import html_cells
-from tessera.plans import annexes
+from tessera.plans import annexes, reports
 from tessera.sources.bridge import Corpus
+from tessera.sources.stage import staged
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["Loan ID", "Loan / Property Flag", "Property Name", "Cut-off Date Balance ($)", "Interest Rate (%)", "Cut-off Date LTV (%)", "Occupancy (%)", "UW NOI ($)", "Underwritten NOI ($)", "Number of Units", "Unit of Measure", "Square Feet", "City", "Broker Code", "cut-off date LTV (%)"]
@@ -82,3 +83,11 @@ def test_annexes_shuffle_loans_only(spark):
     """One dealing of loans to their documents and none of cells; before, thirteen tables of cells were written."""
     text = annexes.annex_observations(Corpus(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and text.index("Exchange") > text.index("MapInArrow")
+
+
+def test_lines_of_reports_are_parsed_once(spark, monkeypatch):
+    """Every kind of line meets its tables once; before, incomes did so three times and arrears too."""
+    made = []
+    monkeypatch.setattr(servicer, "staged", lambda df, name: made.append(name) or staged(df, name), raising=False)
+    servicer.diagnostics(*reports._read(Corpus(spark, SF)))
+    assert made == ["report-lines", "report-late"]
